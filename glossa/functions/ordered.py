@@ -132,6 +132,29 @@ def running_sums(
     return out.drop(SEGMENT, *[f"_c_{n}" for n in sums])
 
 
+def running_extreme(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    segment: Column,
+    value: Column,
+    name: str,
+    largest: bool,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Running maximum (or minimum) of ``value``; nulls are skipped."""
+    fn, pick = (F.max, F.greatest) if largest else (F.min, F.least)
+    df = with_segment(df.withColumn("_val", value), segment)
+    out = join_carry(
+        df, keys, [fn("_val").alias("_v")], {"_carry": fn("_v").over(before(keys))}
+    )
+    last = Window.currentRow if inclusive else -1
+    w = local_window(keys, order).rowsBetween(Window.unboundedPreceding, last)
+    return out.withColumn(name, pick(fn("_val").over(w), F.col("_carry"))).drop(
+        "_carry", "_val", SEGMENT
+    )
+
+
 def running_last(
     df: DataFrame,
     keys: Sequence[str],

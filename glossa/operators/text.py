@@ -320,14 +320,17 @@ def chunk_text(df: DataFrame, limit: int = limits.MAX_BATCH_CHARS, col: str = "t
 
 
 def needs_hyphen_join(left: Column, right: Column) -> Column:
-    return F.rlike(left, F.lit(r"\p{L}-\z")) & F.rlike(right, F.lit(r"\A\p{Ll}"))
+    return F.rlike(F.right(left, F.lit(2)), F.lit(r"\p{L}-\z")) & F.rlike(
+        F.left(right, F.lit(1)), F.lit(r"\p{Ll}")
+    )
 
 
 def joins_without_space(left: Column, right: Column) -> Column:
+    end, start = F.right(left, F.lit(1)), F.left(right, F.lit(1))
     return (
-        (F.rlike(left, F.lit(UNSPACED + r"\z")) & F.rlike(right, F.lit(r"\A" + UNSPACED)))
-        | F.rlike(right, F.lit(r"\A" + CLOSING))
-        | F.rlike(left, F.lit(OPENING + r"\z"))
+        F.rlike(start, F.lit(CLOSING))
+        | F.rlike(end, F.lit(OPENING))
+        | (F.rlike(end, F.lit(UNSPACED)) & F.rlike(start, F.lit(UNSPACED)))
     )
 
 

@@ -39,3 +39,110 @@ def hard_wrapped(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", F.regexp_replace("text", r"([\p{L}]{5})([\p{L}]{3})", "$1-\n$2").alias("text")
     )
+
+
+EVENT_MAP = {
+    "click": "BATCH_STARTED",
+    "view": "BATCH_PROGRESS",
+    "purchase": "BATCH_DONE",
+    "error": "BATCH_ERROR",
+    "signup": "BATCH_CANCELLED",
+}
+
+
+def job_events(events: DataFrame, event_map: dict[str, str] = EVENT_MAP) -> DataFrame:
+    """Job log: job = user, batch = ``props.k``, ten batches per page."""
+    kind = F.lit(None).cast("string")
+    for raw, mapped in event_map.items():
+        kind = F.when(F.col("event_type") == raw, mapped).otherwise(kind)
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select(
+        F.col("user_id").alias("job_id"),
+        k.alias("batch_id"),
+        (F.floor(k / 10) + 1).cast("bigint").alias("page_no"),
+        "ts",
+        "event_id",
+        kind.alias("event_type"),
+        "value",
+    )
+
+
+def job_pages(log: DataFrame) -> DataFrame:
+    """Pages seen in the log; one in ten counts as scanned."""
+    return log.select("job_id", "page_no").distinct().withColumn(
+        "is_scanned", (F.col("job_id") + F.col("page_no")) % 10 == 0
+    )
+
+
+def admission_rows(events: DataFrame) -> DataFrame:
+    log = job_events(events)
+    return log.select(
+        "job_id",
+        F.col("batch_id").cast("string").alias("batch_id"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.floor(F.col("value") * 10).cast("bigint").alias("chars"),
+        (F.floor(F.col("value") * 10) + F.col("event_id") % 7).cast("bigint").alias("bytes"),
+    )
+
+
+def page_blocks(conversations: DataFrame) -> DataFrame:
+    """Document = conversation, two turns per page, block = turn."""
+    return conversations.select(
+        F.col("conv_id").alias("doc_id"),
+        (F.floor(F.col("turn") / 2) + 1).cast("bigint").alias("page_no"),
+        F.col("turn").alias("block_ix"),
+        F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"),
+        F.col("text").alias("source"),
+        "text",
+        "role",
+    )
+
+
+def stub_translations(conversations: DataFrame) -> DataFrame:
+    """Reversed text; some rows missing, some only partial."""
+    key = F.col("conv_id") + F.col("turn")
+    full = conversations.filter(key % 7 != 0).select(
+        F.col("conv_id").alias("doc_id"),
+        F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"),
+        F.lit(2).cast("bigint").alias("seq"),
+        F.reverse("text").alias("target"),
+        (key % 5 != 0).alias("is_final"),
+    )
+    partial = full.select(
+        "doc_id", "block_id", F.lit(1).cast("bigint").alias("seq"), F.left("target", F.lit(20)).alias("target"),
+        F.lit(False).alias("is_final"),
+    )
+    return full.unionByName(partial)
+
+
+def answered_batches(conversations: DataFrame, max_blocks: int = 64) -> DataFrame:
+    """One JSON answer per conversation, damaged in four ways by ``conv_id % 5``.
+
+    Conversations above the block cap were never sent, so they have no answer.
+    """
+    from glossa.functions.ordered import salted_join
+
+    sizes = conversations.groupBy("conv_id").agg(F.count("*").alias("_n"))
+    over = sizes.filter(F.col("_n") > max_blocks).select("conv_id")
+    sent = salted_join(conversations, over, ["conv_id"], "left_anti", F.col("turn"))
+    kind = F.col("conv_id") % 5
+    entry = F.struct(
+        F.when((kind == 3) & (F.col("turn") == 0), "zzz")
+        .when((kind == 2) & (F.col("turn") == 1), "b0")
+        .otherwise(F.concat(F.lit("b"), F.col("turn").cast("string")))
+        .alias("id"),
+        F.reverse("text").alias("target"),
+    )
+    body = (
+        sent.filter(~((kind == 1) & (F.col("turn") == 0)))
+        .groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))).alias("_es"))
+        .select("conv_id", F.to_json(F.col("_es.e")).alias("_json"))
+    )
+    return body.select(
+        F.col("conv_id").alias("batch_id"),
+        F.when(F.col("conv_id") % 5 == 4, F.concat(F.lit("```json\n"), F.col("_json"), F.lit("\n```")))
+        .otherwise(F.col("_json"))
+        .alias("response"),
+    )

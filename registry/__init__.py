@@ -1,5 +1,5 @@
 """Registered queries and the SQL that restates each of them."""
 
-from registry import text
+from registry import batches, jobs, text
 
-MODULES = [text]
+MODULES = [text, batches, jobs]
