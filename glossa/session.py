@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The layout plan has hundreds of small generated classes (windows, orderings);
+    # with the default cache of 100 every task would compile them again.
+    "spark.sql.codegen.cache.maxEntries": "4000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
