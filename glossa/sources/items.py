@@ -73,3 +73,13 @@ def styles_from_documents(documents: DataFrame) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, "bold").otherwise("normal").alias("weight"),
         F.when(F.col("doc_id") % 11 == 0, "oblique").otherwise("normal").alias("style"),
     )
+
+
+def turned_margin_notes(items: DataFrame) -> DataFrame:
+    """Fixture variant: the last run of every twelfth row stands upright beside the text."""
+    lift = (F.col("item_ix") % 12 == 11) & (F.length("str") <= 88)
+    m = F.col("transform")
+    turned = F.array(
+        F.lit(0.0), F.lit(10.0), F.lit(-10.0), F.lit(0.0), F.lit(480.0), F.get(m, F.lit(5)) - 20
+    )
+    return items.withColumn("transform", F.when(lift, turned).otherwise(m))

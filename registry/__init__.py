@@ -1,5 +1,5 @@
 """Registered queries and the SQL that restates each of them."""
 
-from registry import batches, jobs, text
+from registry import batches, jobs, layout, text
 
-MODULES = [text, batches, jobs]
+MODULES = [text, batches, jobs, layout]
