@@ -207,6 +207,7 @@ def _merges(p: Column) -> Column:
 
 def segment_blocks(lines: DataFrame) -> DataFrame:
     """Merge consecutive lines into blocks (gaps and islands over reading order)."""
+    lines = with_page_type(lines)
     w = Window.partitionBy(*UNIT).orderBy("order_ix")
     carried = F.struct("col_ix", "type", "font_size", "lx", "ly", "lw", "lh", "text", "paragraph_start")
     df = lines.withColumn("_p", F.lag(carried).over(w))
@@ -220,6 +221,8 @@ def segment_blocks(lines: DataFrame) -> DataFrame:
         F.first("orientation").alias("orientation"),
         F.first("page").alias("page"),
         F.first("columns").alias("columns"),
+        F.first("page_type").alias("page_type"),
+        F.first("column_count").alias("column_count"),
         F.min_by(F.struct("type", "col_ix", "dir"), order).alias("_f"),
         F.array_sort(F.collect_list(F.struct(order.alias("o"), "text", F.col("font_size").alias("f")))).alias("_ls"),
         F.count("*").alias("n_lines"),
@@ -273,39 +276,64 @@ def place_rotated_blocks(blocks: DataFrame) -> DataFrame:
     return df.withColumn("reading_orientation", (F.col("quarter") * 90).cast("int"))
 
 
-def page_facts(lines: DataFrame) -> DataFrame:
-    """Valid characters, text area and columns per page, from its final lines."""
+def _facts() -> dict[str, Column]:
+    """Aggregates over the final lines of a page."""
     main = F.col("is_main")
-    return lines.groupBy(*PAGE).agg(
-        F.sum("item_valid").alias("valid_chars"),
-        (
-            F.coalesce(F.sum(F.when(main, F.col("bw") * F.col("bh"))), F.lit(0.0))
-            + F.coalesce(F.sum(F.when(~main, F.col("item_area"))), F.lit(0.0))
-        ).alias("text_area"),
-        F.count("*").alias("n_lines"),
-        F.max("orientation").alias("orientation"),
-        F.max("n_ignored").alias("n_ignored"),
-        F.max(F.when(F.col("columns").isNotNull(), 2).otherwise(1)).alias("column_count"),
+    return {
+        "valid_chars": F.sum("item_valid"),
+        "text_area": F.sum(F.when(main, F.col("bw") * F.col("bh")).otherwise(F.col("item_area"))),
+        "n_lines": F.count("*"),
+        "orientation": F.max("orientation"),
+        "n_ignored": F.max("n_ignored"),
+        "column_count": F.max(F.when(F.col("columns").isNotNull(), 2).otherwise(1)),
+    }
+
+
+def _is_scanned(n_lines: Column, valid: Column, coverage: Column) -> Column:
+    return (
+        (F.coalesce(n_lines, F.lit(0)) == 0)
+        | (F.coalesce(valid, F.lit(0)) < limits.MIN_VALID_CHARS)
+        | (F.coalesce(coverage, F.lit(0.0)) < limits.MIN_TEXT_COVERAGE)
+    )
+
+
+def with_page_type(lines: DataFrame) -> DataFrame:
+    """Adds ``page_type`` and ``column_count`` to the lines, by windows over the page.
+
+    The lines are partitioned by page already, so no join with a table derived
+    from them (and no second run of the whole plan) is needed.
+    """
+    w = Window.partitionBy(*PAGE)
+    facts = _facts()
+    df = lines.withColumns({f"_{n}": facts[n].over(w) for n in ("valid_chars", "text_area", "n_lines", "column_count")})
+    coverage = F.col("_text_area") / (F.col("page.width") * F.col("page.height"))
+    scanned = _is_scanned(F.col("_n_lines"), F.col("_valid_chars"), coverage)
+    return (
+        df.withColumn("page_type", F.when(scanned, "scanned").otherwise("text"))
+        .withColumn("column_count", F.col("_column_count"))
+        .drop("_valid_chars", "_text_area", "_n_lines", "_column_count")
     )
 
 
 def page_verdict(lines: DataFrame, page_views: DataFrame) -> DataFrame:
     """``text`` or ``scanned`` per page, with the reason; pages without runs included."""
-    n = F.coalesce("valid_chars", F.lit(0)).cast("bigint")
-    coverage = F.least(F.lit(1.0), F.coalesce("text_area", F.lit(0.0)) / (F.col("width") * F.col("height")))
+    facts = lines.groupBy(*PAGE).agg(*named(_facts()))
     size_ok = (
-        F.col("width").between(0, limits.MAX_PAGE_SIDE)
-        & F.col("height").between(0, limits.MAX_PAGE_SIDE)
-        & (F.col("width") > 0)
+        (F.col("width") > 0)
         & (F.col("height") > 0)
+        & (F.col("width") <= limits.MAX_PAGE_SIDE)
+        & (F.col("height") <= limits.MAX_PAGE_SIDE)
     )
-    df = page_views.select(*PAGE, "width", "height").join(page_facts(lines), PAGE, "left")
-    df = df.withColumns({"valid_chars": n, "_coverage": coverage})
-    scanned = (
-        (F.coalesce("n_lines", F.lit(0)) == 0)
-        | (F.col("valid_chars") < limits.MIN_VALID_CHARS)
-        | (F.col("_coverage") < limits.MIN_TEXT_COVERAGE)
+    df = page_views.select(*PAGE, "width", "height").join(facts, PAGE, "left")
+    df = df.withColumns(
+        {
+            "valid_chars": F.coalesce("valid_chars", F.lit(0)).cast("bigint"),
+            "_coverage": F.least(
+                F.lit(1.0), F.coalesce("text_area", F.lit(0.0)) / (F.col("width") * F.col("height"))
+            ),
+        }
     )
+    scanned = _is_scanned(F.col("n_lines"), F.col("valid_chars"), F.col("_coverage"))
     df = df.withColumn("page_type", F.when(scanned, "scanned").otherwise("text"))
     return df.select(
         *PAGE,
@@ -324,15 +352,16 @@ def page_verdict(lines: DataFrame, page_views: DataFrame) -> DataFrame:
 
 
 def finalize_blocks(
-    blocks: DataFrame, pages: DataFrame, max_chars: int = limits.MAX_BATCH_CHARS
+    blocks: DataFrame, max_chars: int = limits.MAX_BATCH_CHARS, drop_invalid: bool = True
 ) -> DataFrame:
     """Split long blocks, number them per page and scale boxes to 0..1000.
 
-    Blocks of scanned pages and blocks whose box leaves the valid range are
-    dropped; numbering happens before the range check.
+    Blocks of scanned pages are dropped, and (with ``drop_invalid``) blocks whose
+    box leaves the valid range; numbering happens before the range check.
     """
-    texts = pages.filter(F.col("page_type") == "text").select(*PAGE)
-    df = blocks.join(texts, PAGE, "left_semi").withColumn("_parts", chunks_of(F.col("text"), max_chars))
+    df = blocks.filter(F.col("page_type") == "text").withColumn(
+        "_parts", chunks_of(F.col("text"), max_chars)
+    )
     df = df.withColumn("continuation_count", F.size("_parts")).select(
         *[c for c in df.columns if c not in ("text", "_parts")],
         "continuation_count",
@@ -367,8 +396,11 @@ def finalize_blocks(
         "reading_orientation",
         F.col("continuation_ix").cast("int").alias("continuation_ix"),
         F.col("continuation_count").cast("int").alias("continuation_count"),
+        "column_count",
         *[c.alias(n) for n, c in scaled.items()],
     )
+    if not drop_invalid:
+        return out
     return out.filter(
         (F.col("width") > 0)
         & (F.col("height") > 0)
@@ -377,26 +409,30 @@ def finalize_blocks(
     )
 
 
-def page_labels(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Columns, tables and footnotes per page."""
+def page_labels(page_views: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Type, columns, tables and footnotes per page; pages without blocks are scanned."""
     seen = blocks.groupBy(*PAGE).agg(
         F.count("*").alias("n_blocks"),
+        F.max("column_count").alias("column_count"),
         F.bool_or(F.col("type") == "table").alias("has_table"),
         F.bool_or(F.col("type") == "footnote").alias("has_footnote"),
     )
-    return pages.join(seen, PAGE, "left").select(
+    return page_views.select(*PAGE).join(seen, PAGE, "left").select(
         *PAGE,
-        "page_type",
-        "column_count",
+        F.when(F.col("n_blocks").isNull(), "scanned").otherwise("text").alias("page_type"),
+        F.coalesce("column_count", F.lit(1)).alias("column_count"),
         F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
         F.coalesce("has_table", F.lit(False)).alias("has_table"),
         F.coalesce("has_footnote", F.lit(False)).alias("has_footnote"),
     )
 
 
-def document_summary(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Page and block counts per document and whether all, some or no page is scanned."""
-    labels = page_labels(pages, blocks)
+def document_summary(page_views: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Page and block counts per document and whether all, some or no page is scanned.
+
+    ``blocks`` are final blocks before the range check (``drop_invalid=False``).
+    """
+    labels = page_labels(page_views, blocks)
     text = F.col("page_type") == "text"
     return (
         labels.groupBy("doc_id")

@@ -146,3 +146,71 @@ def answered_batches(conversations: DataFrame, max_blocks: int = 64) -> DataFram
         .otherwise(F.col("_json"))
         .alias("response"),
     )
+
+
+def response_chunks(conversations: DataFrame, size: int = 17) -> DataFrame:
+    """Event-stream text of each conversation, one frame per turn, cut into small chunks.
+
+    A frame opens with the empty line that ends the frame before it, so chunk
+    borders fall inside frames and inside breaks.  Damages by ``conv_id``: bad
+    JSON (% 7 = 3), upstream error (% 11 = 4), no content (% 13 = 6), end marker
+    missing (% 6 = 5).
+    """
+    from pyspark.sql import Window
+
+    conv, turn = F.col("conv_id"), F.col("turn")
+    content = F.when(conv % 13 == 6, "").otherwise(F.col("text"))
+    payload = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("delta"))).alias("choices")))
+    data = (
+        F.when((conv % 7 == 3) & (turn == 1), "{oops")
+        .when((conv % 11 == 4) & (turn == 1), '{"error":{"message":"overloaded"}}')
+        .otherwise(payload)
+    )
+    frames = conversations.select(
+        conv.alias("request_id"),
+        turn.alias("turn"),
+        F.concat(F.when(turn > 0, "\n\n").otherwise(""), F.lit("data: "), data).alias("frame"),
+    )
+    # The end marker is a frame of its own behind every turn a conversation can have.
+    ends = conversations.filter((turn == 0) & (conv % 6 != 5)).select(
+        conv.alias("request_id"), F.lit(1_000).cast("bigint").alias("turn"), F.lit("\n\ndata: [DONE]\n\n").alias("frame")
+    )
+    cut = frames.unionByName(ends).select(
+        "request_id", "turn", F.posexplode(F.regexp_extract_all("frame", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("_i", "chunk")
+    )
+    return cut.select("request_id", (F.col("turn") * 100_000 + F.col("_i")).alias("seq"), "chunk")
+
+
+def timed_chunks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests = (user, day) with a day squeezed into 288 seconds."""
+    origin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01"))
+    scaled = F.timestamp_micros(
+        F.unix_micros(origin.cast("timestamp"))
+        + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(origin.cast("timestamp"))) / 300).cast("bigint")
+    )
+    chunks = events.select(
+        (F.col("user_id") * 100 + day).alias("request_id"),
+        F.col("event_id").alias("seq"),
+        scaled.alias("ts"),
+        (F.col("event_type") != "error").alias("is_content"),
+        (F.col("event_type") == "error").alias("is_end"),
+    )
+    sent = F.timestamp_micros(F.unix_micros(origin.cast("timestamp")) + (F.col("request_id") % 100) * 288_000_000)
+    requests = chunks.select("request_id").distinct().select("request_id", sent.alias("sent_at"))
+    return chunks, requests
+
+
+def regions_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Image regions on a 1280 x 800 viewport at device scale 2."""
+    return lineitem.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id"),
+        (F.col("l_quantity") * 20).alias("left"),
+        (F.col("l_discount") * 5000).alias("top"),
+        (F.col("l_extendedprice") / 50).alias("width"),
+        (F.col("l_tax") * 10000).alias("height"),
+        F.lit(1280.0).alias("viewport_width"),
+        F.lit(800.0).alias("viewport_height"),
+        F.lit(2560.0).alias("bitmap_width"),
+        F.lit(1600.0).alias("bitmap_height"),
+    )

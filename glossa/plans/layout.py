@@ -42,13 +42,14 @@ def analyze_pages(items: DataFrame, page_views: DataFrame, font_styles: DataFram
     return ordered_lines(first_lines(segmented_items(prepared)))
 
 
-def blocks_and_pages(
+def page_blocks(
     items: DataFrame,
     page_views: DataFrame,
     font_styles: DataFrame,
     max_chars: int = limits.MAX_BATCH_CHARS,
-) -> tuple[DataFrame, DataFrame]:
+    drop_invalid: bool = True,
+) -> DataFrame:
+    """Final blocks of all text pages."""
     lines = analyze_pages(items, page_views, font_styles)
-    pages = B.page_verdict(lines, page_views)
-    blocks = B.place_rotated_blocks(B.segment_blocks(lines))
-    return B.finalize_blocks(blocks, pages, max_chars), pages
+    placed = B.place_rotated_blocks(B.segment_blocks(lines))
+    return B.finalize_blocks(placed, max_chars, drop_invalid)

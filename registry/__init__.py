@@ -1,5 +1,5 @@
 """Registered queries and the SQL that restates each of them."""
 
-from registry import batches, jobs, layout, text
+from registry import batches, images, jobs, layout, streams, text
 
-MODULES = [text, batches, jobs, layout]
+MODULES = [text, batches, jobs, streams, images, layout]

@@ -364,23 +364,21 @@ QUERIES["rotated_blocks"] = lambda spark, d: B.place_rotated_blocks(
 )
 
 
-def _finished(spark, d):
-    return P.blocks_and_pages(*_inputs(spark, d))
-
-
-QUERIES["finalize_blocks"] = lambda spark, d: _finished(spark, d)[0].select(
+QUERIES["finalize_blocks"] = lambda spark, d: P.page_blocks(*_inputs(spark, d)).select(
     "doc_id", "page_no", "block_no", "block_id", "type", "text", "n_chars", "col_ix", "x", "y", "width", "height"
 )
 ORACLES["finalize_blocks"] = _with(IT, RB, GU, P1, P2, FL, CP, SG, BL, OB, PV, FB) + "SELECT * FROM fb"
-QUERIES["page_verdict"] = lambda spark, d: _finished(spark, d)[1].select(
+QUERIES["page_verdict"] = lambda spark, d: B.page_verdict(
+    P.analyze_pages(*_inputs(spark, d)), _inputs(spark, d)[1]
+).select(
     "doc_id", "page_no", "page_type", "valid_chars", "text_coverage", "scan_reason", "column_count"
 )
 ORACLES["page_verdict"] = _with(IT, RB, GU, P1, P2, FL, PV) + "SELECT * FROM pv"
 
 
 def _summary(spark, d):
-    blocks, pages = _finished(spark, d)
-    return B.document_summary(pages, blocks)
+    items, views, fonts = _inputs(spark, d)
+    return B.document_summary(views, P.page_blocks(items, views, fonts, drop_invalid=False))
 
 
 QUERIES["document_summary"] = _summary
