@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa import limits
+from glossa.functions.packing import narrowed
 from glossa.functions.text import array_median, code_points, round3
 from glossa.operators.layout.columns import PAGE, column_of, with_reading_order
 from glossa.operators.layout.geometry import turned, turned_size
@@ -34,6 +35,14 @@ def extend_captions(lines: DataFrame) -> DataFrame:
     predecessor.  The chain holds while no line since the anchor failed, which a
     running count per anchor tells.
     """
+    return narrowed(
+        lines,
+        [*UNIT, "col_ix", "row_ix", "order_ix", "type", "lx", "ly", "lh", "font_size", "font_name", "is_bold", "is_italic"],
+        lambda d: _extend_captions(d),
+    )
+
+
+def _extend_captions(lines: DataFrame) -> DataFrame:
     keys = [*UNIT, "_group"]
     df = lines.withColumn(
         "_group",
@@ -82,6 +91,14 @@ def extend_captions(lines: DataFrame) -> DataFrame:
 
 def paragraph_signals(lines: DataFrame) -> DataFrame:
     """Adds ``paragraph_start`` and ``short_line`` to paragraph lines in a column."""
+    return narrowed(
+        lines,
+        [*UNIT, "type", "col_ix", "order_ix", "lx", "lw", "ly", "lh", "font_size", "text"],
+        lambda d: _paragraph_signals(d),
+    )
+
+
+def _paragraph_signals(lines: DataFrame) -> DataFrame:
     df = lines.withColumn("_in", (F.col("type") == "paragraph") & F.col("col_ix").isNotNull())
     keys = [*UNIT, "_in", "col_ix"]
     w = Window.partitionBy(*keys).orderBy("order_ix")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.packing import narrowed
 from glossa.functions.text import round3, valid_chars
 from glossa.operators.layout.lines import (
     ITEM_FIELDS,
@@ -21,6 +22,14 @@ PAGE = ["doc_id", "page_no"]
 
 def detect_columns(lines: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     """Adds the struct ``columns`` (null unless the page reads in two columns)."""
+    return narrowed(
+        lines,
+        [*keys, "logical_width", "is_main", "type", "lx", "lw", "ly", "lh", "line_ix", "font_size", "text"],
+        lambda d: _detect_columns(d, keys),
+    )
+
+
+def _detect_columns(lines: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     width = F.col("logical_width")
     right = F.col("lx") + F.col("lw")
     candidate = (
@@ -198,6 +207,14 @@ def with_reading_order(df: DataFrame, keys: list[str], tie: list[str], out: str)
     counting, in one sorted pass, the barriers whose limit it does not pass; the
     limits are made monotonic by a running maximum first.
     """
+    return narrowed(
+        df,
+        [*keys, "col_ix", "ly", "lx", "font_size", *tie],
+        lambda d: _with_reading_order(d, keys, tie, out),
+    )
+
+
+def _with_reading_order(df: DataFrame, keys: list[str], tie: list[str], out: str) -> DataFrame:
     df = df.withColumn("_span", F.col("col_ix").isNull())
     spans = Window.partitionBy(*keys, "_span").orderBy("ly", *tie)
     limit = F.max(F.col("ly") + F.least(F.lit(2.0), F.col("font_size") * 0.15)).over(

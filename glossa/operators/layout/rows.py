@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.packing import narrowed
 from glossa.functions.text import round3
 
 # One unit = the runs of a page that share a reading direction.
@@ -68,6 +69,14 @@ def row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     row; a strip whose runs all share one height and position is a single row.
     Only the remaining strips are folded, once each.
     """
+    return narrowed(
+        items,
+        [*keys, "item_ix", "lx", "ly", "lh", "font_size"],
+        lambda d: _row_bands(d, keys),
+    )
+
+
+def _row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     df = with_y_bands(items, keys, "ly", "_band")
     seq = Window.partitionBy(*keys).orderBy("_band", "lx", "item_ix")
     earlier = seq.rowsBetween(Window.unboundedPreceding, -1)
@@ -157,6 +166,14 @@ def persistent_gutter(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     Needs the columns of ``with_neighbour``.  The three candidates of every gap
     are scored in one sorted sweep per unit, not by comparing all pairs.
     """
+    return narrowed(
+        items,
+        [*keys, "row_ix", "item_ix", "lx", "_right", "_gap", "_pair_font", "_eqno", "logical_width"],
+        lambda d: _persistent_gutter(d, keys),
+    )
+
+
+def _persistent_gutter(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     width = F.col("logical_width")
     counts = (
         ~F.col("_eqno")

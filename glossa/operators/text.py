@@ -27,6 +27,7 @@ KANA = r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9D}"
 CYRILLIC = r"\x{0400}-\x{052F}"
 LATIN = r"\p{IsLatin}"
 HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+ASCII_SIGNS = r"\x00-\x40\x5B-\x60\x7B-\x7F"
 
 # Characters that end or open a phrase, and scripts written
 # without spaces.
@@ -69,15 +70,23 @@ def sanitize_items(items: DataFrame, col: str = "str") -> DataFrame:
 
 
 def script_profile(df: DataFrame, col: str = "text") -> DataFrame:
-    """Counts of kana, Cyrillic, Latin, Han and other letters."""
+    """Counts of kana, Cyrillic, Latin, Han and other letters.
+
+    Latin letters and ASCII signs are stripped once; the other scripts are then
+    counted on what is left, which for most texts is next to nothing.
+    """
     t = F.col(col)
+    rest = F.regexp_replace(t, f"[{LATIN}{ASCII_SIGNS}]+", "")
     known = KANA + CYRILLIC + LATIN + HAN
+    r = F.col("_rest")
     return (
-        df.withColumn("kana", count_class(t, KANA))
-        .withColumn("cyrillic", count_class(t, CYRILLIC))
-        .withColumn("latin", count_class(t, LATIN))
-        .withColumn("han", count_class(t, HAN))
-        .withColumn("other_letters", count_class(F.regexp_replace(t, f"[{known}]+", ""), r"\p{L}"))
+        df.withColumn("latin", count_class(t, LATIN))
+        .withColumn("_rest", rest)
+        .withColumn("kana", count_class(r, KANA))
+        .withColumn("cyrillic", count_class(r, CYRILLIC))
+        .withColumn("han", count_class(r, HAN))
+        .withColumn("other_letters", count_class(F.regexp_replace(r, f"[{known}]+", ""), r"\p{L}"))
+        .drop("_rest")
     )
 
 
@@ -144,7 +153,12 @@ def validate_requests(
     t = trim_space(F.col(col))
     return df.withColumn(
         "error_code",
-        F.when(t.isNull() | (t == ""), "INVALID_TEXT").when(utf16_units(t) > max_chars, "TEXT_TOO_LONG"),
+        F.when(t.isNull() | (t == ""), "INVALID_TEXT").when(
+            # Units lie between one and two per code point, so most texts are
+            # decided by their length alone.
+            (F.length(t) > max_chars) | ((F.length(t) * 2 > max_chars) & (utf16_units(t) > max_chars)),
+            "TEXT_TOO_LONG",
+        ),
     )
 
 
