@@ -125,13 +125,7 @@ def column_region(lines: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     bottom_edge = F.col("ly") + F.col("lh")
     df = lines.withColumn("_gx", c.left_end + c.gutter_width / 2)
     df = df.withColumn("_spans", F.coalesce((F.col("lx") < F.col("_gx")) & (F.col("lx") + F.col("lw") > F.col("_gx")), F.lit(False)))
-    ordered = F.transform(
-        F.array_sort(
-            F.transform("items", lambda i: F.struct(i.lx.alias("lx"), i.item_ix.alias("ix"), i.lw.alias("lw"), i.font_size.alias("font_size")))
-        ),
-        lambda i: i,
-    )
-    df = df.withColumn("_by_x", F.when(F.col("_spans"), ordered))
+    df = df.withColumn("_by_x", F.when(F.col("_spans"), F.array_sort("items")))
     df = df.withColumn("_cross", F.when(F.col("_spans"), F.expr(_CROSSING)))
     continuous = F.col("_spans") & (
         F.col("_cross").isNull()

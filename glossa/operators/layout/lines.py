@@ -20,9 +20,10 @@ HEADING_START = (
 CAPTION_START = r"(?iu)\A\s*(?:fig(?:ure)?|table)\s*[.0-9IVXLC:-]+"
 METADATA_LINE = r"(?iu)\A(?:\S+@\S+|(?:https?://|doi\s*:|arxiv\s*:).+)\z"
 
+# Sorting the nested runs as structs orders them by x, then by position.
 ITEM_FIELDS = [
-    "item_ix", "text", "dir", "font_name", "has_eol", "is_bold", "is_italic", "font_size",
-    "bx", "by", "bw", "bh", "lx", "ly", "lw", "lh", "row_ix", "row_y", "row_h",
+    "lx", "item_ix", "text", "dir", "font_name", "has_eol", "is_bold", "is_italic", "font_size",
+    "bx", "by", "bw", "bh", "ly", "lw", "lh", "row_ix", "row_y", "row_h", "n_chars", "n_valid",
 ]
 UNIT_FACTS = [
     "is_main", "orientation", "n_ignored", "logical_width", "logical_height", "page",
@@ -61,45 +62,58 @@ DIRECTIONS = ("ltr", "rtl", "ttb")
 
 
 def assemble_lines(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
-    """One row per segment; the runs stay nested in ``items`` for a second cut."""
-    chars = F.greatest(F.lit(1), code_points(F.col("text")))
-    valid = F.greatest(F.lit(1), valid_chars(F.col("text")))
-    df = items.withColumns({"_chars": chars, "_valid": valid})
-    nth = F.row_number().over(
-        Window.partitionBy(*keys, "row_ix").orderBy("lx", "item_ix")
-    )
-    df = df.withColumn("_nth", nth.cast("bigint"))
-    lines = df.groupBy(*keys, "row_ix", "seg_ix").agg(
-        *[F.first(c).alias(c) for c in UNIT_FACTS],
-        F.first("row_segments").alias("row_segments"),
-        F.collect_list(F.struct(*[F.col(c) for c in ITEM_FIELDS])).alias("items"),
-        *[
-            F.sum(F.when(F.col("dir") == d, F.col("_chars"))).alias(f"w_{d}") for d in DIRECTIONS
-        ],
-        *[F.min(F.when(F.col("dir") == d, F.col("_nth"))).alias(f"f_{d}") for d in DIRECTIONS],
-        *named(union_box("b")),
-        *named(union_box("l")),
-        F.sum("_valid").alias("_weight"),
-        F.sum(F.when(F.col("is_bold"), F.col("_valid")).otherwise(0)).alias("_bold"),
-        F.sum(F.when(F.col("is_italic"), F.col("_valid")).otherwise(0)).alias("_italic"),
-        F.sum(valid_chars(F.col("text"))).alias("item_valid"),
-        F.sum(F.col("bw") * F.col("bh")).alias("item_area"),
+    """One row per segment; the runs stay nested in ``items`` for a second cut.
+
+    Segments are many and small (mostly a single run), so the aggregation only
+    gathers the runs; all line facts are array expressions over them.
+    """
+    df = items
+    if "n_valid" not in df.columns:
+        df = df.withColumns({"n_chars": code_points(F.col("text")), "n_valid": valid_chars(F.col("text"))})
+    lines = (
+        df.groupBy(*keys, "row_ix", "seg_ix")
+        .agg(
+            F.first(F.struct(*UNIT_FACTS, "row_segments")).alias("_facts"),
+            F.collect_list(F.struct(*ITEM_FIELDS)).alias("items"),
+        )
+        .select(*keys, "row_ix", "seg_ix", "_facts.*", F.array_sort("items").alias("items"))
     )
-    lines = lines.withColumn(
-        "dir",
-        majority_direction(
-            {d: F.col(f"w_{d}") for d in DIRECTIONS}, {d: F.col(f"f_{d}") for d in DIRECTIONS}
-        ),
+    directions = F.col("items.dir")
+
+    def total(value) -> Column:
+        return F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, i: acc + value(i))
+
+    def weight(i: Column) -> Column:
+        return F.greatest(F.lit(1).cast("bigint"), i.n_valid)
+
+    zero = F.lit(0).cast("bigint")
+    for d in DIRECTIONS:
+        lines = lines.withColumn(
+            f"w_{d}",
+            F.when(
+                F.array_contains(directions, d),
+                total(lambda i, d=d: F.when(i.dir == d, F.greatest(F.lit(1).cast("bigint"), i.n_chars)).otherwise(zero)),
+            ),
+        )
+    first = {d: F.nullif(F.array_position(directions, d), F.lit(0)) for d in DIRECTIONS}
+    lines = lines.withColumn("dir", majority_direction({d: F.col(f"w_{d}") for d in DIRECTIONS}, first))
+    lines = lines.withColumns(
+        {
+            **nested_box("items", "b"),
+            **nested_box("items", "l"),
+            "_weight": total(weight),
+            "_bold": total(lambda i: F.when(i.is_bold, weight(i)).otherwise(zero)),
+            "_italic": total(lambda i: F.when(i.is_italic, weight(i)).otherwise(zero)),
+            "item_valid": total(lambda i: i.n_valid),
+            "item_area": F.aggregate("items", F.lit(0.0), lambda acc, i: acc + i.bw * i.bh),
+        }
     )
     # Right-to-left lines read from the largest x.
-    signed = F.transform(
-        "items",
-        lambda i: F.struct(
-            F.when(F.col("dir") == "rtl", -i.lx).otherwise(i.lx).alias("key"), i.item_ix.alias("ix"), i.alias("i")
-        ),
+    mirrored = F.transform(
+        F.array_sort(F.transform("items", lambda i: F.struct((-i.lx).alias("k"), i.item_ix.alias("n"), i.alias("i")))),
+        lambda s: s.i,
     )
-    lines = lines.withColumn("items", F.transform(F.array_sort(signed), lambda s: s.i))
-    lines = lines.withColumn("_fonts", F.transform("items", lambda i: i.font_size))
+    lines = lines.withColumn("items", F.when(F.col("dir") == "rtl", mirrored).otherwise(F.col("items")))
     return lines.select(
         *keys,
         "row_ix",
@@ -118,10 +132,10 @@ def assemble_lines(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
         "ly",
         "lw",
         "lh",
-        round3(array_median(F.col("_fonts"))).alias("font_size"),
-        F.coalesce(
-            F.get(F.filter(F.transform("items", lambda i: i.font_name), lambda n: n != ""), F.lit(0)), F.lit("")
-        ).alias("font_name"),
+        F.when(F.size("items") == 1, F.get("items.font_size", F.lit(0)))
+        .otherwise(round3(array_median(F.col("items.font_size"))))
+        .alias("font_size"),
+        F.coalesce(F.get(F.filter("items.font_name", lambda n: n != ""), F.lit(0)), F.lit("")).alias("font_name"),
         (F.col("_bold") >= F.col("_weight") * 0.5).alias("is_bold"),
         (F.col("_italic") >= F.col("_weight") * 0.5).alias("is_italic"),
         F.size("items").alias("n_items"),
@@ -131,6 +145,14 @@ def assemble_lines(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     )
 
 
+def nested_box(array: str, p: str) -> dict[str, Column]:
+    """Box around the boxes ``{p}x/y/w/h`` of an array of structs."""
+    right = F.array_max(F.transform(array, lambda i: i[p + "x"] + i[p + "w"]))
+    low = F.array_max(F.transform(array, lambda i: i[p + "y"] + i[p + "h"]))
+    left, top = F.array_min(f"{array}.{p}x"), F.array_min(f"{array}.{p}y")
+    return {f"{p}x": round3(left), f"{p}y": round3(top), f"{p}w": round3(right - left), f"{p}h": round3(low - top)}
+
+
 def _line_text() -> Column:
     """Text of the ordered runs, with a blank where the gap and scripts ask for one."""
     items = F.col("items")

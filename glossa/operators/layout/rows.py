@@ -80,13 +80,22 @@ def _row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     df = with_y_bands(items, keys, "ly", "_band")
     seq = Window.partitionBy(*keys).orderBy("_band", "lx", "item_ix")
     earlier = seq.rowsBetween(Window.unboundedPreceding, -1)
-    later = seq.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The running value over all later runs uses the reversed order: a frame that
+    # is open at its end would be evaluated anew for every row.
+    later = (
+        Window.partitionBy(*keys)
+        .orderBy(F.desc("_band"), F.desc("lx"), F.desc("item_ix"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     centre = F.col("ly") + F.col("lh") / 2
     slack = F.greatest(F.lit(2.0), F.col("font_size") * 0.48)
+    df = df.withColumns(
+        {"_low_y": F.min("ly").over(later), "_low_centre": F.min(centre - slack).over(later)}
+    )
     opens = (
         F.coalesce(F.lag("_band").over(seq) != F.col("_band"), F.lit(True))
-        & (F.min("ly").over(later) >= F.max(F.col("ly") + F.col("lh")).over(earlier))
-        & (F.min(centre - slack).over(later) > F.max(centre).over(earlier))
+        & (F.col("_low_y") >= F.max(F.col("ly") + F.col("lh")).over(earlier))
+        & (F.col("_low_centre") > F.max(centre).over(earlier))
     )
     df = df.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("int"))
     df = df.withColumn("_strip", F.sum("_opens").over(seq))
@@ -115,7 +124,7 @@ def _row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     )
     ranked = Window.partitionBy(*keys).orderBy("row_y", "_strip", "_sub")
     df = df.withColumn("row_ix", (F.dense_rank().over(ranked) - 1).cast("int"))
-    return df.drop("_opens", "_band", "_strip", "_plain", "_strip_items", "_fold", "_sub", "_nth")
+    return df.drop("_low_y", "_low_centre", "_opens", "_band", "_strip", "_plain", "_strip_items", "_fold", "_sub", "_nth")
 
 
 def with_neighbour(items: DataFrame, keys: list[str]) -> DataFrame:
