@@ -57,7 +57,7 @@ def translate(
             done["status"] = pd.array([status for _, _, status in outcomes], dtype="Int32")
             yield done
 
-    spread = batches.select(*[f.name for f in key_fields], "text").repartition(parallelism, *keys)
+    spread = batches.select(*[f.name for f in key_fields], "text").repartition(parallelism)
     return spread.mapInPandas(run, schema).withColumn(
         "retryable", is_retryable(F.col("status"), F.col("code"))
     )

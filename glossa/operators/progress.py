@@ -127,7 +127,7 @@ def sample_progress(
     Input: ``job_id, batch_id, ts, event_id, progress``.
     """
     ticks = (
-        events.groupBy(*BATCH, F.window(F.col("ts").cast("timestamp"), tick).alias("_w"))
+        events.groupBy(*BATCH, F.window("ts", tick).alias("_w"))
         .agg(F.max_by("progress", F.struct(*ORDER)).alias("progress"))
         .select(*BATCH, F.col("_w.start").alias("tick_start"), "progress")
     )

@@ -103,6 +103,17 @@ def fresh_context_stream(
         & (F.col("c_ts") <= F.col("ts"))
         & (F.col("ts") <= F.col("c_ts") + F.expr(f"interval {max_age}")),
     )
-    return joined.groupBy("user_id", F.window("ts", "1 minute"), "ts", "event_id").agg(
-        F.max_by(F.struct("context", "c_ts"), F.struct("c_ts", "c_id")).alias("_c")
-    ).select("user_id", "ts", "event_id", F.col("_c.context").alias("context"), F.col("_c.c_ts").alias("context_ts"))
+    # A stream may carry one event-time column only: the context's becomes a number.
+    plain = joined.select(
+        "user_id", "ts", "event_id", F.struct(F.unix_micros("c_ts").alias("at"), "c_id").alias("_order"), "context"
+    )
+    latest = plain.groupBy("user_id", "ts", "event_id").agg(
+        F.max_by(F.struct("context", F.col("_order.at").alias("at")), "_order").alias("_c")
+    )
+    return latest.select(
+        "user_id",
+        "ts",
+        "event_id",
+        F.col("_c.context").alias("context"),
+        F.timestamp_micros("_c.at").alias("context_ts"),
+    )

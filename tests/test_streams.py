@@ -110,5 +110,19 @@ def test_fresh_context_and_supersede(spark):
     assert [r.is_superseded for r in Q.supersede(requests).orderBy("event_id").collect()] == [True, False, False]
 
 
+def test_stream_context_equals_batch(spark):
+    rows = [(1, at(0), 1, "c0"), (1, at(20), 2, "c1"), (1, at(100), 3, None), (2, at(0), 4, "d"),
+            (1, at(10), 10, "act"), (1, at(50), 11, "act"), (1, at(51), 12, "act"), (2, at(29), 13, "act"),
+            (9, at(90_000), 90, "act"), (9, at(90_000), 91, "x")]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp, event_id bigint, context string")
+
+    def both(d):
+        return d.filter("context = 'act'").drop("context"), d.filter("context is null or context <> 'act'")
+
+    want = {r.event_id: r.context for r in Q.fresh_context(*both(df)).collect() if r.context and r.user_id != 9}
+    got = drained(spark, df, lambda s: Q.fresh_context_stream(*both(s)))
+    assert {r.event_id: r.context for r in got.collect() if r.context and r.user_id != 9} == want == {10: "c0", 11: "c1", 13: "d"}
+
+
 def test_space_set_is_fixed():
     assert len(SPACE_CHARS) == 25
