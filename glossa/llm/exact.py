@@ -36,6 +36,8 @@ def frequent(prints: DataFrame, candidates: int = CANDIDATES, tracked: int = TRA
     parts = (
         prints.groupBy(F.floor(F.spark_partition_id() / FAN_IN).alias("part"))
         .agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("summary"))
+        # A key that every row has: without one, the sketch fails on tasks that have no rows.
+        .groupBy(F.least("part", F.lit(-1)).alias("root"))
         .agg(F.expr(f"approx_top_k_combine(summary, {tracked})").alias("summary"))
     )
     return parts.select(F.explode(F.expr(f"approx_top_k_estimate(summary, {candidates})")).alias("top")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import chat, exact, quality, sharding
+from glossa.llm import bpe, chat, exact, packing, quality, sharding, toxicity
 from glossa.llm.common import read
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -115,6 +115,18 @@ def op2_exact_dedup(spark, sf_dir):
     return exact.mark_copies(read(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pieces(packing.pack(read(spark, sf_dir, "documents"), with_ids=False)).drop("input_ids")
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard_rows(read(spark, sf_dir, "documents"))
 
@@ -123,5 +135,16 @@ def op10_preference(spark, sf_dir):
     return chat.preference_rows(*chat.contrast(read(spark, sf_dir, "conversations")))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_rules, op2_exact_dedup, op9_sharding, op10_preference)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_quality_rules,
+        op2_exact_dedup,
+        op3_packing,
+        op7_toxicity,
+        op8_bpe,
+        op9_sharding,
+        op10_preference,
+    )
+}
 ORACLES = {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op10_preference": PREFERENCE_SQL}
