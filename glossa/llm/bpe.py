@@ -32,7 +32,7 @@ from glossa.llm.common import quoted
 
 NEVER = np.int64(2**62)
 WORD_END = "Ā"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 LONG_WORD = 64
@@ -40,6 +40,21 @@ ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 ANY_WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+#: Python takes these for white space, the vocabulary's patterns don't.
+CONTROLS = re.compile(r"[\x1c-\x1f]")
+
+
+def _normal(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    # Lower case goes character by character, so the final sigma is no case of its own.
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _cut(normal: str) -> list[str]:
+    return (ASCII_WORDS if normal.isascii() else ANY_WORDS).findall(normal)
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -98,12 +113,16 @@ class Lexicon:
             a, b = self.left[token], self.right[token]
             sound[token] = good and (self.rank[a] < 0 or sound[a]) and (self.rank[b] < 0 or sound[b])
         self.pieces = self.base | {piece(t): i for t, i in vocab.items() if sound[i]}
-        self.longest = max(map(len, self.pieces), default=1)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, bytes] = {}
         for text, i in self.special.items():
             self.cache[" " + text] = np.array([i], self.dtype).tobytes()
         self.fixed = dict(self.cache)
+        self.seen: dict[str, bytes] = {}
+        reach: dict[str, int] = {}
+        for p in self.pieces:
+            reach[p[:2]] = max(reach.get(p[:2], 1), len(p))
+        self.reach = reach
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge of a rank below ``limit`` crosses the border of tokens a and b.
@@ -134,9 +153,10 @@ class Lexicon:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if it runs into a dead end."""
-        out, at, end, pieces = [], 0, len(word), self.pieces
+        out, at, end, pieces, reach = [], 0, len(word), self.pieces, self.reach
         while at < end:
-            for stop in range(min(end, at + self.longest), at, -1):
+            # No piece that starts like this is longer.
+            for stop in range(min(end, at + reach.get(word[at : at + 2], 1)), at, -1):
                 # The end mark alone is no token: the rest must not be the mark only.
                 if stop != end - 1 and (token := pieces.get(word[at:stop])) is not None:
                     out.append(token)
@@ -223,20 +243,29 @@ class Lexicon:
                 at = found.end()
                 found = self.specials.search(text, at)
             return out + self.words(text[at:])
-        if text.isascii():
-            return ASCII_WORDS.findall(text.lower())
-        # Lower case goes character by character, so the final sigma is no case of its own.
-        return ANY_WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return _cut(_normal(text))
+
+    def runs(self, text: str) -> list[str]:
+        """Keys of the cache of runs: the parts of a text between white space, which can be encoded one by one."""
+        if ("<" in text and self.specials.search(text)) or CONTROLS.search(text):
+            return self.words(text)
+        return _normal(text).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as packed little-endian numbers."""
-        parts = [self.words(t) for t in texts]
+        parts = [self.runs(t) for t in texts]
         distinct = set().union(*parts)
-        self.learn(distinct.difference(self.cache))
+        new = {run: [run] if run in self.fixed else _cut(run) for run in distinct.difference(self.seen)}
+        self.learn(set().union(*new.values()).difference(self.cache))
         get = self.cache.__getitem__
-        out = [b"".join(map(get, words)) for words in parts]
+        for run, words in new.items():
+            self.seen[run] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        get = self.seen.__getitem__
+        out = [b"".join(map(get, runs)) for runs in parts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache = self.fixed | {w: self.cache[w] for w in distinct}
+            self.cache = dict(self.fixed)
+        if len(self.seen) > CACHE_WORDS:
+            self.seen = {r: self.seen[r] for r in distinct}
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
