@@ -29,3 +29,17 @@ def held(df: DataFrame, **named: Column) -> DataFrame:
 
 def released(df: DataFrame) -> DataFrame:
     return df.select(f"{HOLDER}.*")
+
+
+def sliced(batch, column: str = "text", limit: int = 4_000_000):
+    """Parts of an Arrow batch with about ``limit`` bytes of text each, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(batch):
+        done = int(ends[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto

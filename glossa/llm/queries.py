@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import bpe, chat, exact, packing, quality, sharding, toxicity
+from glossa.llm import bpe, chat, exact, licenses, packing, quality, sharding, suffix, toxicity
 from glossa.llm.common import read
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -119,6 +119,14 @@ def op3_packing(spark, sf_dir):
     return packing.pieces(packing.pack(read(spark, sf_dir, "documents"), with_ids=False)).drop("input_ids")
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix.removal_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -141,6 +149,8 @@ QUERIES = {
         op1_quality_rules,
         op2_exact_dedup,
         op3_packing,
+        op4_license_scan,
+        op6_suffix_dedup,
         op7_toxicity,
         op8_bpe,
         op9_sharding,
