@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.llm import bpe, chat, exact, licenses, packing, quality, sharding, suffix, toxicity
+from glossa.llm import bpe, chat, exact, jaccard, licenses, packing, quality, sharding, suffix, toxicity
 from glossa.llm.common import read
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -123,6 +123,10 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix.removal_digests(read(spark, sf_dir, "documents"))
 
@@ -150,6 +154,7 @@ QUERIES = {
         op2_exact_dedup,
         op3_packing,
         op4_license_scan,
+        op5_jaccard_join,
         op6_suffix_dedup,
         op7_toxicity,
         op8_bpe,

@@ -74,7 +74,7 @@ class Hashes:
         return _mixed((self.sums[stop] - self.sums[start]) * self.down[start])
 
 
-def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and their borders; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -226,7 +226,7 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 def _anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in sliced(b, limit=2_000_000)):
-            raw, borders = _raw(batch.column("text"))
+            raw, borders = raw_texts(batch.column("text"))
             found = stretches(raw, borders, length, gram)
             take = pa.array(found["row"])
             yield pa.RecordBatch.from_arrays(
