@@ -25,6 +25,7 @@ Every window is judged on the input; matches never cross rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,13 +86,16 @@ def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(raw: np.ndarray, borders: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """row, first and last window (bytes from the row's start), place and hash of the anchor, text hash of each stretch."""
+    """row, first window (bytes from the row's start), shape, anchor hash and text hash of each stretch.
+
+    The shape is the number of further windows times ``length`` plus the place of the anchor.
+    """
     width = length - gram + 1
     n = len(raw) - gram + 1
     long_rows = np.flatnonzero(np.diff(borders) >= length)
     if not len(long_rows):
         none = np.array([], np.int64)
-        return {"row": none, "first": none, "last": none, "at": none, "anchor": none, "print": none}
+        return {"row": none, "first": none, "shape": none, "anchor": none, "print": none}
     hashes = Hashes(raw)
     grams = hashes.of(np.arange(n), np.arange(gram, len(raw) + 1))
     order = (grams & _U(0xFFFFFFFF00000000)) | np.arange(n, dtype=_U)
@@ -118,14 +122,13 @@ def stretches(raw: np.ndarray, borders: np.ndarray, length: int, gram: int) -> d
     last = np.flatnonzero(stop & valid)
     at = least[first].astype(np.int64)
     row = np.searchsorted(borders, first, side="right") - 1
-    shape = _mixed((at - first).astype(_U) * _U(length) + (last - first).astype(_U))
+    shape = (last - first) * length + at - first
     return {
         "row": row,
         "first": first - borders[row],
-        "last": last - borders[row],
-        "at": at - first,
+        "shape": shape,
         "anchor": grams[at].astype(np.int64),
-        "print": (hashes.of(first, last + length) ^ shape).astype(np.int64),
+        "print": (hashes.of(first, last + length) ^ _mixed(shape.astype(_U))).astype(np.int64),
     }
 
 
@@ -233,13 +236,13 @@ def _anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 [
                     batch.column("doc_id").take(take),
                     batch.column("tag").take(take),
-                    *[pa.array(found[c], pa.int64()) for c in ("first", "last", "at", "anchor", "print")],
+                    *[pa.array(found[c], pa.int64()) for c in ("first", "shape", "anchor", "print")],
                 ],
-                ["doc_id", "tag", "first", "last", "at", "anchor", "print"],
+                ["doc_id", "tag", "first", "shape", "anchor", "print"],
             )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"doc_id {kind}, tag long, first long, last long, at long, anchor long, print long")
+    return keyed.mapInArrow(run, f"doc_id {kind}, tag long, first long, shape long, anchor long, print long")
 
 
 def _same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -255,8 +258,8 @@ def cores(raw: np.ndarray, at: int, length: int, group: int) -> tuple[np.ndarray
 
 
 def _texts(keyed: DataFrame, wanted: DataFrame, length: int, group: int) -> DataFrame:
-    """(anchor, print, at, bytes, cores) of the wanted stretches."""
-    fields = ("first", "last", "at", "anchor", "print")
+    """(anchor, print, at, bytes, cores) of the wanted stretches, the bytes compressed."""
+    fields = ("first", "shape", "anchor", "print")
     by_row = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     core_list = pa.list_(pa.struct([("group", pa.int32()), ("core", pa.int64())]))
 
@@ -266,11 +269,12 @@ def _texts(keyed: DataFrame, wanted: DataFrame, length: int, group: int) -> Data
             for text, stretch_list in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 whole = text.encode("utf-8", "surrogatepass")
                 for s in stretch_list:
-                    raw = whole[s["first"] : s["last"] + length]
+                    more, s["at"] = divmod(s["shape"], length)
+                    raw = whole[s["first"] : s["first"] + more + length]
                     groups, hashed = cores(np.frombuffer(raw, np.uint8), s["at"], length, group)
                     own = dict.fromkeys(groups.tolist())
                     found.append(s)
-                    texts.append(raw)
+                    texts.append(zlib.compress(raw, 1))
                     shared.append([{"group": g, "core": h} for g, h in zip(own, hashed.astype(np.int64).tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -299,7 +303,8 @@ def _narrowed(texts: DataFrame, length: int, group: int) -> DataFrame:
         for batch in batches:
             anchors, prints, starts, out = [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("anchor", "print", "at", "bytes", "groups"))
-            for anchor, key, at, raw, groups in zip(*columns, strict=True):
+            for anchor, key, at, packed, groups in zip(*columns, strict=True):
+                raw = zlib.decompress(packed)
                 of_window = (at - np.arange(len(raw) - length + 1)) // group
                 for span in _spans(np.flatnonzero(np.isin(of_window, groups))):
                     anchors.append(anchor)
@@ -382,7 +387,7 @@ def covered(
     anchors = cut_lineage(_anchored(keyed, length, gram))
     classes = cut_lineage(
         anchors.groupBy("anchor", "print").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first", "last", "at")).alias("one")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "first", "shape")).alias("one")
         )
     )
     # Anchors of one stretch only, and those of stretches that all repeat, need no comparison.
@@ -397,7 +402,7 @@ def covered(
     whole = classes.filter("n > 1").select(
         "anchor",
         "print",
-        F.array(F.struct(F.lit(0).alias("lo"), (F.col("one.last") - F.col("one.first")).cast("int").alias("hi"))).alias("spans"),
+        F.array(F.struct(F.lit(0).alias("lo"), F.floor(F.col("one.shape") / length).cast("int").alias("hi"))).alias("spans"),
     )
     # A stretch that repeats as a whole has its verdict already.
     verdicts = whole.unionByName(parts.join(classes.filter("n = 1"), ["anchor", "print"], "left_semi"))
