@@ -1,7 +1,8 @@
 """glossa: prepare document collections for machine translation with Spark.
 
-Every public operator takes DataFrames and returns a DataFrame.  Nothing is
-collected to the driver; the translator itself is a callable of the user.
+Every public operator takes DataFrames and returns a DataFrame.  Rows stay on the
+executors; what a driver sees is bounded by parameters (rounds, plans, models, counts
+per partition).  The service that is called for a text is a function of the user.
 """
 
 __version__ = "0.1.0"

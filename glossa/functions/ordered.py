@@ -175,17 +175,3 @@ def running_last(
     return out.withColumn(
         name, F.coalesce(F.last("_val", ignorenulls=True).over(w), F.col("_carry"))
     ).drop("_carry", "_val", SEGMENT)
-
-
-def salted_join(
-    df: DataFrame, small: DataFrame, keys: Sequence[str], how: str, spread: Column, salts: int = 16
-) -> DataFrame:
-    """Join one-row-per-key facts to rows whose keys may be hot.
-
-    Rows of a key are spread over ``salts`` partitions by ``spread`` (any
-    well-distributed column); the facts are repeated once per salt.  ``small``
-    should only hold the keys that need it (for instance groups with copies).
-    """
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -28,7 +28,7 @@ def build_page_batches(blocks: DataFrame, max_chars: int = limits.MAX_BATCH_CHAR
         (F.sum(code_points(F.col("text"))) + (F.count("*") - 1) * len(JOINT)).alias("n_chars")
     )
     over = sizes.filter(F.col("n_chars") > max_chars)
-    kept = ordered.salted_join(clean, over.select(*page), page, "left_anti", F.col("block_ix"))
+    kept = clean.join(over.select(*page), page, "left_anti")
     batches = kept.groupBy(*page).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "text"))), lambda b: b.text),
@@ -118,11 +118,11 @@ def admit_batches(
     rows = batches.select(*cols)
     large = rows.groupBy("job_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_rows)
     large = large.select("job_id")
-    small_rows = ordered.salted_join(rows, large, ["job_id"], "left_anti", F.col("seq"))
+    small_rows = rows.join(large, ["job_id"], "left_anti")
     folded = _admit_by_fold(small_rows, max_batches, max_chars, max_bytes)
     if large.isEmpty():
         return folded
-    large_rows = cut_lineage(ordered.salted_join(rows, large, ["job_id"], "left_semi", F.col("seq")))
+    large_rows = cut_lineage(rows.join(large, ["job_id"], "left_semi"))
     return folded.unionByName(
         _admit_by_rounds(large_rows, max_batches, max_chars, max_bytes, segment_seconds)
     )
@@ -200,7 +200,7 @@ def _admit_by_rounds(
             segment,
             {"_n": F.lit(1), "_c": F.col("chars"), "_b": F.col("bytes")},
         )
-        run = ordered.salted_join(run, state, ["job_id"], "inner", F.col("seq"), 8)
+        run = run.join(state, ["job_id"], "inner")
         misfit = (
             (F.col("_n0") + F.col("_n") > max_batches)
             | (F.col("_c0") + F.col("_c") > max_chars)
@@ -210,7 +210,7 @@ def _admit_by_rounds(
         stop = run.groupBy("job_id").agg(
             F.min(F.when(F.col("_misfit"), F.struct(*order))).alias("_stop")
         )
-        fits = ordered.salted_join(run, stop, ["job_id"], "inner", F.col("seq"), 8).filter(
+        fits = run.join(stop, ["job_id"], "inner").filter(
             F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop"))
         )
         fits = fits.select("job_id", "batch_id", *order, "chars", "bytes")
@@ -224,18 +224,13 @@ def _admit_by_rounds(
             )
         )
         open_state = state.filter(F.col("_stop").isNotNull() & (F.col("_n0") < max_batches))
-        left = ordered.salted_join(candidates, open_state, ["job_id"], "inner", F.col("seq"), 8).filter(
+        left = candidates.join(open_state, ["job_id"], "inner").filter(
             (F.struct(*order) > F.col("_stop"))
             & (F.col("_c0") + F.col("chars") <= max_chars)
             & (F.col("_b0") + F.col("bytes") <= max_bytes)
         )
-        left = ordered.salted_join(
-            left.select(*rows.columns),
-            admitted.select("job_id", "batch_id"),
-            ["job_id", "batch_id"],
-            "left_anti",
-            F.col("seq"),
-            8,
+        left = left.select(*rows.columns).join(
+            admitted.select("job_id", "batch_id"), ["job_id", "batch_id"], "left_anti"
         )
         candidates = cut_lineage(left)
         state = state.drop("_stop")
@@ -243,7 +238,7 @@ def _admit_by_rounds(
             break
 
     taken = admitted.select("job_id", "batch_id", F.struct(*order).alias("_at"))
-    marked = ordered.salted_join(rows, taken, ["job_id", "batch_id"], "left", F.col("seq"), 8)
+    marked = rows.join(taken, ["job_id", "batch_id"], "left")
     is_in = F.coalesce(F.col("_at") == F.struct(*order), F.lit(False))
     zero = F.lit(0).cast("bigint")
     run = ordered.running_sums(

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa import limits
-from glossa.functions import ordered
 from glossa.functions.text import SPACE_CHARS, is_blank, trim_space
 
 # Fixed value: the shape of an error code that may be shown as it is.
@@ -17,7 +16,7 @@ SAFE_CODE = r"\A[A-Z0-9_]{1,64}\z"
 
 
 class TranslationError(Exception):
-    """Raised by a translator to report a status or a code."""
+    """Raised by the called service to report a status or a code."""
 
     def __init__(self, message: str, code: str | None = None, status: int | None = None):
         super().__init__(message)
@@ -30,15 +29,15 @@ class TranslationError(Exception):
 
 def translate(
     batches: DataFrame,
-    translator: Callable[[str], str],
-    parallelism: int,
+    service: Callable[[str], str],
     keys: tuple[str, ...],
     max_response_chars: int = limits.MAX_RESPONSE_CHARS,
+    parallelism: int | None = None,
 ) -> DataFrame:
-    """Apply an external translator to ``text`` of every batch.
+    """Call an external service with ``text`` of every batch.
 
-    Rows are dealt evenly over ``parallelism`` partitions, which is the number
-    of simultaneous calls.  The outcome has ``state``, ``target``, ``code``,
+    Rows are dealt evenly over as many partitions as a shuffle has; ``parallelism``
+    lowers the number of simultaneous calls where a service asks for it.  The outcome has ``state``, ``target``, ``code``,
     ``status`` and ``retryable`` per batch; one failing call fails one row.
     """
     key_fields = [f for f in batches.schema if f.name in keys]
@@ -49,7 +48,7 @@ def translate(
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            outcomes = [_call(translator, text, max_response_chars) for text in part["text"]]
+            outcomes = [_call(service, text, max_response_chars) for text in part["text"]]
             done = part[[f.name for f in key_fields]].reset_index(drop=True)
             done["state"] = ["failed" if code else "completed" for _, code, _ in outcomes]
             done["target"] = [target for target, _, _ in outcomes]
@@ -57,23 +56,26 @@ def translate(
             done["status"] = pd.array([status for _, _, status in outcomes], dtype="Int32")
             yield done
 
-    spread = batches.select(*[f.name for f in key_fields], "text").repartition(parallelism)
+    tasks = parallelism or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = batches.select(*[f.name for f in key_fields], "text").repartition(tasks)
     return spread.mapInPandas(run, schema).withColumn(
         "retryable", is_retryable(F.col("status"), F.col("code"))
     )
 
 
-def _call(translator, text, max_units):
+def _call(service, text, max_units):
     """(target, code, status) of one call."""
     try:
-        output = translator(text)
+        output = service(text)
+        if not isinstance(output, str):
+            return None, "EMPTY_PAGE_RESPONSE", None
+        if len(output.encode("utf-16-le", "surrogatepass")) // 2 > max_units:
+            return None, "BATCH_OUTPUT_TOO_LARGE", None
+        output = output.strip(SPACE_CHARS)
     except Exception as error:  # noqa: BLE001 - any failure of the callable is an outcome
         status = getattr(error, "status", None)
         code = getattr(error, "code", None) or (f"HTTP_{status}" if status else "JOB_FAILED")
         return None, code, status
-    if len(output.encode("utf-16-le")) // 2 > max_units:
-        return None, "BATCH_OUTPUT_TOO_LARGE", None
-    output = output.strip(SPACE_CHARS)
     return (output, None, None) if output else (None, "EMPTY_PAGE_RESPONSE", None)
 
 
@@ -165,7 +167,7 @@ def reconcile_results(responses: DataFrame, requested: DataFrame) -> DataFrame:
         .select("batch_id", F.lit("INVALID_BATCH_RESPONSE").alias("error_code"))
     )
     rows = matched.filter(F.col("_asked") > 0).select("batch_id", "block_id", "target")
-    joined = ordered.salted_join(rows, failed, ["batch_id"], "left", F.col("block_id"))
+    joined = rows.join(failed, ["batch_id"], "left")
     return joined.select(
         "batch_id",
         "block_id",

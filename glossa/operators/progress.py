@@ -40,7 +40,7 @@ def current_attempt_events(
     kept = kept.drop("current_attempt")
     if batches is not None:
         known = batches.select(*BATCH).distinct()
-        kept = ordered.salted_join(kept, known, BATCH, "left_semi", F.col("event_id"), 4)
+        kept = kept.join(known, BATCH, "left_semi")
     return kept
 
 
@@ -64,15 +64,26 @@ def batch_state(events: DataFrame, segment_seconds: int = 86_400) -> DataFrame:
     )
 
 
-def page_status(pages: DataFrame, batches: DataFrame) -> DataFrame:
-    """Status per page: scanned, failed, translating, completed, cancelled, pending."""
+def page_status(pages: DataFrame, batches: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Status per page: scanned, failed, translating, completed, cancelled, pending.
+
+    ``jobs`` (``job_id, phase``) tells which jobs were cancelled: in those, a page with any
+    cancelled batch counts as cancelled.
+    """
     page = ["job_id", "page_no"]
     states = batches.groupBy(*page).agg(
         F.count("*").alias("n_batches"),
         *[F.count_if(F.col("state") == s).alias(f"_{s}") for s in ("failed", "translating", "completed", "cancelled")],
     )
     n = F.coalesce("n_batches", F.lit(0))
-    return pages.join(states, page, "left").select(
+    joined = pages.join(states, page, "left")
+    if jobs is None:
+        stopped = F.lit(False)
+    else:
+        gone = jobs.filter("phase = 'cancelled'").select("job_id", F.lit(True).alias("_stopped")).distinct()
+        joined = joined.join(gone, "job_id", "left")
+        stopped = F.coalesce("_stopped", F.lit(False))
+    return joined.select(
         *page,
         "is_scanned",
         n.cast("bigint").alias("n_batches"),
@@ -80,7 +91,7 @@ def page_status(pages: DataFrame, batches: DataFrame) -> DataFrame:
         .when(F.col("_failed") > 0, "failed")
         .when(F.col("_translating") > 0, "translating")
         .when(F.coalesce("_completed", F.lit(0)) == n, "completed")
-        .when(F.col("_cancelled") == n, "cancelled")
+        .when((F.col("_cancelled") == n) | (stopped & (F.col("_cancelled") > 0)), "cancelled")
         .otherwise("pending")
         .alias("status"),
     )

@@ -127,7 +127,7 @@ def language_audit(df: DataFrame) -> DataFrame:
     )
     return sets.select(
         F.when(F.col("g_lang") == 0, "lang").when(F.col("g_source") == 0, "source").otherwise("all").alias("level"),
-        F.coalesce("lang", "source", F.lit("all")).alias("name"),
+        F.when(F.col("g_lang") == 0, F.col("lang")).when(F.col("g_source") == 0, F.col("source")).otherwise("all").alias("name"),
         "n_docs",
         "n_en",
         "n_ja",
@@ -177,12 +177,16 @@ def validate_batches(
     """One verdict row per batch from ``batch_id, block_ix, block_id, text``.
 
     The code is that of the first offending block.  Batches above the block cap
-    are settled from their count alone; only batches within the cap (a bounded
+    are settled from their counts alone; only batches within the cap (a bounded
     number of rows each) are examined block by block.
     """
-    sizes = blocks.groupBy("batch_id").agg(F.count("*").alias("n_blocks"))
+    sizes = blocks.groupBy("batch_id").agg(
+        F.count("*").alias("n_blocks"),
+        F.sum(code_points(F.coalesce("text", F.lit("")))).alias("n_chars"),
+        F.sum(utf8_bytes(F.coalesce("text", F.lit("")))).alias("n_bytes"),
+    )
     over = sizes.filter(F.col("n_blocks") > max_blocks)
-    within = ordered.salted_join(blocks, over, ["batch_id"], "left_anti", F.col("block_ix"))
+    within = blocks.join(over.select("batch_id"), ["batch_id"], "left_anti")
 
     seq = Window.partitionBy("batch_id").orderBy("block_ix")
     upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -214,8 +218,8 @@ def validate_batches(
     refused = over.select(
         "batch_id",
         "n_blocks",
-        F.lit(None).cast("bigint").alias("n_chars"),
-        F.lit(None).cast("bigint").alias("n_bytes"),
+        "n_chars",
+        "n_bytes",
         F.lit("BLOCKS_INVALID").alias("error_code"),
     )
     return verdicts.unionByName(refused)
@@ -237,7 +241,7 @@ def validate_jobs(jobs: DataFrame, max_pages: int = limits.MAX_PAGES) -> DataFra
         .filter("_n > 1")
         .select("job_id", "_first")
     )
-    joined = ordered.salted_join(checked, repeated, ["job_id"], "left", F.col("seq"))
+    joined = checked.join(repeated, ["job_id"], "left")
     return joined.withColumn(
         "error_code",
         F.coalesce("_code", F.when(F.col("seq") > F.col("_first"), "JOB_ALREADY_EXISTS")),
@@ -267,7 +271,7 @@ def fingerprint_dedup(df: DataFrame, id_col: str = "doc_id", col: str = "text")
         .agg(F.min(id_col).alias("_rep"), F.count("*").alias("_n"))
         .filter("_n > 1")
     )
-    joined = ordered.salted_join(hashed, groups, ["fingerprint"], "left", F.col(id_col))
+    joined = hashed.join(groups, ["fingerprint"], "left")
     return (
         joined.withColumn("representative", F.coalesce("_rep", F.col(id_col)))
         .withColumn("group_size", F.coalesce("_n", F.lit(1)).cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import sha256_hex
@@ -27,7 +27,7 @@ def document_jobs(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("seq"),
         F.when(F.col("doc_id") % 17 == 0, "_job")
-        .otherwise(F.concat(F.lit("job:"), F.substring(digest, 1, 8)))
+        .otherwise(F.concat(F.lit("job:"), digest))
         .alias("job_id"),
         F.when(F.col("doc_id") % 19 == 0, "short").otherwise(F.upper(digest)).alias("fingerprint"),
         F.floor(F.length("text") / 40).cast("bigint").alias("page_count"),
@@ -68,8 +68,10 @@ def job_events(events: DataFrame, event_map: dict[str, str] = EVENT_MAP) -> Data
 
 
 def job_pages(log: DataFrame) -> DataFrame:
-    """Pages seen in the log; one in ten counts as scanned."""
-    return log.select("job_id", "page_no").distinct().withColumn(
+    """Pages seen in the log and one more of each job, which has no batches; one in ten counts as scanned."""
+    seen = log.select("job_id", "page_no")
+    empty = log.select("job_id", F.lit(1_000).cast("bigint").alias("page_no"))
+    return seen.unionByName(empty).distinct().withColumn(
         "is_scanned", (F.col("job_id") + F.col("page_no")) % 10 == 0
     )
 
@@ -116,16 +118,18 @@ def stub_translations(conversations: DataFrame) -> DataFrame:
     return full.unionByName(partial)
 
 
-def answered_batches(conversations: DataFrame, max_blocks: int = 64) -> DataFrame:
-    """One JSON answer per conversation, damaged in four ways by ``conv_id % 5``.
+#: Turns sent in one batch.
+TURNS_PER_BATCH = 64
+
+
+def turn_batch() -> Column:
+    """Batch of a turn: a conversation is sent in runs of ``TURNS_PER_BATCH`` turns."""
+    return F.concat_ws("-", "conv_id", F.floor(F.col("turn") / TURNS_PER_BATCH))
 
-    Conversations above the block cap were never sent, so they have no answer.
-    """
-    from glossa.functions.ordered import salted_join
 
-    sizes = conversations.groupBy("conv_id").agg(F.count("*").alias("_n"))
-    over = sizes.filter(F.col("_n") > max_blocks).select("conv_id")
-    sent = salted_join(conversations, over, ["conv_id"], "left_anti", F.col("turn"))
+def answered_batches(conversations: DataFrame) -> DataFrame:
+    """One JSON answer per batch of turns; by ``conv_id % 5`` fenced, or the first batch damaged in three ways."""
+    sent = conversations.withColumn("batch_id", turn_batch())
     kind = F.col("conv_id") % 5
     entry = F.struct(
         F.when((kind == 3) & (F.col("turn") == 0), "zzz")
@@ -136,18 +140,23 @@ def answered_batches(conversations: DataFrame, max_blocks: int = 64) -> DataFram
     )
     body = (
         sent.filter(~((kind == 1) & (F.col("turn") == 0)))
-        .groupBy("conv_id")
+        .groupBy("conv_id", "batch_id")
         .agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))).alias("_es"))
-        .select("conv_id", F.to_json(F.col("_es.e")).alias("_json"))
+        .select("conv_id", "batch_id", F.to_json(F.col("_es.e")).alias("_json"))
     )
     return body.select(
-        F.col("conv_id").alias("batch_id"),
+        "batch_id",
         F.when(F.col("conv_id") % 5 == 4, F.concat(F.lit("```json\n"), F.col("_json"), F.lit("\n```")))
         .otherwise(F.col("_json"))
         .alias("response"),
     )
 
 
+#: A turn and a chunk within it make one sequence number: a string has fewer than 2^31 characters.
+LAST_TURN = 2**31 - 1
+CHUNKS_PER_TURN = 2**32
+
+
 def response_chunks(conversations: DataFrame, size: int = 17) -> DataFrame:
     """Event-stream text of each conversation, one frame per turn, cut into small chunks.
 
@@ -156,8 +165,6 @@ def response_chunks(conversations: DataFrame, size: int = 17) -> DataFrame:
     JSON (% 7 = 3), upstream error (% 11 = 4), no content (% 13 = 6), end marker
     missing (% 6 = 5).
     """
-    from pyspark.sql import Window
-
     conv, turn = F.col("conv_id"), F.col("turn")
     content = F.when(conv % 13 == 6, "").otherwise(F.col("text"))
     payload = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("delta"))).alias("choices")))
@@ -173,12 +180,16 @@ def response_chunks(conversations: DataFrame, size: int = 17) -> DataFrame:
     )
     # The end marker is a frame of its own behind every turn a conversation can have.
     ends = conversations.filter((turn == 0) & (conv % 6 != 5)).select(
-        conv.alias("request_id"), F.lit(1_000).cast("bigint").alias("turn"), F.lit("\n\ndata: [DONE]\n\n").alias("frame")
+        conv.alias("request_id"), F.lit(LAST_TURN).cast("bigint").alias("turn"), F.lit("\n\ndata: [DONE]\n\n").alias("frame")
     )
     cut = frames.unionByName(ends).select(
         "request_id", "turn", F.posexplode(F.regexp_extract_all("frame", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("_i", "chunk")
     )
-    return cut.select("request_id", (F.col("turn") * 100_000 + F.col("_i")).alias("seq"), "chunk")
+    return cut.select("request_id", (F.col("turn") * CHUNKS_PER_TURN + F.col("_i")).alias("seq"), "chunk")
+
+
+#: More days than dates have.
+DAYS = 10_000_000
 
 
 def timed_chunks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,13 +201,13 @@ def timed_chunks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(origin.cast("timestamp"))) / 300).cast("bigint")
     )
     chunks = events.select(
-        (F.col("user_id") * 100 + day).alias("request_id"),
+        (F.col("user_id") * DAYS + day).alias("request_id"),
         F.col("event_id").alias("seq"),
         scaled.alias("ts"),
         (F.col("event_type") != "error").alias("is_content"),
         (F.col("event_type") == "error").alias("is_end"),
     )
-    sent = F.timestamp_micros(F.unix_micros(origin.cast("timestamp")) + (F.col("request_id") % 100) * 288_000_000)
+    sent = F.timestamp_micros(F.unix_micros(origin.cast("timestamp")) + (F.col("request_id") % DAYS) * 288_000_000)
     requests = chunks.select("request_id").distinct().select("request_id", sent.alias("sent_at"))
     return chunks, requests
 

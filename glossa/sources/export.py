@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa import limits
 from glossa.functions.text import escape_html, trim_space
 
-# Fixed value: the exported page may use inline styles and data images only.
+# The exported page may use inline styles and data images only.
 POLICY = "default-src 'none'; style-src 'unsafe-inline'; img-src data:; base-uri 'none'; form-action 'none'"
 STYLE = (
     "body{font-family:sans-serif;margin:2rem auto;max-width:70rem}"
@@ -123,36 +122,39 @@ def document_fragments(
     return heads.unionByName(middle).unionByName(feet)
 
 
-def whole_documents(fragments: DataFrame, max_pages: int = limits.MAX_PAGES) -> DataFrame:
-    """One HTML string per document, for documents within the page limit.
+def whole_documents(fragments: DataFrame) -> DataFrame:
+    """One HTML string per document, whatever its length.
 
-    Longer documents are left out here; ``write_bilingual_html`` writes them
-    from their fragments.
+    The string is one value, so a document must fit into a row here; ``write_bilingual_html``
+    writes documents from their fragments and gathers none.
     """
-    size = fragments.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    short = size.filter(F.col("_n") <= max_pages + 2).select("doc_id")
     return (
-        fragments.join(short, "doc_id", "left_semi")
-        .groupBy("doc_id")
+        fragments.groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("part_no", "html"))).alias("_p"))
         .select("doc_id", F.array_join(F.col("_p.html"), "\n").alias("html"))
     )
 
 
-def write_bilingual_html(fragments: DataFrame, documents: DataFrame, path: str) -> None:
-    """Write ``path/file_name=<name>/part-*``; parts of a document sort by name.
+def write_bilingual_html(fragments: DataFrame, documents: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write ``path/bucket=<n>/document=<id>-<name>/part-*``; parts of a document sort by name.
 
-    Range partitioning keeps fragments in order and lets a long document span
-    several part files.
+    The id keeps documents of one name apart, and hashed buckets keep folders
+    small.  Range partitioning keeps fragments in order and lets a long document
+    span several part files.
     """
-    names = documents.select("doc_id", safe_file_name(F.col("file_name")).alias("file_name"))
+    key = F.col("doc_id")
+    names = documents.select(
+        "doc_id",
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"),
+        F.concat(key.cast("string"), F.lit("-"), safe_file_name(F.col("file_name"))).alias("document"),
+    )
     (
         fragments.join(names, "doc_id")
-        .repartitionByRange("file_name", "doc_id", "part_no")
-        .sortWithinPartitions("file_name", "doc_id", "part_no")
-        .select("html", "file_name")
+        .repartitionByRange("bucket", "document", "part_no")
+        .sortWithinPartitions("bucket", "document", "part_no")
+        .select("html", "bucket", "document")
         .write.mode("overwrite")
-        .partitionBy("file_name")
+        .partitionBy("bucket", "document")
         .text(path)
     )
 

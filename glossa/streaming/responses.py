@@ -49,7 +49,7 @@ def stream_guards(
         .agg(F.min(F.struct("seq", "_code")).alias("_b"))
         .select("request_id", F.col("_b.seq").alias("breach_seq"), F.col("_b._code").alias("breach_code"))
     )
-    df = ordered.salted_join(df, first, keys, "left", F.col("seq"), 8)
+    df = df.join(first, keys, "left")
     return df.drop("_text", "_end", "prev__end", "_run", "_from", "_code")
 
 

@@ -90,15 +90,15 @@ SELECT request_id, tenant, kind, provider, CASE WHEN provider <> '' THEN NULL
   WHEN kind = 'text' AND mode = 'a' THEN 'A_KEY_MISSING' ELSE 'B_KEY_MISSING' END AS error_code FROM p"""
 
 
-def stub_translator(text: str) -> str:
-    """Deterministic stand-in for a translation service."""
+def stub_service(text: str) -> str:
+    """Deterministic stand-in for an external service."""
     if len(text) % 11 == 0:
         raise X.TranslationError("rate limited", status=429)
     return " \n" if len(text) % 7 == 0 else text[::-1]
 
 
 QUERIES["translate"] = lambda spark, d: X.translate(
-    table(spark, d, "documents").select("doc_id", "text"), stub_translator, 8, ("doc_id",), 20_000
+    table(spark, d, "documents").select("doc_id", "text"), stub_service, ("doc_id",), 20_000
 )
 ORACLES["translate"] = f"""
 WITH t AS (SELECT doc_id, trim(reverse(text), {SP_LITERAL}) AS target, CASE WHEN length(text) % 11 = 0 THEN 'HTTP_429'
@@ -110,11 +110,14 @@ SELECT doc_id, CASE WHEN code IS NULL THEN 'completed' ELSE 'failed' END AS stat
 
 QUERIES["reconcile_results"] = lambda spark, d: X.reconcile_results(
     bindings.answered_batches(table(spark, d, "conversations")),
-    bindings.page_blocks(table(spark, d, "conversations")).select(F.col("doc_id").alias("batch_id"), "block_id"),
+    table(spark, d, "conversations").select(
+        bindings.turn_batch().alias("batch_id"), F.concat(F.lit("b"), F.col("turn")).alias("block_id")
+    ),
 )
 ORACLES["reconcile_results"] = """
-SELECT conv_id AS batch_id, 'b' || turn AS block_id, CASE WHEN conv_id % 5 IN (0, 4) THEN reverse(text) END AS target,
-  CASE WHEN conv_id % 5 NOT IN (0, 4) THEN 'INVALID_BATCH_RESPONSE' END AS error_code FROM conversations"""
+SELECT conv_id || '-' || turn // 64 AS batch_id, 'b' || turn AS block_id, CASE WHEN ok THEN reverse(text) END AS target,
+  CASE WHEN NOT ok THEN 'INVALID_BATCH_RESPONSE' END AS error_code
+FROM (SELECT *, conv_id % 5 IN (0, 4) OR turn >= 64 AS ok FROM conversations)"""
 
 
 def _pairs(spark, d, view="bilingual"):

@@ -28,14 +28,15 @@ BS = """bs AS (SELECT job_id, batch_id, page_no, max(attempt) AS attempt,
     FILTER (attempt > 0 AND attempt = current_attempt
       AND event_type IN ('BATCH_DONE', 'BATCH_ERROR', 'BATCH_CANCELLED')), 'translating') END AS state
   FROM att GROUP BY job_id, batch_id, page_no)"""
-PG = "pg AS (SELECT DISTINCT job_id, page_no, (job_id + page_no) % 10 = 0 AS is_scanned FROM ev)"
+PG = """pg AS (SELECT DISTINCT job_id, page_no, (job_id + page_no) % 10 = 0 AS is_scanned
+  FROM (SELECT job_id, page_no FROM ev UNION ALL SELECT job_id, 1000 FROM ev))"""
 PS = """ps AS (SELECT pg.job_id, pg.page_no, is_scanned, count(state) AS n_batches,
   CASE WHEN is_scanned THEN 'scanned' WHEN count(*) FILTER (state = 'failed') > 0 THEN 'failed'
     WHEN count(*) FILTER (state = 'translating') > 0 THEN 'translating'
     WHEN count(*) FILTER (state = 'completed') = count(state) THEN 'completed'
     WHEN count(*) FILTER (state = 'cancelled') = count(state) THEN 'cancelled' ELSE 'pending' END AS status
   FROM pg LEFT JOIN sent USING (job_id, page_no) GROUP BY pg.job_id, pg.page_no, is_scanned)"""
-SENT = "sent AS (SELECT * FROM bs WHERE batch_id % 10 < 7)"
+SENT = "sent AS (SELECT * FROM bs)"
 
 
 def _log(spark, d):
@@ -46,40 +47,35 @@ def _states(spark, d):
     return E.batch_state(_log(spark, d))
 
 
-def _sent(spark, d):
-    # Some batches are left out so that pages without batches occur.
-    return _states(spark, d).filter(F.col("batch_id") % 10 < 7)
-
-
 def _pages(spark, d):
     return bindings.job_pages(_log(spark, d))
 
 
 QUERIES["current_attempt_events"] = lambda spark, d: E.current_attempt_events(
-    _log(spark, d), _sent(spark, d)
+    _log(spark, d), _states(spark, d).filter("state <> 'failed'")
 ).select("job_id", "batch_id", "ts", "event_id", "event_type", "attempt")
-ORACLES["current_attempt_events"] = f"""WITH {EV}, {AT}
-SELECT job_id, batch_id, ts, event_id, event_type, attempt FROM att
-WHERE attempt > 0 AND attempt = current_attempt AND batch_id % 10 < 7"""
+ORACLES["current_attempt_events"] = f"""WITH {EV}, {AT}, {BS}
+SELECT job_id, batch_id, ts, event_id, event_type, att.attempt FROM att SEMI JOIN (SELECT * FROM bs WHERE state <> 'failed') k
+USING (job_id, batch_id) WHERE att.attempt > 0 AND att.attempt = current_attempt"""
 
 QUERIES["batch_state"] = _states
 ORACLES["batch_state"] = f"WITH {EV}, {AT}, {BS} SELECT job_id, batch_id, page_no, attempt, state FROM bs"
 
-QUERIES["page_status"] = lambda spark, d: E.page_status(_pages(spark, d), _sent(spark, d))
+QUERIES["page_status"] = lambda spark, d: E.page_status(_pages(spark, d), _states(spark, d))
 ORACLES["page_status"] = (
     f"WITH {EV}, {AT}, {BS}, {SENT}, {PG}, {PS} SELECT job_id, page_no, is_scanned, n_batches, status FROM ps"
 )
 
-QUERIES["job_progress"] = lambda spark, d: E.job_progress(_pages(spark, d), _sent(spark, d))
+QUERIES["job_progress"] = lambda spark, d: E.job_progress(_pages(spark, d), _states(spark, d))
 ORACLES["job_progress"] = f"""WITH {EV}, {AT}, {BS}, {SENT}, {PG}, {PS},
 t AS (SELECT job_id, count(*) AS n_pages,
   count(*) FILTER (status = 'scanned' OR (status = 'completed' AND n_batches > 0)) AS n_done FROM ps GROUP BY job_id)
 SELECT job_id, n_pages, n_done, CAST(floor(n_done * 100.0::DOUBLE / n_pages + 0.5) AS BIGINT) AS percent FROM t"""
 
-QUERIES["job_settlement"] = lambda spark, d: E.job_settlement(_sent(spark, d).filter("state <> 'pending' or batch_id % 3 = 0"))
+QUERIES["job_settlement"] = lambda spark, d: E.job_settlement(_states(spark, d).filter("state <> 'pending'"))
 ORACLES["job_settlement"] = f"""WITH {EV}, {AT}, {BS}, {SENT},
 t AS (SELECT job_id, count(*) AS n_batches, count(*) FILTER (state IN ('pending', 'translating')) AS n_open,
-  count(*) FILTER (state = 'failed') AS n_failed FROM sent WHERE state <> 'pending' OR batch_id % 3 = 0 GROUP BY job_id)
+  count(*) FILTER (state = 'failed') AS n_failed FROM sent WHERE state <> 'pending' GROUP BY job_id)
 SELECT *, n_open = 0 AS settled, CASE WHEN n_open = 0 THEN
   CASE WHEN n_failed > 0 THEN 'finished_with_errors' ELSE 'completed' END END AS outcome FROM t"""
 

@@ -26,10 +26,10 @@ SQL_CHUNKS = """fr AS (SELECT conv_id AS request_id, turn, CASE WHEN turn > 0 TH
     CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN '{oops' WHEN conv_id % 11 = 4 AND turn = 1
       THEN '{"error":{"message":"overloaded"}}' ELSE '{"choices":[{"delta":{"content":' ||
         to_json(CASE WHEN conv_id % 13 = 6 THEN '' ELSE text END)::VARCHAR || '}}]}' END AS frame FROM conversations
-  UNION ALL SELECT conv_id, 1000, chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) FROM conversations
+  UNION ALL SELECT conv_id, 2147483647, chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) FROM conversations
     WHERE turn = 0 AND conv_id % 6 <> 5),
 cp AS (SELECT request_id, turn, regexp_extract_all(frame, '(?s).{1,17}') AS cs FROM fr),
-ch AS (SELECT request_id, turn * 100000 + generate_subscripts(cs, 1) - 1 AS seq, unnest(cs) AS chunk FROM cp)"""
+ch AS (SELECT request_id, turn * 4294967296 + generate_subscripts(cs, 1) - 1 AS seq, unnest(cs) AS chunk FROM cp)"""
 SQL_ANSWER = """an AS (SELECT conv_id AS request_id,
   coalesce(string_agg(CASE WHEN conv_id % 13 = 6 THEN '' ELSE text END, '' ORDER BY turn)
     FILTER (NOT ((conv_id % 7 = 3 OR conv_id % 11 = 4) AND turn >= 1)), '') AS output,
@@ -63,11 +63,11 @@ QUERIES["stream_timeouts"] = lambda spark, d: R.stream_timeouts(
     *bindings.timed_chunks(table(spark, d, "events"))
 ).select("request_id", "error_code", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"))
 ORACLES["stream_timeouts"] = """
-WITH c AS (SELECT user_id * 100 + date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS request_id, event_id,
+WITH c AS (SELECT user_id * 10000000 + date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS request_id, event_id,
     make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 300) AS ts,
     event_type = 'error' AS is_end FROM events),
 n AS (SELECT *, lead(ts) OVER (PARTITION BY request_id ORDER BY ts, event_id) AS nx FROM c),
-a AS (SELECT request_id, make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (request_id % 100) * 288000000) AS sent,
+a AS (SELECT request_id, make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (request_id % 10000000) * 288000000) AS sent,
     min(ts) AS head, min(ts) FILTER (NOT is_end) AS content, min(ts) FILTER (is_end) AS fin,
     min(ts + INTERVAL 45 SECOND) FILTER (NOT is_end AND (nx IS NULL OR nx > ts + INTERVAL 45 SECOND)) AS idle
   FROM n GROUP BY request_id),

@@ -182,8 +182,7 @@ k AS (SELECT *, CASE WHEN NOT regexp_matches(block_id, '^[A-Za-z0-9][A-Za-z0-9._
     WHEN nth > 1 THEN 'DUPLICATE_BLOCK_ID' WHEN {sql_trim('text')} = '' THEN 'BLOCK_TEXT_INVALID'
     WHEN rc > {CHAR_CAP} THEN 'BATCH_TEXT_TOO_LONG' WHEN rb > {BYTE_CAP} THEN 'BATCH_UTF8_TOO_LARGE' END AS code FROM c)
 SELECT batch_id, count(*) AS n_blocks,
-  CASE WHEN count(*) <= {BLOCK_CAP} THEN CAST(sum(ch) AS BIGINT) END AS n_chars,
-  CASE WHEN count(*) <= {BLOCK_CAP} THEN CAST(sum(nb) AS BIGINT) END AS n_bytes,
+  CAST(sum(ch) AS BIGINT) AS n_chars, CAST(sum(nb) AS BIGINT) AS n_bytes,
   CASE WHEN count(*) > {BLOCK_CAP} THEN 'BLOCKS_INVALID' ELSE arg_min(code, block_ix) FILTER (code IS NOT NULL) END
     AS error_code
 FROM k GROUP BY batch_id"""
@@ -193,7 +192,7 @@ QUERIES["validate_jobs"] = lambda spark, d: T.validate_jobs(
 ).select("seq", "job_id", "fingerprint", "page_count", "error_code")
 ORACLES["validate_jobs"] = """
 WITH j AS (SELECT doc_id AS seq,
-    CASE WHEN doc_id % 17 = 0 THEN '_job' ELSE 'job:' || substr(sha256(text), 1, 8) END AS job_id,
+    CASE WHEN doc_id % 17 = 0 THEN '_job' ELSE 'job:' || sha256(text) END AS job_id,
     CASE WHEN doc_id % 19 = 0 THEN 'short' ELSE upper(sha256(text)) END AS fingerprint,
     CAST(floor(length(text) / 40) AS BIGINT) AS page_count FROM documents),
 c AS (SELECT *, CASE WHEN NOT regexp_matches(job_id, '^[A-Za-z0-9][A-Za-z0-9._:-]*$') THEN 'JOB_ID_INVALID'

@@ -40,7 +40,7 @@ def test_export_escapes_and_marks(spark, tmp_path):
     assert "<script" not in html[1]
     export.write_bilingual_html(fragments, documents, str(tmp_path / "out"))
     written = spark.read.text(str(tmp_path / "out"))
-    assert {r.file_name for r in written.select("file_name").distinct().collect()} == {"a-b---x-.pdf", "document.html"}
+    assert {r.document for r in written.select("document").distinct().collect()} == {"1-a-b---x-.pdf", "2-document.html"}
 
 
 def test_request_lines(spark, tmp_path):
