@@ -57,7 +57,7 @@ def _newlines(col: Column) -> Column:
     return F.regexp_replace(col, "\r\n|\r", "\n")
 
 
-def _event(frame: Column) -> Column:
+def frame_event(frame: Column) -> Column:
     """One frame as (kind, delta)."""
     lines = F.filter(F.split(frame, "\n"), lambda x: F.startswith(x, F.lit("data:")))
     data = trim_space(F.array_join(F.transform(lines, lambda x: F.ltrim(F.substr(x, F.lit(6)))), "\n"))
@@ -107,7 +107,7 @@ def assemble_responses(
     )
     text = _newlines(F.regexp_replace(F.array_join(F.transform("_c", lambda c: c.chunk), ""), r"\A\x{FEFF}", ""))
     events = whole.select("request_id", "_breach", text.alias("_text")).withColumn(
-        "_events", F.transform(F.split("_text", BREAK), _event)
+        "_events", F.transform(F.split("_text", BREAK), frame_event)
     )
     stop = F.array_position(
         F.transform("_events", lambda e: e.kind.isin("done", "bad", "upstream")), True

@@ -173,8 +173,8 @@ ORACLES["admit_stream"] = (
 QUERIES["assemble_stream"] = lambda spark, d: W.joined_deltas(
     _drained(spark, W.assemble_stream(bindings.response_chunks(_stream(spark, d, "conversations", CONVERSATIONS_DDL))))
 )
-# A stream never sees the end of a response, so a last frame without its empty
-# line is still waiting, and a response without any emitted part has no row.
+# A stream never sees the end of a response: a last frame without its empty line is
+# still waiting, and a response without any whole frame has no row.
 ORACLES["assemble_stream"] = """
 WITH t AS (SELECT conv_id, turn, text, max(turn) OVER (PARTITION BY conv_id) AS lastt,
     conv_id % 7 = 3 OR conv_id % 11 = 4 AS err, conv_id % 6 = 5 AS open FROM conversations),
@@ -182,4 +182,4 @@ a AS (SELECT conv_id AS request_id, any_value(err) AS err, any_value(open) AS op
     coalesce(string_agg(CASE WHEN conv_id % 13 = 6 THEN '' ELSE text END, '' ORDER BY turn)
       FILTER (NOT (err AND turn >= 1) AND NOT (open AND turn = lastt)), '') AS output FROM t GROUP BY conv_id)
 SELECT request_id, output, NOT open AND NOT err AS is_done FROM a
-WHERE output <> '' OR NOT (open OR err) OR (err AND (lastt > 1 OR NOT open))"""
+WHERE lastt > 0 OR NOT open"""

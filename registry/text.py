@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import text as T
 from glossa.plans import bindings
+from glossa.sources import corpus
 from glossa.sources.corpus import pages_to_requests, read_corpus
 from registry.common import SP, SP_LITERAL, sql_count, sql_trim, sql_utf16, table
 
@@ -68,31 +69,28 @@ QUERIES["pages_to_requests"] = lambda spark, d: pages_to_requests(table(spark, d
 
 def _sql_visible():
     out = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style", "textarea", "noscript", "template", "title"):
+    for tag in corpus.HIDDEN:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
-    out = (
-        f"regexp_replace({out}, '(?is)<(\\w+)[^>]*\\bcontenteditable=(?:\"\"|\"true\")[^>]*>[^<]*</\\w+>', '', 'g')"
-    )
-    out = (
-        f"regexp_replace({out}, '(?i)<br[ /]*>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer)>',"
-        " chr(10), 'g')"
-    )
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
-    for entity, char in (
-        ("&lt;", "'<'"),
-        ("&gt;", "'>'"),
-        ("&quot;", "'\"'"),
-        ("&#39;", "chr(39)"),
-        ("&apos;", "chr(39)"),
-        ("&nbsp;", "' '"),
-        ("&amp;", "'&'"),
-    ):
-        out = f"replace({out}, '{entity}', {char})"
-    return sql_norm(out)
+    editing = corpus.EDITING.replace("'", "''").replace('\\"', '"')
+    for tag in corpus.EDITABLE:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*{editing}.*?</{tag}>', '', 'g')"
+    out = f"regexp_replace({out}, '{corpus.BLOCK_END}', chr(10), 'g')"
+    return f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
+
+
+def _sql_entities(text):
+    """Entities one after another; the ampersand last."""
+    names = ", ".join(f"'{k}': chr({ord(v)})" for k, v in corpus.named_entities().items())
+    code = "CASE WHEN lower(left(e, 2)) = '#x' THEN CAST('0x' || substr(e, 3) AS BIGINT) WHEN left(e, 1) = '#' THEN CAST(substr(e, 2) AS BIGINT) END"
+    valid = f"({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 AND ({code}) <> 38"
+    char = f"CASE WHEN left(e, 1) <> '#' THEN MAP {{{names}}}[e] WHEN ({code}) = 160 THEN ' ' WHEN {valid} THEN chr(CAST({code} AS INTEGER)) END"
+    out = f"list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '{corpus.ENTITY}', 1))), lambda t, e: coalesce(replace(t, '&' || e || ';', {char}), t))"
+    return f"regexp_replace({out}, '{corpus.AMPERSAND}', '&', 'g')"
 
 
 ORACLES["pages_to_requests"] = (
-    f"SELECT page_id, url, t AS text FROM (SELECT page_id, url, {_sql_visible()} AS t FROM pages) WHERE t <> ''"
+    f"SELECT page_id, url, t AS text FROM (SELECT page_id, url, {sql_norm(_sql_entities('v'))} AS t "
+    f"FROM (SELECT page_id, url, {_sql_visible()} AS v FROM pages)) WHERE t <> ''"
 )
 
 # --- preparation -----------------------------------------------------------

@@ -2,10 +2,13 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.operators import batching as B
 from glossa.operators import execution as X
 from glossa.operators import progress as E
+from glossa.plans import bindings
+from glossa.streaming import responses as R
 
 T0 = datetime(2024, 1, 1)
 
@@ -141,3 +144,29 @@ def test_request_template_leaves_placeholders_in_texts_alone(spark):
     payload = B.build_requests(df, "sys", "[{language}|{content_type}] {text}!").first().payload
     assert '"content":"[en|word] say {text} {language}!"' in payload
     assert '"thinking":{"type":"disabled"}' in payload
+
+
+def test_null_answers_fail_their_row_only(spark):
+    def service(text):
+        return None if text == "none" else text.upper()
+
+    df = spark.createDataFrame([(1, "none"), (2, "ok")], "doc_id int, text string")
+    got = {r.doc_id: (r.state, r.target, r.code) for r in X.translate(df, service, ("doc_id",)).collect()}
+    assert got == {1: ("failed", None, "EMPTY_PAGE_RESPONSE"), 2: ("completed", "OK", None)}
+
+
+def test_long_conversations_keep_all_turns(spark):
+    df = spark.createDataFrame([(5, t, "user", f"text {t}.") for t in range(1_100)], "conv_id bigint, turn bigint, role string, text string")
+    done = R.assemble_responses(bindings.response_chunks(df)).collect()[0]
+    assert done.output == "".join(f"text {t}." for t in range(1_100)) and not done.is_done  # 5 % 6 = 5: no end marker
+    asked = df.select(bindings.turn_batch().alias("batch_id"), F.concat(F.lit("b"), "turn").alias("block_id"))
+    got = X.reconcile_results(bindings.answered_batches(df), asked)
+    assert got.filter("error_code is null").count() == 1_100
+
+
+def test_cancelled_jobs(spark):
+    pages = spark.createDataFrame([(1, 1, False), (2, 1, False)], "job_id int, page_no int, is_scanned boolean")
+    batches = spark.createDataFrame([(j, b, 1, s) for j in (1, 2) for b, s in enumerate(["completed", "cancelled"])], "job_id int, batch_id int, page_no int, state string")
+    jobs = spark.createDataFrame([(1, "cancelled"), (2, "running")], "job_id int, phase string")
+    got = {r.job_id: r.status for r in E.page_status(pages, batches, jobs).collect()}
+    assert got == {1: "cancelled", 2: "pending"}

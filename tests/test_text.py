@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import trim_space, utf8_bytes, utf16_units
 from glossa.operators import text as T
+from glossa.sources.corpus import visible_text
 
 
 def texts(spark, values):
@@ -116,3 +117,20 @@ def test_batches_report_the_first_fault(spark):
 def test_trim_is_total(spark):
     df = texts(spark, ["﻿  x "]).select(trim_space(F.col("text")).alias("t"))
     assert df.first().t == "x"
+
+
+def test_entities_and_editable_regions(spark):
+    cases = {
+        "caf&#233; &mdash; it&#x2019;s &copy; &amp;lt; &#38;gt; &bogus; &#xD800; a&nbsp;b": "café — it’s © &lt; &gt; &bogus; &#xD800; a b",
+        "x<div contenteditable><p>edit</p></div>y": "xy",
+        '<p contenteditable="false">stays</p><span class="a" contenteditable=\'true\'>goes</span>': "stays",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "html string")
+    got = {r.html: r.text for r in df.select("html", visible_text(df["html"]).alias("text")).collect()}
+    assert {k: v.strip() for k, v in got.items()} == cases
+
+
+def test_null_groups_are_not_all(spark):
+    df = spark.createDataFrame([(None, None, "en"), ("de", "s", "")], "lang string, source string, detected string")
+    got = {(r.level, r.name): r.n_docs for r in T.language_audit(df).collect()}
+    assert got == {("lang", None): 1, ("lang", "de"): 1, ("source", None): 1, ("source", "s"): 1, ("all", "all"): 2}
