@@ -132,6 +132,44 @@ def running_sums(
     return out.drop(SEGMENT, *[f"_c_{n}" for n in sums])
 
 
+def clamped_counters(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, deltas: dict[str, Column]
+) -> DataFrame:
+    """Counters that never fall below zero, after each row (``name``) and before it (``prev_<name>``).
+
+    Such a counter equals its plain running sum minus the lowest sum so far, when
+    that is negative.  A segment is summed up by its total and its lowest sum, so
+    one summary and one join serve all counters.
+    """
+    df = with_segment(df, segment)
+    upto = local_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n, c in deltas.items():
+        df = df.withColumn(f"_d_{n}", c).withColumn(f"_r_{n}", F.sum(f"_d_{n}").over(upto))
+    summary = df.groupBy(*keys, SEGMENT).agg(
+        *[F.sum(f"_d_{n}").alias(f"_s_{n}") for n in deltas], *[F.min(f"_r_{n}").alias(f"_l_{n}") for n in deltas]
+    )
+    for n in deltas:
+        summary = summary.withColumn(f"_c_{n}", F.coalesce(F.sum(f"_s_{n}").over(before(keys)), F.lit(0)))
+    carry = summary.select(
+        *keys,
+        SEGMENT,
+        *[f"_c_{n}" for n in deltas],
+        *[
+            F.least(F.lit(0), F.coalesce(F.min(F.col(f"_c_{n}") + F.col(f"_l_{n}")).over(before(keys)), F.lit(0))).alias(f"_m_{n}")
+            for n in deltas
+        ],
+    )
+    out = df.join(carry, [*keys, SEGMENT], "left")
+    for n in deltas:
+        raw = F.col(f"_c_{n}") + F.col(f"_r_{n}")
+        out = out.withColumn(f"_a_{n}", raw)
+        low = F.least(F.col(f"_m_{n}"), F.min(f"_a_{n}").over(upto))
+        out = out.withColumn(n, F.col(f"_a_{n}") - low)
+        start = F.col(f"_c_{n}") - F.col(f"_m_{n}")
+        out = out.withColumn(f"prev_{n}", F.coalesce(F.lag(n).over(local_window(keys, order)), start))
+    return out.drop(SEGMENT, *[f"_{x}_{n}" for n in deltas for x in "drcma"])
+
+
 def running_extreme(
     df: DataFrame,
     keys: Sequence[str],

@@ -268,12 +268,13 @@ def queue_pressure(
     max_queued: int = limits.MAX_QUEUED_BATCHES,
     max_jobs: int = limits.MAX_ACTIVE_JOBS,
     segment_seconds: int = 86_400,
+    global_seconds: int = 600,
 ) -> DataFrame:
     """Active and queued batches per job, and active jobs, after every event.
 
-    Counters never fall below zero.  A counter clamped at zero equals its plain
-    running sum minus the smallest running sum so far (when negative), so two
-    distributed running passes give it exactly.
+    Counters never fall below zero.  One pass gives both counters of a job and
+    their values before each event; a second one adds up the jobs that open and
+    close, over all jobs in segments of ``global_seconds``.
     """
     kind = F.col("event_type")
     ended = kind.isin("BATCH_DONE", "BATCH_ERROR", "BATCH_CANCELLED")
@@ -286,17 +287,12 @@ def queue_pressure(
         F.when(kind == "BATCH_STARTED", 1).when(ended, -1).otherwise(0).cast("bigint").alias("_da"),
         F.when(kind == "BATCH_QUEUED", 1).when(kind == "BATCH_STARTED", -1).otherwise(0).cast("bigint").alias("_dq"),
     )
-    run = ordered.running_sums(
-        deltas, ["job_id"], order, segment, {"_ra": F.col("_da"), "_rq": F.col("_dq")}
+    run = ordered.clamped_counters(
+        deltas, ["job_id"], order, segment, {"active": F.col("_da"), "queued": F.col("_dq")}
     )
-    for name, raw in (("active", "_ra"), ("queued", "_rq")):
-        run = ordered.running_extreme(
-            run, ["job_id"], order, segment, F.col(raw), "_low", largest=False
-        )
-        run = run.withColumn(name, F.col(raw) - F.least(F.col("_low"), F.lit(0))).drop("_low")
-    run = ordered.previous_row(run, ["job_id"], order, segment, ["active"])
-    opened = (F.col("active") > 0).cast("bigint") - (F.coalesce("prev_active", F.lit(0)) > 0).cast("bigint")
-    run = ordered.running_sums(run, [], order, segment, {"active_jobs": opened})
+    opened = (F.col("active") > 0).cast("bigint") - (F.col("prev_active") > 0).cast("bigint")
+    everywhere = ordered.time_segment(F.col("ts"), global_seconds)
+    run = ordered.running_sums(run, [], order, everywhere, {"active_jobs": opened})
     return run.select(
         "job_id",
         *order,

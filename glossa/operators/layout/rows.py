@@ -28,36 +28,39 @@ def with_y_bands(df: DataFrame, keys: list[str], y: str, out: str) -> DataFrame:
 
 
 # Greedy clustering of one strip of runs (text rows that touch in y), in reading
-# order.  State: b = bands (top, height, fonts), o = band number per run.
-# A run joins the nearest of the last six bands whose centre is within
-# max(2, 0.48 * smaller font) or which overlaps it by at least 45 %.
+# order.  State: b = the last six bands (top, height, fonts), n = bands before
+# them, o = band number per run.  A run joins the nearest of those bands whose
+# centre is within max(2, 0.48 * smaller font) or which overlaps it by at least
+# 45 %.
 _MEDIAN = (
     "(element_at(array_sort({f}), cast((size({f}) + 1) div 2 as int))"
     " + element_at(array_sort({f}), cast(size({f}) div 2 + 1 as int))) / 2"
 )
 _R3 = "(floor(({v}) * 1000.0D + 0.5D) / 1000.0D)"
 _FOLD = f"""
-aggregate(_strip_items,
+aggregate(_members,
   named_struct('b', cast(array() as array<struct<t:double,h:double,f:array<double>>>),
-               'o', cast(array() as array<int>)),
+               'n', 0, 'o', cast(array() as array<int>)),
   (s, x) -> transform(array(array_min(filter(
       transform(s.b, (b, i) -> named_struct(
-        'd', abs(x.y + x.h / 2 - (b.t + b.h / 2)),
+        'd', abs(x.ly + x.lh / 2 - (b.t + b.h / 2)),
         'i', i,
-        'ok', i >= size(s.b) - 6 and (
-          abs(x.y + x.h / 2 - (b.t + b.h / 2))
-            <= greatest(2.0D, least(x.f, {_MEDIAN.format(f="b.f")}) * 0.48D)
-          or greatest(0.0D, least(x.y + x.h, b.t + b.h) - greatest(x.y, b.t))
-            / greatest(1.0D, least(x.h, b.h)) >= 0.45D))),
+        'ok', abs(x.ly + x.lh / 2 - (b.t + b.h / 2))
+            <= greatest(2.0D, least(x.font_size, {_MEDIAN.format(f="b.f")}) * 0.48D)
+          or greatest(0.0D, least(x.ly + x.lh, b.t + b.h) - greatest(x.ly, b.t))
+            / greatest(1.0D, least(x.lh, b.h)) >= 0.45D)),
       c -> c.ok))),
     hit -> if(hit is null,
-      named_struct('b', array_append(s.b, named_struct('t', x.y, 'h', x.h, 'f', array(x.f))),
-                   'o', array_append(s.o, size(s.b))),
+      named_struct('b', array_append(slice(s.b, if(size(s.b) < 6, 1, 2), 5),
+                                     named_struct('t', x.ly, 'h', x.lh, 'f', array(x.font_size))),
+                   'n', s.n + if(size(s.b) < 6, 0, 1),
+                   'o', array_append(s.o, s.n + size(s.b))),
       named_struct('b', transform(s.b, (b, i) -> if(i = hit.i,
-            named_struct('t', {_R3.format(v="least(b.t, x.y)")},
-                         'h', {_R3.format(v="greatest(b.t + b.h, x.y + x.h) - least(b.t, x.y)")},
-                         'f', array_append(b.f, x.f)), b)),
-                   'o', array_append(s.o, hit.i))))[0],
+            named_struct('t', {_R3.format(v="least(b.t, x.ly)")},
+                         'h', {_R3.format(v="greatest(b.t + b.h, x.ly + x.lh) - least(b.t, x.ly)")},
+                         'f', array_append(b.f, x.font_size)), b)),
+                   'n', s.n,
+                   'o', array_append(s.o, s.n + hit.i))))[0],
   s -> s.o)"""
 
 
@@ -100,20 +103,22 @@ def _row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     df = df.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("int"))
     df = df.withColumn("_strip", F.sum("_opens").over(seq))
 
-    strip = Window.partitionBy(*keys, "_strip").orderBy("_band", "lx", "item_ix")
-    whole = strip.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns(
-        {
-            "_nth": F.row_number().over(strip),
-            "_plain": (F.min("ly").over(whole) == F.max("ly").over(whole))
-            & (F.min("lh").over(whole) == F.max("lh").over(whole)),
-        }
+    # One row per strip, in the partitioning of its page; its runs come back one by one.
+    carried = [c for c in items.columns if c not in (*keys, "lx", "item_ix")]
+    member = F.struct("_band", "lx", "item_ix", *carried)
+    strips = df.groupBy(*keys, "_strip").agg(
+        F.array_sort(F.collect_list(member)).alias("_members"),
+        ((F.min("ly") == F.max("ly")) & (F.min("lh") == F.max("lh"))).alias("_plain"),
+    )
+    number = F.when(F.col("_plain"), F.transform("_members", lambda m: F.lit(0))).otherwise(F.expr(_FOLD))
+    df = strips.select(
+        *keys, "_strip", F.explode(F.arrays_zip(F.col("_members").alias("m"), number.alias("k"))).alias("_z")
+    ).select(
+        *keys,
+        "_strip",
+        F.col("_z.k").alias("_sub"),
+        *[F.col(f"_z.m.{c}").alias(c) for c in ("item_ix", "lx", *carried)],
     )
-    member = F.struct(F.col("ly").alias("y"), F.col("lh").alias("h"), F.col("font_size").alias("f"))
-    df = df.withColumn("_strip_items", F.collect_list(F.when(~F.col("_plain"), member)).over(whole))
-    df = df.withColumn("_fold", F.when((F.col("_nth") == 1) & ~F.col("_plain"), F.expr(_FOLD)))
-    df = df.withColumn("_fold", F.first("_fold", ignorenulls=True).over(whole))
-    df = df.withColumn("_sub", F.coalesce(F.get("_fold", F.col("_nth") - 1), F.lit(0)))
 
     band = Window.partitionBy(*keys, "_strip", "_sub")
     df = df.withColumns(
@@ -124,7 +129,7 @@ def _row_bands(items: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     )
     ranked = Window.partitionBy(*keys).orderBy("row_y", "_strip", "_sub")
     df = df.withColumn("row_ix", (F.dense_rank().over(ranked) - 1).cast("int"))
-    return df.drop("_low_y", "_low_centre", "_opens", "_band", "_strip", "_plain", "_strip_items", "_fold", "_sub", "_nth")
+    return df.drop("_strip", "_sub")
 
 
 def with_neighbour(items: DataFrame, keys: list[str]) -> DataFrame:
