@@ -8,8 +8,10 @@ their sets reaches a threshold.  Equal sets are one class and one point from the
    shingles that are frequent within parts of the input last, so that common passages don't
    bring together what is otherwise unlike.  Classes that share such a shingle meet in a
    *bucket*; buckets of the same classes are one.
-2. Count vectors.  The shingles of a set are hashed into ``GROUPS`` groups; the counts are a
-   point.  The sum of the coordinate minima of two points bounds their overlap.
+2. Count vectors.  The shingles of a set are hashed into groups, a power of two that grows
+   with the set, so that a group holds a few; the counts are a point.  The sum of the
+   coordinate minima of two points bounds their overlap.  A point with twice the groups is
+   folded by adding its halves, and sets that link differ by no more.
 3. R-tree.  The points of a bucket are packed into a tree by size and coordinates; nodes
    hold the coordinate maxima and the range of sizes, and a point descends only where the
    bound can reach the overlap that its size asks for.  Large buckets are cut into cells by
@@ -39,7 +41,8 @@ from glossa.session import cut_lineage
 
 SIZE = 5
 PERCENT = 80
-GROUPS = 128
+GROUPS = 64
+PER_GROUP = 4
 FREQUENT = 64
 HOT_LIMIT = 1_000_000
 CELL = 256
@@ -101,17 +104,26 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((shingles >> _U(8)).astype(np.int64) % groups, minlength=groups)
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    groups = max(GROUPS, 1 << (len(shingles) // PER_GROUP).bit_length())
+    return np.bincount((shingles >> _U(8)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    while vectors.shape[1] > groups:
+        half = vectors.shape[1] // 2
+        vectors = vectors[:, :half] + vectors[:, half:]
+    return vectors
 
 
 def _packed_vector(v: np.ndarray) -> bytes:
-    top = int(v.max(initial=0))
-    return v.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    """The counts in as few bytes as they need, behind one byte that tells how many."""
+    kind = np.dtype(np.min_scalar_type(int(v.max(initial=0))))
+    return bytes([kind.itemsize]) + v.astype(kind).tobytes()
 
 
-def _vector(raw: bytes, groups: int = GROUPS) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // groups]).astype(np.int32)
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1).astype(np.int32)
 
 
 def frequent_shingles(keyed: DataFrame, size: int, frequent: int) -> np.ndarray:
@@ -330,6 +342,21 @@ def tree_join(sizes, vectors, queries, q_sizes, percent: int, block: int = 1 <<
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], np.int64),) * 3
 
 
+def _by_groups(n: np.ndarray, v: list[np.ndarray], tree: np.ndarray, asks: np.ndarray, percent: int):
+    """Pairs (ask, tree, bound) over trees of points with equally many groups; asks have as many, half or twice."""
+    groups = np.array([len(x) for x in v])
+    found = [(np.array([], np.int64),) * 3]
+    for g in np.unique(groups[tree]).tolist():
+        own = tree[groups[tree] == g]
+        for h in (g // 2, g, 2 * g):
+            ask = asks[groups[asks] == h]
+            if len(ask):
+                a, b = (folded(np.stack([v[i] for i in x]), min(g, h)) for x in (own, ask))
+                q, p, bound = tree_join(n[own], a, b, n[ask], percent)
+                found.append((ask[q], own[p], bound))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _candidates(cells: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """(a, b) with a < b: pairs of classes of different labels that may link; only each point's best one if wanted."""
 
@@ -344,10 +371,9 @@ def _candidates(cells: DataFrame, percent: int, best_only: bool) -> DataFrame:
             left = np.array([r[0] for r in rows], bool)
             if len(cls) < 2 or (not same and (left.all() or not left.any())):
                 return cls[:0], cls[:0]
-            v = np.stack([_vector(r[5]) for r in rows])
+            v = [_vector(r[5]) for r in rows]
             tree, asks = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-            q, p, bound = tree_join(n[tree], v[tree], v[asks], n[asks], percent)
-            q, p = asks[q], tree[p]
+            q, p, bound = _by_groups(n, v, tree, asks, percent)
             use = (label[q] != label[p]) & ((q < p) | (not same) | best_only)
             q, p, bound = q[use], p[use], bound[use]
             if best_only and len(q):
