@@ -94,15 +94,13 @@ def log_ratios(rows: DataFrame, features: int, smoothing: float) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
     )
     counts = cut_lineage(counts)
-    total = counts.agg(F.sum("toxic").alias("all_toxic"), F.sum("other").alias("all_other"))
-    # One row of totals.
-    joined = counts.join(F.broadcast(total), F.col("bucket") >= 0)
-    ratio = F.log((F.col("toxic") + smoothing) / (F.col("all_toxic") + smoothing)) - F.log(
-        (F.col("other") + smoothing) / (F.col("all_other") + smoothing)
+    all_toxic, all_other = (n or 0 for n in counts.agg(F.sum("toxic"), F.sum("other")).first())
+    ratio = F.log((F.col("toxic") + smoothing) / (all_toxic + smoothing)) - F.log(
+        (F.col("other") + smoothing) / (all_other + smoothing)
     )
     spread = F.sqrt(1 / (F.col("toxic") + smoothing) + 1 / (F.col("other") + smoothing))
     return (
-        joined.select("bucket", ratio.alias("ratio"), F.abs(ratio / spread).alias("sure"))
+        counts.select("bucket", ratio.alias("ratio"), F.abs(ratio / spread).alias("sure"))
         .orderBy(F.desc("sure"), "bucket")
         .limit(features)
         .select("bucket", "ratio")
