@@ -7,7 +7,9 @@ cutoffs of a fixed grid are tested from the most lenient on: the hypothesis "mor
 labelled documents.  The tests of a rule stop at the first cutoff that is not refuted (a
 fixed sequence needs no further correction), and Bonferroni covers strata and rules.  With
 probability ``1 - level`` no stratum loses more than ``risk`` of its good documents to
-all rules together.  A rule without a certified cutoff rejects nothing in that stratum.
+all rules together.  All certified cutoffs hold at once, so any of them may be taken: the
+one that rejects most bad labelled documents beyond the good ones, the most lenient of
+equal ones.  A rule without a certified cutoff that does so rejects nothing in that stratum.
 """
 
 from __future__ import annotations
@@ -105,19 +107,25 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(held: DataFrame, risk: float = RISK, level: float = LEVEL, rules: dict = RULES) -> DataFrame:
-    """(stratum, rule, cutoff) from the features of good labelled documents; only certified rules have a row.
+    """(stratum, rule, cutoff) from the features of labelled documents (``good`` or not); only certified rules have a row.
 
     ``held`` is aggregated to one row per stratum (at most five), the rest works on those.
     """
-    above = lambda num, den, cut: F.count_if(F.col(num) * 1000 > F.col(den) * cut)
+    above = lambda num, den, cut, good: F.count_if((F.col(num) * 1000 > F.col(den) * cut) & (F.col("good") == good))
     tests = [(rule, step, cut, num, den) for rule, (num, den, cuts) in rules.items() for step, cut in enumerate(cuts)]
     counts = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"), *[above(num, den, cut).alias(f"{rule}_{step}") for rule, step, cut, num, den in tests]
+        F.count_if("good").alias("n"),
+        *[above(num, den, cut, True).alias(f"{rule}_{step}") for rule, step, cut, num, den in tests],
+        *[above(num, den, cut, False).alias(f"bad_{rule}_{step}") for rule, step, cut, num, den in tests],
     )
     rows = F.array(
         *[
             F.struct(
-                F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{step}").alias("k")
+                F.lit(rule).alias("rule"),
+                F.lit(step).alias("step"),
+                F.lit(cut).alias("cutoff"),
+                F.col(f"{rule}_{step}").alias("k"),
+                (F.col(f"bad_{rule}_{step}") - F.col(f"{rule}_{step}")).alias("gain"),
             )
             for rule, step, cut, _, _ in tests
         ]
@@ -133,9 +141,9 @@ def certified_cutoffs(held: DataFrame, risk: float = RISK, level: float = LEVEL,
     order = Window.partitionBy("stratum", "rule").orderBy("step")
     return (
         tested.withColumn("all_passed", F.min("passed").over(order))
-        .filter("all_passed")
+        .filter("all_passed and gain > 0")
         .groupBy("stratum", "rule")
-        .agg(F.min("cutoff").alias("cutoff"))
+        .agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
     )
 
 
@@ -151,21 +159,21 @@ def judge(
 ) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and rejected_by (rules that rejected, sorted, comma-joined).
 
-    ``labels`` has doc_id and quality (1: good).  Good documents that pass the base rule are
-    the holdout; an id with contradicting labels is not good, null labels are ignored.
+    ``labels`` has doc_id and quality (1: good, 0: bad).  Labelled documents that pass the base
+    rule are the holdout; ids with contradicting labels and null labels are ignored.
     Languages that are null or not in ``STRATA`` share one stratum.  Null texts have no
     words and fail the base rule.  Repeated rows each count.  Other columns are ignored; without
     labels nothing is certified and the base rule alone decides.
     """
     rows = cut_lineage(features(docs, id_col, text_col, stratum_col))
-    good = (
+    known = (
         labels.filter("quality is not null")
-        .groupBy(F.col("doc_id").alias("doc_id"))
-        .agg(F.min("quality").alias("quality"))
-        .filter("quality = 1")
-        .select("doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+        .filter("least = most")
+        .select("doc_id", (F.col("least") == 1).alias("good"))
     )
-    cutoffs = certified_cutoffs(rows.filter("not base_failed").join(good, "doc_id", "left_semi"), risk, level, rules)
+    cutoffs = certified_cutoffs(rows.filter("not base_failed").join(known, "doc_id"), risk, level, rules)
     by_stratum = cutoffs.groupBy("stratum").pivot("rule", list(rules)).agg(F.min("cutoff"))
     # At most len(STRATA) + 1 rows.
     judged = rows.join(F.broadcast(by_stratum), "stratum", "left")

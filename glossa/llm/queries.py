@@ -45,12 +45,14 @@ f AS (
     CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+  HAVING min(quality) = max(quality)),
 grid AS (SELECT * FROM (VALUES {_rule_values()}) v(rule, step, cut)),
 tests AS (
-  SELECT stratum, rule, step, cut, count(*) AS n,
-    count(*) FILTER (CASE rule {_rule_ratios() % (("cut",) * len(quality.RULES))} END) AS k
-  FROM b JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+  SELECT stratum, rule, step, cut, count(*) FILTER (good) AS n,
+    count(*) FILTER (good AND CASE rule {_rule_ratios() % (("cut",) * len(quality.RULES))} END) AS k,
+    count(*) FILTER (NOT good AND CASE rule {_rule_ratios() % (("cut",) * len(quality.RULES))} END) AS bad
+  FROM b JOIN known USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
 p AS (
   SELECT *, CASE WHEN k < n * {SHARE} THEN list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1)
       - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({SHARE}) + (n - i) * ln(1 - {SHARE}))))
@@ -59,7 +61,7 @@ p AS (
 seq AS (
   SELECT *, bool_and(p * strata * {len(quality.RULES)} <= {quality.LEVEL})
     OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM p),
-cutoffs AS (SELECT stratum, rule, min(cut) AS cut FROM seq WHERE ok GROUP BY ALL),
+cutoffs AS (SELECT stratum, rule, arg_max(cut, (bad - k, cut)) AS cut FROM seq WHERE ok AND bad > k GROUP BY ALL),
 hits AS (
   SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rejected_by FROM b JOIN cutoffs USING (stratum)
   WHERE CASE rule {_rule_ratios() % (("cut",) * len(quality.RULES))} END GROUP BY doc_id)
