@@ -134,7 +134,9 @@ def certified_cutoffs(held: DataFrame, risk: float = RISK, level: float = LEVEL,
     # k at or above its expectation cannot refute anything, so the long sum is left out.
     p_value = F.when(F.col("k") < F.col("n") * share, binomial_tail(F.col("k"), F.col("n"), share)).otherwise(1.0)
     tested = (
-        counts.select("stratum", "n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("strata"), F.explode(rows).alias("t"))
+        counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+        .withColumn("tests", rows)
+        .select("stratum", "n", "strata", F.explode("tests").alias("t"))
         .select("stratum", "n", "strata", "t.*")
         .withColumn("passed", p_value * F.col("strata") * len(rules) <= level)
     )

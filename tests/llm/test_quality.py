@@ -68,3 +68,11 @@ def test_cutoffs_hold_the_risk(spark):
 
 def test_nothing(spark, nothing):
     assert quality.judge(nothing, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_correction_counts_strata_not_tests(spark):
+    """300 good documents are enough for two strata and four rules at these levels, not for many more tests."""
+    names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long"
+    rows = [(s, 30, 150, 100 * (i >= 300), 0, 0, 0, i < 300) for s in ("en", "de") for i in range(330)]
+    cutoffs = quality.certified_cutoffs(spark.createDataFrame(rows, f"stratum string, {names}, good boolean"))
+    assert sorted((r.stratum, r.rule) for r in cutoffs.collect()) == [("de", "symbols"), ("en", "symbols")]
