@@ -31,7 +31,7 @@ def released(df: DataFrame) -> DataFrame:
     return df.select(f"{HOLDER}.*")
 
 
-def sliced(batch, column: str = "text", limit: int = 4_000_000):
+def sliced(batch, column: str = "text", limit: int = 1_000_000):
     """Parts of an Arrow batch with about ``limit`` bytes of text each, one row at least."""
     import numpy as np
     import pyarrow.compute as pc

@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +47,19 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        powers = np.full(n, _U(base), _U)
-        powers[0] = 1
-        out.append(np.multiply.accumulate(powers))
-    return out[0], out[1]
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least: one pair of tables a worker, which grows when it must."""
+    if not _TABLES or len(_TABLES[0]) < n:
+        tables = []
+        for base in (_BASE, _INVERSE):
+            powers = np.full(n, _U(base), _U)
+            powers[0] = 1
+            tables.append(np.multiply.accumulate(powers))
+        _TABLES[:] = tables
+    return _TABLES
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -228,7 +232,7 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 def _anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in sliced(b, limit=2_000_000)):
+        for batch in (part for b in batches for part in sliced(b, limit=1_000_000)):
             raw, borders = raw_texts(batch.column("text"))
             found = stretches(raw, borders, length, gram)
             take = pa.array(found["row"])
