@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from glossa.plans import bindings
+from glossa.session import shared_folder
 from glossa.sources import streams as S
 from glossa.streaming import responses as R
 from glossa.streaming import selection as Q
@@ -127,11 +128,8 @@ CONVERSATIONS_DDL = "conv_id bigint, turn bigint, role string, text string"
 
 
 def _work_dir(spark):
-    """A fresh folder below the shared folder of the session, or a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/run-{next(tempfile._get_candidate_names())}"
+    """A fresh folder below the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def _drained(spark, stream, mode="append"):
