@@ -18,7 +18,6 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +34,8 @@ WORD_END = "Ā"
 CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-LONG_WORD = 64
+#: Words up to these sizes are merged as tables, longer ones by a heap.
+WIDTHS = (6, 9, 13, 20, 40)
 ASCII_WORDS = re.compile(CONTRACTIONS + r"|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 ANY_WORDS = regex.compile(CONTRACTIONS + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -68,10 +68,19 @@ def _byte_names() -> dict[str, str]:
     return {chr(b): chr(b) for b in shown} | {chr(256 + i): chr(b) for i, b in enumerate(hidden)}
 
 
+def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, the last one of each raised by 256, and where each word ends."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    symbols[ends - 1] += 256
+    return symbols, ends
+
+
 class Lexicon:
     """Tokens, merges and the tables for the checks.
 
-    A word is held as one character per UTF-8 byte with ``WORD_END`` behind the last one.
+    Tokens are named by one character per UTF-8 byte, with ``WORD_END`` behind the last one
+    of a word; words are arrays of symbols, in which the last byte of a word has its own 256.
     """
 
     def __init__(self, source: str):
@@ -113,16 +122,42 @@ class Lexicon:
             a, b = self.left[token], self.right[token]
             sound[token] = good and (self.rank[a] < 0 or sound[a]) and (self.rank[b] < 0 or sound[b])
         self.pieces = self.base | {piece(t): i for t, i in vocab.items() if sound[i]}
+        self._grow_trie()
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, bytes] = {}
         for text, i in self.special.items():
             self.cache[" " + text] = np.array([i], self.dtype).tobytes()
         self.fixed = dict(self.cache)
         self.seen: dict[str, bytes] = {}
-        reach: dict[str, int] = {}
-        for p in self.pieces:
-            reach[p[:2]] = max(reach.get(p[:2], 1), len(p))
-        self.reach = reach
+
+    def _grow_trie(self) -> None:
+        """Edges of the trie of pieces, level by level: edge k leads to node k + 1 and has the key node * 512 + symbol."""
+        # The end mark alone is no piece: it belongs to the last byte.
+        names = [p for p in self.pieces if p != WORD_END]
+        symbols, ends = _symbols([p.removesuffix(WORD_END).encode("latin-1") for p in names])
+        ids = np.array([self.pieces[p] for p in names], np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        open_end = np.array([not p.endswith(WORD_END) for p in names], bool)
+        symbols[ends[open_end] - 1] -= 256
+        at, node, keys, tokens, count = np.arange(len(names)), np.zeros(len(names), np.int64), [], [], 0
+        depth = 0
+        while len(at):
+            level, back = np.unique(node[at] * 512 + symbols[starts[at] + depth], return_inverse=True)
+            node[at] = count + back + 1
+            done = starts[at] + depth + 1 == ends[at]
+            own = np.full(len(level), -1, np.int64)
+            own[back[done]] = ids[at[done]]
+            keys.append(level)
+            tokens.append(own)
+            count += len(level)
+            at = at[~done]
+            depth += 1
+        self.edges = np.concatenate(keys)
+        self.edge_token = np.concatenate(tokens)
+        self.unit = np.full(512, -1, np.int64)
+        for p, i in self.base.items():
+            if p != WORD_END:
+                self.unit[ord(p[0]) + 256 * (len(p) > 1)] = i
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether no merge of a rank below ``limit`` crosses the border of tokens a and b.
@@ -151,40 +186,84 @@ class Lexicon:
             at = at[go]
         return good
 
-    def propose(self, word: str) -> list[int] | None:
-        """Greedy longest match; None if it runs into a dead end."""
-        out, at, end, pieces, reach = [], 0, len(word), self.pieces, self.reach
-        while at < end:
-            # No piece that starts like this is longer.
-            for stop in range(min(end, at + reach.get(word[at : at + 2], 1)), at, -1):
-                # The end mark alone is no token: the rest must not be the mark only.
-                if stop != end - 1 and (token := pieces.get(word[at:stop])) is not None:
-                    out.append(token)
-                    at = stop
-                    break
-            else:
-                return None
-        return out
-
-    def merge(self, word: str) -> list[int]:
-        """Exact merging: always the lowest rank, the leftmost of equal ones."""
-        parts = [*word[:-2], word[-2:]] if word.endswith(WORD_END) else [*word]
-        ids = [self.base[p] for p in parts if p in self.base]
-        return self._merge_long(ids) if len(ids) > LONG_WORD else self._merge_short(ids)
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        size, rank, none = self.size, self.merges.get, len(self.made)
-        ranks = [rank(a * size + b, none) for a, b in pairwise(ids)]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            token = self.made[best]
-            ids[i : i + 2] = [token]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] * size + token, none)
-            if i < len(ranks):
-                ranks[i] = rank(token * size + ids[i + 1], none)
-        return ids
+    def propose(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once: tokens, the word of each, and which words ran into a dead end."""
+        at = np.concatenate([[0], ends[:-1]])
+        word, failed = np.arange(len(ends)), np.zeros(len(ends), bool)
+        owners, found = [], []
+        while len(word):
+            token, stop = np.full(len(word), -1, np.int64), at.copy()
+            live, node, spot = np.arange(len(word)), np.zeros(len(word), np.int64), at.copy()
+            while len(live):
+                key = node * 512 + symbols[spot]
+                edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+                on = self.edges[edge] == key
+                live, edge, spot = live[on], edge[on], spot[on] + 1
+                whole = self.edge_token[edge] >= 0
+                token[live[whole]], stop[live[whole]] = self.edge_token[edge[whole]], spot[whole]
+                # Nothing follows the symbol that ends a word.
+                more = spot < ends[word[live]]
+                live, node, spot = live[more], edge[more] + 1, spot[more]
+            good = token >= 0
+            failed[word[~good]] = True
+            owners.append(word[good])
+            found.append(token[good])
+            left = good & (stop < ends[word])
+            word, at = word[left], stop[left]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(found)[order], owner[order], failed
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, ``NEVER`` if there is none."""
+        key = a * self.size + b
+        spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[spot] == key) & (a >= 0) & (b >= 0), self.pair_ranks[spot], NEVER)
+
+    def merge(self, symbols: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Exact merging: always the lowest rank, the leftmost of equal ones.
+
+        Gives the places of some of the words, their tokens in a row and how many each has,
+        until all words have come.
+        """
+        ids = self.unit[symbols]
+        sizes = np.diff(np.concatenate([[0], np.cumsum(ids >= 0)[ends - 1]]))
+        ids = ids[ids >= 0]
+        starts = np.cumsum(sizes) - sizes
+        low = -1
+        for high in WIDTHS:
+            if len(rows := np.flatnonzero((sizes > low) & (sizes <= high))):
+                inside = np.arange(high) < sizes[rows, None]
+                table = np.full((len(rows), high), -1, np.int64)
+                table[inside] = ids[(starts[rows, None] + np.arange(high))[inside]]
+                table = self._merge_table(table)
+                inside = table >= 0
+                yield rows, table[inside], inside.sum(axis=1)
+            low = high
+        for r in np.flatnonzero(sizes > low).tolist():
+            own = self._merge_long(ids[starts[r] : starts[r] + sizes[r]].tolist())
+            yield np.array([r]), np.array(own, np.int64), np.array([len(own)])
+
+    def _merge_table(self, ids: np.ndarray) -> np.ndarray:
+        """One merge a row and round; rows are filled up with -1."""
+        done = np.full(ids.shape, -1, np.int64)
+        ranks = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        made, row = np.array(self.made, np.int64), np.arange(len(ids))
+        while ranks.shape[1]:
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(row)), best]
+            go = rank < NEVER
+            done[row[~go], : ids.shape[1]] = ids[~go]
+            row, ids, ranks, best, rank = row[go], ids[go], ranks[go], best[go], rank[go]
+            each, width = np.arange(len(row)), ids.shape[1]
+            ids[each, best] = made[rank]
+            ids = np.take_along_axis(ids, np.arange(width - 1) + (np.arange(width - 1) > best[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, np.arange(width - 2) + (np.arange(width - 2) >= best[:, None]), axis=1)
+            for near, i in ((best > 0, best - 1), (best < width - 2, best)):
+                at, i = each[near], i[near]
+                ranks[at, i] = self.ranks_of(ids[at, i], ids[at, i + 1])
+        done[row, : ids.shape[1]] = ids
+        return done
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -214,25 +293,30 @@ class Lexicon:
     def learn(self, words: Iterable[str]) -> int:
         """Put the tokens of new words into the cache; returns how many needed exact merging."""
         words = list(words)
-        forms = [w.encode("utf-8", "surrogatepass").decode("latin-1") + WORD_END for w in words]
-        proposals = [self.propose(f) for f in forms]
-        failed = np.array([p is None for p in proposals], bool)
-        lengths = np.array([len(p or ()) for p in proposals], np.int64)
-        flat = np.array([t for p in proposals if p for t in p], np.int64)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.array([], np.int64)
+        if not words:
+            return 0
+        symbols, ends = _symbols([w.encode("utf-8", "surrogatepass") for w in words])
+        flat, owner, failed = self.propose(symbols, ends)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
         keys, back = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
-        bad = ~self.compatible(keys // self.size, keys % self.size)[back] if len(keys) else np.array([], bool)
+        bad = ~self.compatible(keys // self.size, keys % self.size)[back]
         failed[owner[inner[bad]]] = True
-        raw = flat.astype(self.dtype).tobytes()
-        width, ends = self.dtype.itemsize, np.cumsum(lengths).tolist()
-        starts = [0, *ends[:-1]]
-        for i, word in enumerate(words):
-            if failed[i]:
-                self.cache[word] = np.array(self.merge(forms[i]), self.dtype).tobytes()
-            else:
-                self.cache[word] = raw[starts[i] * width : ends[i] * width]
-        return int(failed.sum())
+        again = np.flatnonzero(failed)
+        counts = np.bincount(owner, minlength=len(words))
+        self._keep(words, np.flatnonzero(~failed), flat[~failed[owner]], counts[~failed])
+        if len(again):
+            sizes = np.diff(np.concatenate([[0], ends]))
+            own = np.repeat(failed, sizes)
+            for rows, ids, n in self.merge(symbols[own], np.cumsum(sizes[again])):
+                self._keep(words, again[rows], ids, n)
+        return len(again)
+
+    def _keep(self, words: list[str], rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Put the tokens of words at ``rows`` into the cache; ``ids`` has those of all of them in a row."""
+        raw, stops, start = ids.astype(self.dtype).tobytes(), (np.cumsum(counts) * self.dtype.itemsize).tolist(), 0
+        for r, stop in zip(rows.tolist(), stops, strict=True):
+            self.cache[words[r]] = raw[start:stop]
+            start = stop
 
     def words(self, text: str) -> list[str]:
         """Words of a text in normal form; a special token is itself behind a space, which no word contains."""

@@ -37,8 +37,27 @@ def test_pairs_are_compatible_just_if_merging_keeps_them(lex):
     last = [(i, p) for p, i in lex.pieces.items()]
     pairs = [(rnd.choice(inner), rnd.choice(last)) for _ in range(4000)]
     good = lex.compatible(np.array([a[0] for a, _ in pairs]), np.array([b[0] for _, b in pairs]))
-    for (a, b), ok in zip(pairs, good, strict=True):
-        assert (lex.merge(a[1] + b[1]) == [a[0], b[0]]) == ok
+    forms = [a[1] + b[1] for a, b in pairs]
+    raw = [f.removesuffix(bpe.WORD_END).encode("latin-1") for f in forms]
+    symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    ends = np.cumsum([len(x) for x in raw])
+    symbols[ends - 1] += 256 * np.array([f.endswith(bpe.WORD_END) for f in forms])
+    merged = {}
+    for rows, ids, counts in lex.merge(symbols, ends):
+        merged |= dict(zip(rows.tolist(), [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])], strict=True))
+    assert len(merged) == len(pairs)
+    for n, ((a, b), ok) in enumerate(zip(pairs, good, strict=True)):
+        assert (merged[n] == [a[0], b[0]]) == ok
+
+
+def test_words_of_all_sizes(library, lex):
+    rnd = random.Random(7)
+    sizes = [1, 2, *(w + d for w in bpe.WIDTHS for d in (-1, 0, 1)), 300]
+    words = ["".join(rnd.choice("aeinorsté中") for _ in range(n)) for n in sizes for _ in range(60)]
+    failed = lex.learn(dict.fromkeys(words))
+    assert failed
+    for word in words:
+        assert np.frombuffer(lex.cache[word], lex.dtype).tolist() == library.encode(word, add_special_tokens=False).ids
 
 
 def test_round_trip(edges, library):
