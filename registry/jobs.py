@@ -52,7 +52,7 @@ def _pages(spark, d):
 
 
 QUERIES["current_attempt_events"] = lambda spark, d: E.current_attempt_events(
-    _log(spark, d), _states(spark, d).filter("state <> 'failed'")
+    _log(spark, d), _states(spark, d)
 ).select("job_id", "batch_id", "ts", "event_id", "event_type", "attempt")
 ORACLES["current_attempt_events"] = f"""WITH {EV}, {AT}, {BS}
 SELECT job_id, batch_id, ts, event_id, event_type, att.attempt FROM att SEMI JOIN (SELECT * FROM bs WHERE state <> 'failed') k
@@ -72,7 +72,7 @@ t AS (SELECT job_id, count(*) AS n_pages,
   count(*) FILTER (status = 'scanned' OR (status = 'completed' AND n_batches > 0)) AS n_done FROM ps GROUP BY job_id)
 SELECT job_id, n_pages, n_done, CAST(floor(n_done * 100.0::DOUBLE / n_pages + 0.5) AS BIGINT) AS percent FROM t"""
 
-QUERIES["job_settlement"] = lambda spark, d: E.job_settlement(_states(spark, d).filter("state <> 'pending'"))
+QUERIES["job_settlement"] = lambda spark, d: E.job_settlement(_states(spark, d))
 ORACLES["job_settlement"] = f"""WITH {EV}, {AT}, {BS}, {SENT},
 t AS (SELECT job_id, count(*) AS n_batches, count(*) FILTER (state IN ('pending', 'translating')) AS n_open,
   count(*) FILTER (state = 'failed') AS n_failed FROM sent WHERE state <> 'pending' GROUP BY job_id)

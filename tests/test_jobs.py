@@ -9,6 +9,7 @@ from glossa.operators import execution as X
 from glossa.operators import progress as E
 from glossa.plans import bindings
 from glossa.streaming import responses as R
+from registry.jobs import QUERIES
 
 T0 = datetime(2024, 1, 1)
 
@@ -114,6 +115,22 @@ def test_page_status_and_settlement(spark):
     assert not E.job_settlement(batches).first().settled
 
 
+def test_job_queries_read_all_batches(spark, tmp_path):
+    """Batches without an attempt are open, and the events of failed batches belong to the log."""
+    kinds = ["click", "error", "view", "click", "purchase"]
+    batches = [1, 1, 2, 3, 3]  # failed, pending, completed
+    rows = [(i, at(i * 60), 1, kind, 0.5, f'{{"k": {b}}}') for i, (kind, b) in enumerate(zip(kinds, batches, strict=True))]
+    rows.append((5, at(300), 2, "view", 0.5, '{"k": 4}'))
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.job_id: (r.n_batches, r.n_open, r.n_failed, r.settled) for r in QUERIES["job_settlement"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 1, 1, False), 2: (1, 1, 0, False)}
+    events = QUERIES["current_attempt_events"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_id, r.event_type) for r in events) == [
+        (0, "BATCH_STARTED"), (1, "BATCH_ERROR"), (3, "BATCH_STARTED"), (4, "BATCH_DONE"),
+    ]
+
+
 def test_reconciliation_is_all_or_nothing(spark):
     ok = '[{"id":"x","target":"1"},{"id":"y","target":"2"}]'
     answers = {
