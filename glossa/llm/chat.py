@@ -89,7 +89,8 @@ def contrast(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Chosen is each conversation as it is.  Rejected is the same conversation with the rows
     of its last assistant turn replaced by the last assistant turn of its partner, an
-    answer to something else; nothing stands there if the partner has none.
+    answer to something else; nothing stands there if the partner has none.  Rows without
+    a conv_id are in neither; ``pairs`` has them.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").filter(F.col("conv_id").isNotNull())
     answers = rows.filter("role = 'assistant' and turn is not null")
@@ -104,3 +105,16 @@ def contrast(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         foreign.select(pair, F.col("last").alias("turn"), "role", "text")
     )
     return rows.select(pair, "turn", "role", "text"), rejected
+
+
+def pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chosen, rejected) of ``contrast``, with the rows without a conv_id.
+
+    Those have no answers of their own and no partner, so they are the same on both sides:
+    one pair without an id, all prompt.
+    """
+    chosen, rejected = contrast(conversations)
+    stray = conversations.filter(F.col("conv_id").isNull()).select(
+        F.col("conv_id").alias("pair_id"), "turn", "role", "text"
+    )
+    return chosen.unionByName(stray), rejected.unionByName(stray)

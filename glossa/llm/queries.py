@@ -146,7 +146,7 @@ def op9_sharding(spark, sf_dir):
 
 
 def op10_preference(spark, sf_dir):
-    return chat.preference_rows(*chat.contrast(read(spark, sf_dir, "conversations")))
+    return chat.preference_rows(*chat.pairs(read(spark, sf_dir, "conversations")))
 
 
 QUERIES = {

@@ -1,4 +1,6 @@
-from glossa.llm import chat
+import duckdb
+
+from glossa.llm import chat, queries
 
 TURNS = "pair_id long, turn long, role string, text string"
 
@@ -46,3 +48,17 @@ def test_contrast(spark):
     assert sorted(tuple(r) for r in rejected.collect()) == [
         (0, 0, "user", "q"), (0, 1, "assistant", "a1"), (1, 0, "user", "r"), (1, 1, "assistant", "a0"), (1, 2, "user", "t"), (2, 0, "user", "z"),
     ]
+
+
+def test_query_keeps_rows_without_an_id(spark, tmp_path):
+    """The query and its SQL agree on null ids."""
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "r"), (1, 1, "assistant", "a1"), (None, 0, "user", "n"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op10_preference(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.PREFERENCE_SQL)
+    columns = [c[0] for c in want.description]
+    found = [tuple(r) for r in got.select(columns).collect()]
+    assert sorted(found, key=str) == sorted(want.fetchall(), key=str)
+    assert [(r[columns.index("part")], r[columns.index("copies")]) for r in sorted(found, key=str) if r[columns.index("pair_id")] is None] == [("prompt", 2), ("prompt", 1)]
