@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import quoted, sliced
 
-#: Words that vote for a start, and votes needed (fewer where a template has fewer such words in the file).
+#: Rarest words that vote for a start beside those of the mandatory phrase, and votes needed (fewer for a shorter phrase).
 VOTERS = 6
 VOTES = 2
 
@@ -152,17 +152,18 @@ class Index:
         """(start of the mandatory phrase, share of the template's words in their places) in one file."""
         line, (a, n) = self.lines[t], self.spans[t]
         present = [w for w in dict.fromkeys(line.tolist()) if (words == w).any()]
-        # The anchor votes in any case: without it no start can be verified.
-        voters = {self.anchors[t], *sorted(present, key=lambda w: -self.idf[w])[:VOTERS]}
+        # The phrase's words vote in any case: where it stands there are votes enough, whatever else the file holds.
+        voters = {*line[a : a + n].tolist(), *sorted(present, key=lambda w: -self.idf[w])[:VOTERS]}
         starts = np.concatenate([np.flatnonzero(words == line[q]) - q for q in range(len(line)) if line[q] in voters])
         starts, votes = np.unique(starts, return_counts=True)
-        places = sum(int(w) in voters for w in line.tolist())
-        for start in starts[votes >= min(VOTES, places)].tolist():
-            low = start + a
-            if low >= 0 and low + n <= len(words) and (words[low : low + n] == line[a : a + n]).all():
-                inside = np.arange(len(line)) + start
-                there = inside[(inside >= 0) & (inside < len(words))]
-                yield low, float((words[there] == line[there - start]).sum()) / len(line)
+        lows = starts[votes >= min(VOTES, n)] + a
+        lows = lows[(lows >= 0) & (lows + n <= len(words))]
+        for k in range(n):
+            lows = lows[words[lows + k] == line[a + k]]
+        for low in lows.tolist():
+            inside = np.arange(len(line)) + low - a
+            there = inside[(inside >= 0) & (inside < len(words))]
+            yield low, float((words[there] == line[there - low + a]).sum()) / len(line)
 
 
 def document_frequencies(docs: DataFrame, text_col: str, index: Index) -> tuple[dict[str, int], int]:

@@ -45,6 +45,13 @@ def test_phrases(spark):
     assert got[0].n_base == 4
 
 
+def test_scattered_words_do_not_hide_a_phrase(spark):
+    """Rarer words of the template elsewhere in the file leave the phrase its label."""
+    texts = ["mozilla public license"] * 5 + ["subject x to x x terms x of x v x x 2 x x x 0 x mozilla public license", "public x license mozilla"]
+    got = check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    assert [got[i].labels for i in range(7)] == ["mpl-2"] * 6 + [""]
+
+
 def test_documents(documents):
     check(documents)
 
