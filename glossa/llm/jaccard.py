@@ -458,10 +458,8 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
 
 
-def link_classes(
-    keyed: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, cell: int = CELL
-) -> tuple[DataFrame, DataFrame]:
-    """(members, labels): doc_id, tag, n, cls of every row of ``keyed``, and (cls, label) of classes with links."""
+def _routed(keyed: DataFrame, size: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, buckets, active): all points, the buckets, and one row of each class that is in one."""
     hot = frequent_shingles(keyed, size, frequent)
     points = cut_lineage(_points(keyed, hot, size, percent))
     filled = points.filter("n > 0")
@@ -469,14 +467,31 @@ def link_classes(
     ranges = max(1, postings // (8 * RANGE_ROWS), keyed.sparkSession.sparkContext.defaultParallelism * 4)
     buckets = cut_lineage(_cold_buckets(filled, int(ranges)).unionByName(_hot_buckets(filled)))
     of_class = filled.groupBy("cls").agg(F.max("n").alias("n"), F.max("vector").alias("vector"), F.min(F.struct("doc_id", "tag")).alias("one"))
-    active = cut_lineage(of_class.join(buckets.select("cls").distinct(), "cls", "left_semi"))
+    return points, buckets, cut_lineage(of_class.join(buckets.select("cls").distinct(), "cls", "left_semi"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(cls): the classes of ``pairs``."""
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _texts_of(keyed: DataFrame, active: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the wanted classes; as many rows as ``keyed`` has repeated ones."""
+    ones = active.join(wanted, "cls", "left_semi").select("cls", "one.*")
+    return keyed.join(ones, _same_row(keyed, ones)).select("cls", keyed["text"])
+
+
+def link_classes(
+    keyed: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, cell: int = CELL
+) -> tuple[DataFrame, DataFrame]:
+    """(members, labels): doc_id, tag, n, cls of every row of ``keyed``, and (cls, label) of classes with links."""
+    points, buckets, active = _routed(keyed, size, percent, frequent)
     spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
 
     best = cut_lineage(_candidates(_cells(buckets, spots, cell), percent, best_only=True))
     # Every class that has a surviving pair at all has a best one: these are all the texts that are needed.
-    wanted = best.select(F.col("a").alias("cls")).unionByName(best.select(F.col("b").alias("cls"))).distinct()
-    ones = active.join(wanted, "cls", "left_semi").select("cls", "one.*")
-    texts = cut_lineage(keyed.join(ones, _same_row(keyed, ones)).select("cls", keyed["text"]))
+    wanted = _ends(best)
+    texts = cut_lineage(_texts_of(keyed, active, wanted))
     links = cut_lineage(_verified(best, texts, size, percent))
     labels = components(links)
     rest = _candidates(_cells(buckets, _labelled(spots.join(wanted, "cls", "left_semi"), labels), cell), percent, best_only=False)
@@ -489,6 +504,39 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
+def all_links(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SIZE,
+    percent: int = PERCENT,
+    frequent: int = FREQUENT,
+    cell: int = CELL,
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id, n_shingles and cls of every row, and (a, b), a < b, of all pairs of classes that link.
+
+    Rows of one class have equal sets and link, too, but for those without words.  Unlike
+    components, links may be as many as the square of a family's classes.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    points, buckets, active = _routed(keyed, size, percent, frequent)
+    spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
+    pairs = cut_lineage(_candidates(_cells(buckets, spots, cell), percent, best_only=False))
+    texts = cut_lineage(_texts_of(keyed, active, _ends(pairs)).dropDuplicates(["cls"]))
+    members = points.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    return members, cut_lineage(_verified(pairs, texts, size, percent))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id and n_links of every row: with how many other rows it links, equal ones included."""
+    members, links = all_links(docs, id_col, text_col, **options)
+    rows = members.filter("n_shingles > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(rows.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("rows").alias("near"))
+    of_class = rows.join(near, "cls", "left").select("cls", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(of_class, "cls", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 

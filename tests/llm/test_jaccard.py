@@ -71,6 +71,32 @@ def test_chains_and_crowds(spark):
     assert n < len(texts)
 
 
+def brute_links(texts, percent=80):
+    sets = [shingles(t) for t in texts]
+    linked = lambda s, t: bool(s and t) and 100 * len(s & t) >= percent * len(s | t)
+    return {i: sum(linked(s, t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+
+
+def test_all_links(spark, edges):
+    """Links within a family count each, also where the components need only a few."""
+    rnd = np.random.default_rng(3)
+    texts = [None, "", "one"]
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(12):
+            words = list(words)
+            words[rnd.integers(0, 120)] = f"x{rnd.integers(0, 10**9)}"
+            texts.append(" ".join(words))
+    texts += texts[-2:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute_links(texts)
+    assert max(want.values()) > 2
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(df, cell=8, frequent=3).collect()} == want
+    rows = edges.collect()
+    counts = brute_links([r.text for r in rows])
+    assert sorted((str(r.doc_id), r.n_links) for r in jaccard.link_counts(edges).collect()) == sorted((str(r.doc_id), counts[i]) for i, r in enumerate(rows))
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(1)
     for _ in range(30):
