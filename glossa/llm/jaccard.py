@@ -11,7 +11,8 @@ their sets reaches a threshold.  Equal sets are one class and one point from the
 2. Count vectors.  The shingles of a set are hashed into groups, a power of two that grows
    with the set, so that a group holds a few; the counts are a point.  The sum of the
    coordinate minima of two points bounds their overlap.  A point with twice the groups is
-   folded by adding its halves, and sets that link differ by no more.
+   folded by adding its halves, and sets that link at 80 % differ by no more (at fewer, it is
+   folded as often as their sizes allow).
 3. R-tree.  The points of a bucket are packed into a tree by size and coordinates; nodes
    hold the coordinate maxima and the range of sizes, and a point descends only where the
    bound can reach the overlap that its size asks for.  Large buckets are cut into cells by
@@ -272,16 +273,18 @@ def _hot_buckets(points: DataFrame) -> DataFrame:
     return rows.join(chosen, "shingle", "left_semi").select(F.col("shingle").alias("bucket"), "cls")
 
 
-def _cells(buckets: DataFrame, spots: DataFrame, cell: int) -> DataFrame:
+def _cells(buckets: DataFrame, spots: DataFrame, cell: int, percent: int) -> DataFrame:
     """(key, low, high, n, cls, label, vector): the points of each pair of cells that is to be joined.
 
     A bucket of at most ``cell`` classes is one cell.  In a larger one, a cell is a range of
     sizes and a hash; only cells of the same or neighbouring ranges can hold links.
     """
+    # Sizes of linked sets differ by no more than a range is wide.
+    factor = max(1.25, 100 / percent)
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     rows = buckets.join(sizes, "bucket").join(spots, "cls")
     many = F.ceil(F.col("m") / cell).cast("int")
-    step = F.when(F.col("m") <= cell, 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(1.25 + 1e-9)))).cast("int")
+    step = F.when(F.col("m") <= cell, 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(factor + 1e-9)))).cast("int")
     own = rows.withColumn("many", many).withColumn("step", step).withColumn("slot", F.pmod(F.xxhash64("cls"), F.col("many")).cast("int"))
     near = F.when(F.col("m") <= cell, F.array(F.lit(0))).otherwise(
         F.sequence(F.greatest(F.col("step") - 1, F.lit(0)), F.col("step") + 1)
@@ -343,12 +346,14 @@ def tree_join(sizes, vectors, queries, q_sizes, percent: int, block: int = 1 <<
 
 
 def _by_groups(n: np.ndarray, v: list[np.ndarray], tree: np.ndarray, asks: np.ndarray, percent: int):
-    """Pairs (ask, tree, bound) over trees of points with equally many groups; asks have as many, half or twice."""
+    """Pairs (ask, tree, bound) over trees of points with equally many groups; asks have as many, or as the sizes of links allow."""
+    # 2 ** doublings is at least 100 / percent, by which the sizes and so the groups of two sets that link may differ.
+    doublings = next(k for k in range(1, 8) if percent << k >= 100)
     groups = np.array([len(x) for x in v])
     found = [(np.array([], np.int64),) * 3]
     for g in np.unique(groups[tree]).tolist():
         own = tree[groups[tree] == g]
-        for h in (g // 2, g, 2 * g):
+        for h in (g * 2**k // 2**doublings for k in range(2 * doublings + 1)):
             ask = asks[groups[asks] == h]
             if len(ask):
                 a, b = (folded(np.stack([v[i] for i in x]), min(g, h)) for x in (own, ask))
@@ -488,13 +493,13 @@ def link_classes(
     points, buckets, active = _routed(keyed, size, percent, frequent)
     spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
 
-    best = cut_lineage(_candidates(_cells(buckets, spots, cell), percent, best_only=True))
+    best = cut_lineage(_candidates(_cells(buckets, spots, cell, percent), percent, best_only=True))
     # Every class that has a surviving pair at all has a best one: these are all the texts that are needed.
     wanted = _ends(best)
     texts = cut_lineage(_texts_of(keyed, active, wanted))
     links = cut_lineage(_verified(best, texts, size, percent))
     labels = components(links)
-    rest = _candidates(_cells(buckets, _labelled(spots.join(wanted, "cls", "left_semi"), labels), cell), percent, best_only=False)
+    rest = _candidates(_cells(buckets, _labelled(spots.join(wanted, "cls", "left_semi"), labels), cell, percent), percent, best_only=False)
     more = _verified(rest, texts, size, percent)
     return points.select("doc_id", "tag", "n", "cls"), components(links.unionByName(more))
 
@@ -521,7 +526,7 @@ def all_links(
     keyed = _keyed(docs, id_col, text_col)
     points, buckets, active = _routed(keyed, size, percent, frequent)
     spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
-    pairs = cut_lineage(_candidates(_cells(buckets, spots, cell), percent, best_only=False))
+    pairs = cut_lineage(_candidates(_cells(buckets, spots, cell, percent), percent, best_only=False))
     texts = cut_lineage(_texts_of(keyed, active, _ends(pairs)).dropDuplicates(["cls"]))
     members = points.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     return members, cut_lineage(_verified(pairs, texts, size, percent))

@@ -71,6 +71,17 @@ def test_chains_and_crowds(spark):
     assert n < len(texts)
 
 
+def test_fewer_percent(spark):
+    """Links between sets of unlike sizes, in large buckets and with unlike numbers of groups."""
+    base = [f"w{k}" for k in range(900)]
+    texts = [" ".join([*base[:n], *(f"t{n}x{k}" for k in range(n // 50))]) for n in range(150, 900, 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for percent in (30, 55, 80):
+        want = brute_links(texts, percent)
+        got = {r.doc_id: r.n_links for r in jaccard.link_counts(df, percent=percent, cell=2, frequent=3).collect()}
+        assert got == want and sum(want.values()) > 0
+
+
 def brute_links(texts, percent=80):
     sets = [shingles(t) for t in texts]
     linked = lambda s, t: bool(s and t) and 100 * len(s & t) >= percent * len(s | t)
