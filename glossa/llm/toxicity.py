@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its character n-grams (bytes of the lower-cased UTF-8 text, each word
+A text is the set of its character n-grams (code points of the lower-cased text, each word
 between spaces), hashed into ``BUCKETS``.  The ratio of a bucket is
 log((p + a) / |p|) - log((n + a) / |n|) with its counts over toxic and other training
 texts.  The ``features`` buckets whose ratio is surest are the inputs of a logistic
@@ -33,22 +33,31 @@ STEPS = 150
 THRESHOLD = 0.7
 TASKS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.zeros(256, bool)
-_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256), ord("'")]] = True
+_HIGH = np.uint64(0xD6E8FEB86659FD93)
+_WORD = np.zeros(129, bool)
+_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), 128, ord("'")]] = True
 
 
 def buckets(text: str | None) -> np.ndarray:
     """Bucket of the n-gram at every position of a text (with repeats); runs of other characters are one space."""
-    raw = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-8", "replace"), np.uint8)
-    word = _WORD[raw]
-    chars = np.where(word, raw, np.uint8(32))
+    raw = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "replace"), np.uint32)
+    word = _WORD[np.minimum(raw, 128)]
+    chars = np.where(word, raw, np.uint32(32))
     chars = chars[word | np.concatenate([[True], word[:-1]])].astype(np.uint64)
+    low, high = chars & np.uint64(255), chars >> np.uint64(8)
+    wide = bool(high.any())
     out = []
     for n in LENGTHS:
         if len(chars) >= n:
             code = np.full(len(chars) - n + 1, n, np.uint64)
             for i in range(n):
-                code = code << np.uint64(8) | chars[i : len(chars) - n + 1 + i]
+                code = code << np.uint64(8) | low[i : len(chars) - n + 1 + i]
+            if wide:
+                # What does not fit beside the low bytes of the characters is mixed in; it is 0 for windows of the first 256.
+                above = np.zeros(len(code), np.uint64)
+                for i in range(n):
+                    above = above * _HIGH + high[i : len(chars) - n + 1 + i]
+                code ^= above * _HIGH
             out.append((code * _MIX) >> np.uint64(64 - BUCKETS.bit_length() + 1))
     return np.concatenate(out).astype(np.int32) if out else np.array([], np.int32)
 

@@ -39,6 +39,18 @@ def test_held_out_accuracy(spark):
     assert all(again[r.doc_id] == r.score for r in got)
 
 
+def test_windows_are_of_characters():
+    """As many windows for a word of any script, with no character cut apart."""
+    for word in ("abcdef", "абвгде", "字漢文本章句"):
+        grams = [f" {word} "[i : i + n] for n in toxicity.LENGTHS for i in range(len(word) + 3 - n)]
+        got = toxicity.buckets(word)
+        assert len(got) == len(grams) == len(set(got.tolist()))
+    # Windows of the same characters are the same, others are not.
+    shared = set(toxicity.buckets("абвгд").tolist()) & set(toxicity.buckets("абвгж").tolist())
+    assert len(shared) == 3 + 2 + 1
+    assert not set(toxicity.buckets("а").tolist()) & set(toxicity.buckets("б").tolist())
+
+
 def test_nothing(spark, nothing, documents):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.judge(nothing, none).count() == 0
