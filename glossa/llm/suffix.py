@@ -411,8 +411,9 @@ def covered(
     # A stretch that repeats as a whole has its verdict already.
     verdicts = whole.unionByName(parts.join(classes.filter("n = 1"), ["anchor", "print"], "left_semi"))
     ranges = anchors.join(verdicts, ["anchor", "print"]).select("doc_id", "tag", "first", F.explode("spans").alias("span"))
+    # A set: repeated rows have equal ranges, and a text bounds how many there are.
     return ranges.groupBy("doc_id", "tag").agg(
-        F.collect_list(
+        F.collect_set(
             F.struct((F.col("first") + F.col("span.lo")).alias("from"), (F.col("first") + F.col("span.hi") + length).alias("to"))
         ).alias("covered")
     )

@@ -70,7 +70,8 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
     """(place, text, toxic) of at most ``sample`` labelled rows that are not held out.
 
-    An id with several labels counts as toxic if one of them says so.
+    An id with several labels counts as toxic if one of them says so.  Repeated rows are
+    one; if ids with several texts exceed ``sample``, a hash of both chooses among them.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -80,7 +81,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     )
     chosen = F.broadcast(known.orderBy("place", "doc_id").limit(sample))
     texts = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    return texts.join(chosen, "doc_id").select("place", "text", "toxic")
+    known_rows = texts.join(chosen, "doc_id").withColumn("tag", F.xxhash64("doc_id", "text"))
+    # An id may have any number of rows: they are counted by (id, tag) before a text is moved.
+    few = F.broadcast(known_rows.select("doc_id", "tag").distinct().orderBy("tag", "doc_id").limit(sample))
+    rows = known_rows.join(few, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    return rows.select("place", "text", "toxic")
 
 
 def log_ratios(rows: DataFrame, features: int, smoothing: float) -> DataFrame:

@@ -57,6 +57,18 @@ def test_passages(spark):
     assert check(df, length=90, gram=12, group=8, crowd=2) == removed > 0
 
 
+def test_repeated_rows_gather_one_set_of_ranges(spark):
+    """However often a row is repeated, what is gathered for its id and text stays as it is."""
+    rnd = random.Random(8)
+    passage, other = ("".join(rnd.choice("abcdefgh ") for _ in range(150)) for _ in range(2))
+    for copies in (1, 30):
+        rows = [(1, passage + other)] * copies + [(None, passage)] * copies + [(3, passage), (4, other + passage)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert check(df, length=90, gram=12, group=8) > 0
+        gathered = suffix.covered(suffix._keyed(df, "doc_id", "text"), length=90, gram=12, group=8).collect()
+        assert gathered and all(len(r.covered) == len({(x["from"], x["to"]) for x in r.covered}) for r in gathered)
+
+
 def test_expansion():
     rnd = random.Random(5)
     for trial in range(120):

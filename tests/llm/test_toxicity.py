@@ -51,6 +51,17 @@ def test_windows_are_of_characters():
     assert not set(toxicity.buckets("а").tolist()) & set(toxicity.buckets("б").tolist())
 
 
+def test_sample_bounds_repeated_rows(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "same")] * 40 + [(ids[1], f"text {k}") for k in range(40)] + [(ids[2], None), (ids[2], None), (ids[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(i, 1, 0) for i in ids[:4]], LABELS)
+    few = toxicity.training_rows(docs, known, "doc_id", "text", 10).collect()
+    assert len(few) == len({(r.place, r.text) for r in few}) == 10
+    every = toxicity.training_rows(docs, known, "doc_id", "text", 100).collect()
+    assert sorted((r.text or "") for r in every) == sorted(["same", "", "x", *(f"text {k}" for k in range(40))])
+
+
 def test_nothing(spark, nothing, documents):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.judge(nothing, none).count() == 0
