@@ -55,7 +55,7 @@ QUERIES["current_attempt_events"] = lambda spark, d: E.current_attempt_events(
     _log(spark, d), _states(spark, d)
 ).select("job_id", "batch_id", "ts", "event_id", "event_type", "attempt")
 ORACLES["current_attempt_events"] = f"""WITH {EV}, {AT}, {BS}
-SELECT job_id, batch_id, ts, event_id, event_type, att.attempt FROM att SEMI JOIN (SELECT * FROM bs WHERE state <> 'failed') k
+SELECT job_id, batch_id, ts, event_id, event_type, att.attempt FROM att SEMI JOIN bs
 USING (job_id, batch_id) WHERE att.attempt > 0 AND att.attempt = current_attempt"""
 
 QUERIES["batch_state"] = _states
@@ -75,7 +75,7 @@ SELECT job_id, n_pages, n_done, CAST(floor(n_done * 100.0::DOUBLE / n_pages + 0.
 QUERIES["job_settlement"] = lambda spark, d: E.job_settlement(_states(spark, d))
 ORACLES["job_settlement"] = f"""WITH {EV}, {AT}, {BS}, {SENT},
 t AS (SELECT job_id, count(*) AS n_batches, count(*) FILTER (state IN ('pending', 'translating')) AS n_open,
-  count(*) FILTER (state = 'failed') AS n_failed FROM sent WHERE state <> 'pending' GROUP BY job_id)
+  count(*) FILTER (state = 'failed') AS n_failed FROM sent GROUP BY job_id)
 SELECT *, n_open = 0 AS settled, CASE WHEN n_open = 0 THEN
   CASE WHEN n_failed > 0 THEN 'finished_with_errors' ELSE 'completed' END END AS outcome FROM t"""
 
