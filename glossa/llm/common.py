@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.session import cut_lineage
+
 SPACE = r"[\x20\x09-\x0D]+"
 HOLDER = "_row"
 
@@ -43,3 +45,32 @@ def sliced(batch, column: str = "text", limit: int = 1_000_000):
         upto = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield batch.slice(at, upto - at)
         at = upto
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``at``, the place in the order within ``group`` (from 0), and ``of``, the rows of the group.
+
+    Rows are dealt by ranges of (group, order), so neither a large group nor rows that tie
+    land in one task; sums of one number per group and range give the places.  ``group``
+    must not be null; ``rows`` should be read from a written table, as they are read twice.
+    """
+    keys = [F.col(group), *order, F.col("_tie")]
+    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())
+    # The number of a row counts from 0 in each range and has the range in its upper bits.
+    dealt = cut_lineage(
+        numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_no", F.monotonically_increasing_id())
+    ).withColumn("_range", F.shiftright("_no", 33))
+    whole = Window.partitionBy(group)
+    before = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = (
+        dealt.groupBy(group, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_no").alias("_first"))
+        .select(
+            F.col(group).alias("_group"),
+            F.col("_range").alias("_of_range"),
+            (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.sum("_n").over(whole).alias("of"),
+        )
+    )
+    placed = dealt.join(runs, (F.col(group) == F.col("_group")) & (F.col("_range") == F.col("_of_range")))
+    return placed.select(*[quoted(c) for c in rows.columns], (F.col("_no") + F.col("_shift")).alias("at"), "of")

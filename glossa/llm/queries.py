@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
-from glossa.llm import bpe, chat, exact, jaccard, licenses, packing, quality, sharding, suffix, toxicity
+from glossa.llm import (
+    bpe,
+    chat,
+    counting,
+    exact,
+    jaccard,
+    licenses,
+    manifest,
+    packing,
+    quality,
+    resampling,
+    sharding,
+    suffix,
+    toxicity,
+)
 from glossa.llm.common import read
+from glossa.llm.sql import MANIFEST_SQL, RESAMPLING_SQL
 
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -149,6 +164,18 @@ def op10_preference(spark, sf_dir):
     return chat.preference_rows(*chat.pairs(read(spark, sf_dir, "conversations")))
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_manifest(spark, sf_dir):
+    return manifest.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark, sf_dir):
+    return counting.token_counts(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -162,6 +189,15 @@ QUERIES = {
         op8_bpe,
         op9_sharding,
         op10_preference,
+        op11_resampling,
+        op12_manifest,
+        op13_token_counts,
     )
 }
-ORACLES = {"op1_quality_rules": QUALITY_SQL, "op2_exact_dedup": EXACT_SQL, "op10_preference": PREFERENCE_SQL}
+ORACLES = {
+    "op1_quality_rules": QUALITY_SQL,
+    "op2_exact_dedup": EXACT_SQL,
+    "op10_preference": PREFERENCE_SQL,
+    "op11_resampling": RESAMPLING_SQL,
+    "op12_manifest": MANIFEST_SQL,
+}
