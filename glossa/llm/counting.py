@@ -6,9 +6,11 @@ merged, and the pairs with its new neighbours are pushed.  Each merge makes one
 less, so the count is that of the first symbols minus the merges.  A character that is no
 piece stands for its UTF-8 bytes and never merges.
 
-No piece has a blank behind another character, so texts are cut in front of runs of
-blanks, and words seen before come from a cache of the worker.  The cache is bounded by
-its bytes: when one half is full, the half that was not used lately goes.
+No merge joins two characters that no piece has side by side.  Characters are therefore
+put into classes by the pieces they share (letters of a script, signs), texts are cut where
+the class changes or a blank begins, and the counts of words seen before come from a cache
+of the worker.  The cache is bounded by its bytes: when one half is full, the half that was
+not used lately goes.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,12 +34,33 @@ from glossa.llm.common import quoted, sliced
 
 BLANK = "▁"
 LIMIT = 4096
-CACHE_BYTES = 32_000_000
+CACHE_BYTES = 160_000_000
 #: About what an entry of the cache takes beside its characters.
-ENTRY_BYTES = 120
+ENTRY_BYTES = 160
+#: Places of words up to this length are kept in lists, which are faster, of longer ones in arrays, which are smaller.
+LISTED = 10_000
 #: Characters of a text that are cut into words at a time.
 BLOCK = 500_000
-WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+
+
+def word_pattern(ranks: dict[str, int]) -> re.Pattern:
+    """Cuts a text into spans that no merge leaves: blanks, and what follows of one class of characters."""
+    parent: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while (up := parent.setdefault(c, c)) != c:
+            c = up
+        return c
+
+    for piece in ranks:
+        body = piece.lstrip(BLANK)
+        for a, b in pairwise(body):
+            parent[root(a)] = root(b)
+    classes: dict[str, list[str]] = defaultdict(list)
+    for c in sorted(parent):
+        classes[root(c)].append(c)
+    spans = ["[" + re.escape("".join(c)) + "]+" for c in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile(f"{BLANK}*(?:{'|'.join([*spans, f'[^{BLANK}]'])})|{BLANK}+")
 
 
 def pieces(path: str) -> dict[str, int]:
@@ -74,7 +99,8 @@ def count_merges(word: str, ranks: dict[str, int]) -> int:
     """Merges that byte-pair encoding makes in ``word``."""
     n = len(word)
     # A symbol is a span that starts at its place: next start (0: merged away) and previous start.
-    after, before = array("q", range(1, n + 2)), array("q", range(-1, n))
+    places_of = list if n <= LISTED else partial(array, "q")
+    after, before = places_of(range(1, n + 2)), places_of(range(-1, n))
     after[n] = 0
     heap = [
         (rank << PLACE_BITS | at) << SIZE_BITS | 2
@@ -107,13 +133,17 @@ class Counter:
 
     def __init__(self, ranks: dict[str, int], limit: int = CACHE_BYTES):
         self.ranks, self.limit = ranks, limit // 2
+        self.known = {c for c in ranks if len(c) == 1}
+        self.pattern = word_pattern(ranks)
         self.fresh: dict[str, int] = {}
         self.stale: dict[str, int] = {}
         self.held = 0
 
     def word(self, word: str) -> int:
-        symbols = sum(1 if c in self.ranks else len(c.encode()) for c in word)
-        return symbols - count_merges(word, self.ranks)
+        symbols = len(word)
+        if not self.known.issuperset(word):
+            symbols = sum(1 if c in self.known else len(c.encode()) for c in word)
+        return symbols - count_merges(word, self.ranks) if len(word) > 1 else symbols
 
     def _learn(self, words: set[str]) -> None:
         for word in words:
@@ -129,7 +159,7 @@ class Counter:
         text = BLANK + text.replace(" ", BLANK)
         while at < len(text):
             upto = self._border(text, at + BLOCK)
-            words = WORDS.findall(text, at, upto)
+            words = self.pattern.findall(text, at, upto)
             self._learn(set(words).difference(self.fresh))
             total += sum(map(self.fresh.__getitem__, words))
             if self.held > self.limit:
