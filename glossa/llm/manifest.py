@@ -6,6 +6,9 @@ offset k, and the slot-zero rows, which then hold the digests of their whole run
 parents.  Nodes are keyed by group and place, so a large group is spread like any other;
 each level is written to the shared folder and has an ``arity``-th of the rows.
 
+Levels of at most ``SMALL`` nodes (counted, not guessed) are joined in one task without a
+shuffle, all others are shuffled by group and run.
+
 The way back down gives every row its proof: level by level the digests left and right of
 the own one.  It is joined from the root down, so a proof is handed to the few nodes of a
 level before it is handed to their children.
@@ -13,15 +16,18 @@ level before it is handed to their children.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import quoted, ranked
 from glossa.session import cut_lineage
 
 ARITY = 3
+#: Most nodes of a level that one task joins; with the steps above them about 40 MB.
+SMALL = 20_000
 STEPS = "array<struct<before:string,after:string>>"
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -52,7 +58,20 @@ def proof_digest(steps: Column) -> Column:
     return F.sha2(F.concat_ws("", F.transform(steps, lambda step: F.concat(step["before"], step["after"]))), 256)
 
 
-def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
+@dataclass
+class Level:
+    """Nodes of a level that have siblings, and a bound of their number."""
+
+    nodes: DataFrame
+    bound: int
+
+
+def _join(left: DataFrame, right: DataFrame, on: Column, how: str, small: bool) -> DataFrame:
+    """A join in one task, where both sides are small."""
+    return left.coalesce(1).join(right.coalesce(1).hint("merge"), on, how) if small else left.join(right, on, how)
+
+
+def _with_siblings(nodes: DataFrame, arity: int, small: bool) -> DataFrame:
     """``nodes`` with ``before`` and ``after``, the joined digests of the siblings on both sides."""
     key = nodes.withColumn("run", F.floor(F.col("at") / arity)).withColumn("slot", F.col("at") % arity)
     out = key
@@ -60,11 +79,10 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         other = key.select(
             F.col("grp").alias("_grp"), F.col("run").alias("_run"), F.col("slot").alias("_slot"), F.col("digest").alias(f"_d{offset}")
         )
-        # The slots are compared beside the keys, so all levels of the join share one partitioning.
+        # The slots are compared beside the keys, so all offsets share one partitioning.
         near = F.pmod(F.col("_slot") - F.col("slot"), F.lit(arity)) == offset
-        out = out.join(other, (F.col("grp") == F.col("_grp")) & (F.col("run") == F.col("_run")) & near, "left").drop(
-            "_grp", "_run", "_slot"
-        )
+        same_run = (F.col("grp") == F.col("_grp")) & (F.col("run") == F.col("_run"))
+        out = _join(out, other, same_run & near, "left", small).drop("_grp", "_run", "_slot")
     wraps = [(F.col("slot") + k >= arity, F.col(f"_d{k}")) for k in range(1, arity)]
     return out.select(
         *nodes.columns,
@@ -75,29 +93,29 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     )
 
 
-def _climb(nodes: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """(levels, tops): the nodes of each level with siblings, and (grp, top, level) of the last node of each group.
+def _climb(nodes: DataFrame, arity: int, small: int) -> tuple[list[Level], DataFrame, int]:
+    """The nodes of each level with siblings, (grp, top, level) of the last node of each group, and the number of groups.
 
     ``nodes`` has grp, at, of (nodes of the group), digest, and columns that stay with the first level.
     """
     levels, tops = [], []
-    most = nodes.agg(F.max("of")).first()[0] or 0
-    while most > 1:
+    most, bound, groups = nodes.agg(F.max("of"), F.count(F.lit(1)), F.count_if(F.col("at") == 0)).first()
+    while (most or 0) > 1:
         tops.append(nodes.filter("of = 1").select("grp", F.col("digest").alias("top"), F.lit(len(levels)).alias("level")))
-        level = cut_lineage(_with_siblings(nodes.filter("of > 1"), arity))
-        levels.append(level)
+        level = cut_lineage(_with_siblings(nodes.filter("of > 1"), arity, bound <= small))
+        levels.append(Level(level, bound))
         nodes = level.filter("slot = 0").select(
             "grp",
             F.col("run").alias("at"),
             F.ceil(F.col("of") / arity).alias("of"),
             digest(F.col("digest"), F.col("after")).alias("digest"),
         )
-        most = -(-most // arity)
+        most, bound = -(-most // arity), bound // arity + groups
     tops.append(nodes.select("grp", F.col("digest").alias("top"), F.lit(len(levels)).alias("level")))
-    return levels, reduce(DataFrame.unionByName, tops)
+    return levels, reduce(DataFrame.unionByName, tops), groups
 
 
-def _descend(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
+def _descend(levels: list[Level], ends: DataFrame, small: int) -> DataFrame:
     """Rows of the first level, with the ``steps`` from them up to the root, and the columns of ``ends``.
 
     ``ends`` has grp, level and steps for the top node of each group.
@@ -107,27 +125,39 @@ def _descend(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
     def at_level(n: int) -> DataFrame:
         return ends.filter(F.col("level") == n).select(F.col("grp").alias("_grp"), F.lit(0).cast("long").alias("_at"), "steps", *own)
 
-    above = at_level(len(levels))
-    for n in range(len(levels) - 1, -1, -1):
-        level = levels[n]
-        joined = level.join(above, (F.col("grp") == F.col("_grp")) & (F.col("run") == F.col("_at"))).withColumn(
-            "steps", F.concat(F.array(F.struct("before", "after")), F.col("steps")).cast(STEPS)
+    def below(n: int) -> DataFrame:
+        """Rows of level ``n`` with the steps of their parents behind their own."""
+        if n + 1 < len(levels):
+            above = below(n + 1).select(F.col("grp").alias("_grp"), F.col("at").alias("_at"), "steps", *own)
+            above = above.unionByName(at_level(n + 1))
+            if levels[n + 1].bound > small:
+                above = cut_lineage(above)
+        else:
+            above = at_level(n + 1)
+        to_parent = (F.col("grp") == F.col("_grp")) & (F.col("run") == F.col("_at"))
+        step = F.array(F.struct("before", "after"))
+        return _join(levels[n].nodes, above, to_parent, "inner", levels[n].bound <= small).withColumn(
+            "steps", F.concat(step, F.col("steps")).cast(STEPS)
         )
-        if n == 0:
-            return joined
-        above = joined.select(F.col("grp").alias("_grp"), F.col("at").alias("_at"), "steps", *own).unionByName(at_level(n))
-    raise AssertionError("not reached")
+
+    return below(0)
 
 
-def _paths(nodes: DataFrame, levels: list[DataFrame], ends: DataFrame, carried: list[str]) -> DataFrame:
+def _paths(nodes: DataFrame, levels: list[Level], ends: DataFrame, carried: list[str], small: int) -> DataFrame:
     """``carried`` columns of every first node, its steps and the columns of ``ends``; also where a group has one node."""
     own = [c for c in ends.columns if c not in ("grp", "level")]
     alone = nodes.filter("of = 1").join(ends.filter("level = 0"), "grp").select(*carried, *own)
-    return _descend(levels, ends).select(*carried, *own).unionByName(alone) if levels else alone
+    return _descend(levels, ends, small).select(*carried, *own).unionByName(alone) if levels else alone
 
 
 def manifest(
-    rows: DataFrame, group: Column, order: Column, leaf: Column, carry: dict[str, Column] | None = None, arity: int = ARITY
+    rows: DataFrame,
+    group: Column,
+    order: Column,
+    leaf: Column,
+    carry: dict[str, Column] | None = None,
+    arity: int = ARITY,
+    small: int = SMALL,
 ) -> DataFrame:
     """leaf, steps (the siblings of its path), subroot, root and the ``carry`` columns of every row.
 
@@ -144,26 +174,32 @@ def manifest(
         **{f"carried_{name}": value for name, value in carry.items()},
     }
     leaves = cut_lineage(rows.select(*[value.alias(name) for name, value in named.items()]))
-    nodes = ranked(leaves, "grp", [F.col("ordered_by").asc_nulls_first(), F.col("digest")])
-    levels, tops = _climb(nodes, arity)
+    nodes = cut_lineage(ranked(leaves, "grp", [F.col("ordered_by").asc_nulls_first(), F.col("digest")]).drop("ordered_by"))
+    levels, tops, n_groups = _climb(nodes, arity, small)
     groups = cut_lineage(tops.select(F.lit("").alias("all"), "grp", "level", F.col("top").alias("digest")))
-    crown = ranked(groups, "all", [F.col("grp")]).select(
-        F.col("all").alias("grp"), "at", "of", "digest", F.col("grp").alias("group"), F.col("level").alias("group_level")
+    if n_groups <= small:
+        whole = Window.partitionBy("all")
+        place = F.row_number().over(whole.orderBy("grp")).cast("long") - 1
+        placed = groups.coalesce(1).withColumns({"at": place, "of": F.count(F.lit(1)).over(whole)})
+    else:
+        placed = ranked(groups, "all", [F.col("grp")])
+    crown = cut_lineage(
+        placed.select(F.col("all").alias("grp"), "at", "of", "digest", F.col("grp").alias("group"), F.col("level").alias("group_level"))
     )
-    upper, last = _climb(crown, arity)
+    upper, last, _ = _climb(crown, arity, small)
     ends = last.select("grp", "level", F.array().cast(STEPS).alias("steps"), F.col("top").alias("root"))
-    ends = _paths(crown, upper, ends, ["group", "group_level", "digest"]).select(
+    ends = _paths(crown, upper, ends, ["group", "group_level", "digest"], small).select(
         F.col("group").alias("grp"), F.col("group_level").alias("level"), "steps", F.col("digest").alias("subroot"), "root"
     )
     ends = cut_lineage(ends)
     carried = [f"carried_{name}" for name in carry]
-    found = _paths(nodes, levels, ends, ["digest", *carried])
+    found = _paths(nodes, levels, ends, ["digest", *carried], small)
     return found.select(
         F.col("digest").alias("leaf"), "steps", "subroot", "root", *[F.col(c).alias(c.removeprefix("carried_")) for c in carried]
     )
 
 
-def audit(docs: DataFrame, arity: int = ARITY) -> DataFrame:
+def audit(docs: DataFrame, arity: int = ARITY, small: int = SMALL) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row of ``docs``.
 
     Rows whose id has an even CRC-32 are tampered with: their texts lose the line feeds, and
@@ -174,7 +210,7 @@ def audit(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     doc_id, text = columns["doc_id"], columns["text"]
     changed = (F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0) & (F.instr(text, "\n") > 0)
     tampered = F.when(changed, leaf_digest(**columns | {"text": F.translate(text, "\n", "")}))
-    found = manifest(docs, columns["source"], doc_id, leaf_digest(**columns), {"doc_id": doc_id, "tampered": tampered}, arity)
+    found = manifest(docs, columns["source"], doc_id, leaf_digest(**columns), {"doc_id": doc_id, "tampered": tampered}, arity, small)
     return found.select(
         "doc_id",
         "leaf",

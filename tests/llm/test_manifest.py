@@ -56,8 +56,8 @@ def plain(rows, arity=3):
     return sorted(out, key=str)
 
 
-def result(df, arity=3):
-    return sorted((tuple(r) for r in manifest.audit(df, arity).collect()), key=str)
+def result(df, arity=3, small=manifest.SMALL):
+    return sorted((tuple(r) for r in manifest.audit(df, arity, small).collect()), key=str)
 
 
 def rows_of(df):
@@ -79,7 +79,8 @@ def test_hot_group_and_repeated_rows(spark):
     rnd = random.Random(2)
     rows = [(7 if i % 3 == 0 else i, f"t\n{i % 5}", "en", rnd.choice(["hot", "hot", f"s{i % 11}", None]), i % 3) for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    assert result(df) == plain(rows)
+    for small in (0, 60, manifest.SMALL):  # all levels shuffled, some, none
+        assert result(df, small=small) == plain(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
