@@ -87,7 +87,8 @@ def fresh_context_stream(
 ) -> DataFrame:
     """Streaming twin: interval join within ``max_age``, then the latest context per action.
 
-    Both sides carry a watermark, so join state older than the age is dropped.
+    Both sides carry a watermark, so join state older than the age is dropped, and an
+    action that met no context comes out, rejected, once no context can come any more.
     Clearing contexts (null) take part in the join and win when they are latest.
     """
     a = actions.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id").withWatermark("ts", delay)
@@ -102,6 +103,7 @@ def fresh_context_stream(
         (F.col("user_id") == F.col("c_user"))
         & (F.col("c_ts") <= F.col("ts"))
         & (F.col("ts") <= F.col("c_ts") + F.expr(f"interval {max_age}")),
+        "leftOuter",
     )
     # A stream may carry one event-time column only: the context's becomes a number.
     plain = joined.select(
@@ -110,10 +112,12 @@ def fresh_context_stream(
     latest = plain.groupBy("user_id", "ts", "event_id").agg(
         F.max_by(F.struct("context", F.col("_order.at").alias("at")), "_order").alias("_c")
     )
+    usable = F.col("_c.context").isNotNull()
     return latest.select(
         "user_id",
         "ts",
         "event_id",
         F.col("_c.context").alias("context"),
-        F.timestamp_micros("_c.at").alias("context_ts"),
+        F.when(usable, F.timestamp_micros("_c.at")).alias("context_ts"),
+        F.when(~usable, "NO_FRESH_CONTEXT").alias("error_code"),
     )

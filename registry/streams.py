@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from glossa.sources import streams as S
 from glossa.streaming import responses as R
 from glossa.streaming import selection as Q
 from glossa.streaming import stateful as W
+from glossa.streaming import timers as T
 from registry.common import table
 from registry.jobs import CAPS, EV
 
@@ -161,6 +163,68 @@ ORACLES["event_stream_counts"] = (
 QUERIES["admit_stream"] = lambda spark, d: _drained(
     spark, W.admit_stream(bindings.admission_rows(_stream(spark, d, "events", EVENTS_DDL)), *CAPS)
 )
+
+
+def _finished(spark, df, closing, ddl):
+    """``df``, written to the shared folder, as a stream that ends with ``closing`` rows, which let the watermark pass all others."""
+    path = f"{_work_dir(spark)}/in"
+    df.select(*[F.col(c).cast(t) for c, t in (f.split(" ") for f in ddl.split(", "))]).write.parquet(path)
+    spark.createDataFrame(closing, ddl).write.mode("append").parquet(path)
+    return spark.readStream.schema(ddl).parquet(path)
+
+
+FAR = datetime(2100, 1, 1)
+MARKS = "request_id bigint, ts timestamp, is_content boolean, is_end boolean, sent_at timestamp"
+
+
+def _timeouts_stream(spark, d):
+    chunks, requests = bindings.timed_chunks(table(spark, d, "events"))
+    marks = chunks.select("request_id", "ts", "is_content", "is_end").unionByName(
+        requests.select("request_id", "sent_at"), allowMissingColumns=True
+    )
+    stream = _finished(spark, marks, [(-1, None, None, None, FAR), (-1, FAR, True, True, None)], MARKS)
+    settled = T.timeouts_stream(
+        stream.filter("sent_at is null").drop("sent_at"), stream.filter("sent_at is not null").select("request_id", "sent_at")
+    )
+    return (
+        _drained(spark, settled).filter("request_id >= 0").withColumn("fired_at", F.col("fired_at").cast("timestamp_ntz"))
+    )
+
+
+QUERIES["timeouts_stream"] = _timeouts_stream
+ORACLES["timeouts_stream"] = ORACLES["stream_timeouts"]
+
+
+def _supersede_stream(spark, d):
+    events = table(spark, d, "events").select(
+        "user_id", "ts", "event_id", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, value * 600)").alias("end_ts")
+    )
+    # The last request of a user is settled when its end has passed.
+    stream = _finished(
+        spark, events, [(-1, FAR, -1, FAR)], "user_id bigint, ts timestamp, event_id bigint, end_ts timestamp"
+    )
+    done = _drained(spark, T.supersede_stream(stream)).filter("user_id >= 0")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "end_ts")})
+
+
+QUERIES["supersede_stream"] = _supersede_stream
+ORACLES["supersede_stream"] = ORACLES["supersede"]
+
+
+def _context_stream(spark, d):
+    actions, contexts = _context(spark, d)
+    ddl = "user_id bigint, ts timestamp, event_id bigint, context string"
+    streams = (
+        _finished(spark, rows.select("user_id", "ts", "event_id", context), [(-1, FAR, -1, None)], ddl)
+        for rows, context in ((actions, F.lit(None).alias("context")), (contexts, "context"))
+    )
+    done = _drained(spark, Q.fresh_context_stream(*streams, "4 hours")).filter("user_id >= 0")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "context_ts")})
+
+
+QUERIES["fresh_context_stream"] = _context_stream
+ORACLES["fresh_context_stream"] = ORACLES["fresh_context"]
+
 # The SQL of the batch twin, reduced to the columns a stream emits.
 from registry.jobs import ORACLES as _JOBS  # noqa: E402
 

@@ -1,3 +1,4 @@
+import random
 import tempfile
 from datetime import datetime, timedelta
 
@@ -6,6 +7,7 @@ from glossa.sources import streams as S
 from glossa.streaming import responses as R
 from glossa.streaming import selection as Q
 from glossa.streaming import stateful as W
+from glossa.streaming import timers as T
 
 T0 = datetime(2024, 1, 1)
 
@@ -113,15 +115,89 @@ def test_fresh_context_and_supersede(spark):
 def test_stream_context_equals_batch(spark):
     rows = [(1, at(0), 1, "c0"), (1, at(20), 2, "c1"), (1, at(100), 3, None), (2, at(0), 4, "d"),
             (1, at(10), 10, "act"), (1, at(50), 11, "act"), (1, at(51), 12, "act"), (2, at(29), 13, "act"),
-            (9, at(90_000), 90, "act"), (9, at(90_000), 91, "x")]
+            (1, at(101), 14, "act"), (3, at(5), 15, "act"), (9, at(90_000), 90, "act"), (9, at(90_000), 91, "x")]
     df = spark.createDataFrame(rows, "user_id int, ts timestamp, event_id bigint, context string")
 
     def both(d):
         return d.filter("context = 'act'").drop("context"), d.filter("context is null or context <> 'act'")
 
-    want = {r.event_id: r.context for r in Q.fresh_context(*both(df)).collect() if r.context and r.user_id != 9}
-    got = drained(spark, df, lambda s: Q.fresh_context_stream(*both(s)))
-    assert {r.event_id: r.context for r in got.collect() if r.context and r.user_id != 9} == want == {10: "c0", 11: "c1", 13: "d"}
+    def closed(d):
+        return sorted(tuple(r) for r in d.collect() if r.user_id != 9)
+
+    want = closed(Q.fresh_context(*both(df)))
+    assert {r[2]: r[3] for r in want} == {10: "c0", 11: "c1", 12: None, 13: "d", 14: None, 15: None}
+    assert closed(drained(spark, df, lambda s: Q.fresh_context_stream(*both(s)))) == want
+
+
+def in_steps(spark, parts, transform):
+    """Run a transformation over tables as a stream, one trigger for each table."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{base}/in")
+        S.drain(transform(stream), f"{base}/out", f"{base}/cp")
+    return spark.read.parquet(f"{base}/out")
+
+
+MARKS = "request_id int, seq bigint, ts timestamp, is_content boolean, is_end boolean, sent_at timestamp"
+
+
+def timed(df):
+    """(chunks, requests) of one table of marks."""
+    return df.filter("sent_at is null").drop("sent_at"), df.filter("sent_at is not null").select("request_id", "sent_at")
+
+
+def test_stream_timers_equal_batch(spark):
+    rnd = random.Random(4)
+    rows = [(r, 0, None, None, None, at(rnd.randint(0, 20))) for r in range(60)]
+    for r in range(60):
+        t = rows[r][5] + timedelta(milliseconds=rnd.choice([1, 59_999, 60_000, 60_001, 5_000]))
+        for i in range(rnd.randint(0, 9)):
+            rows.append((r, i, t, rnd.random() < 0.6, rnd.random() < 0.15, None))
+            t += timedelta(microseconds=rnd.choice([1, 1_000_000, 44_999_999, 45_000_000, 45_000_001, 121_000_000]))
+    close = [(99, 0, None, None, None, at(90_000)), (98, 0, at(90_000), False, False, None)]
+    df = spark.createDataFrame(rows, MARKS)
+    want = sorted(tuple(r) for r in R.stream_timeouts(*timed(df)).collect())
+    assert {r[1] for r in want} == {None, *T.TimeoutProcessor.CODES}
+    one = in_steps(spark, [df.unionByName(spark.createDataFrame(close, MARKS))], lambda s: T.timeouts_stream(*timed(s)))
+    assert sorted(tuple(r) for r in one.collect()) == want
+    # The same in triggers of one minute; rows of a trigger in any order.
+    by_minute = {}
+    for row in rows:
+        by_minute.setdefault(((row[2] or row[5]) - T0).seconds // 60, []).append(row)
+    parts = [spark.createDataFrame(rnd.sample(by_minute[m], len(by_minute[m])), MARKS) for m in sorted(by_minute)[:4]]
+    parts.append(spark.createDataFrame([row for m in sorted(by_minute)[4:] for row in by_minute[m]] + close, MARKS))
+    steps = in_steps(spark, parts, lambda s: T.timeouts_stream(*timed(s)))
+    assert sorted(tuple(r) for r in steps.collect()) == want
+
+
+def test_stream_timers_late_row_and_idle_key(spark):
+    first = [(1, 0, None, None, None, at(0)), (1, 0, at(1), True, False, None), (2, 0, None, None, None, at(0)), (3, 0, at(2), True, False, None)]
+    onward = [(8, 0, None, None, None, at(400)), (8, 0, at(400), True, True, None)]
+    late = [(1, 1, at(30), True, True, None)]  # in time for the request, but far behind the watermark
+    close = [(9, 0, None, None, None, at(9_000)), (7, 0, at(9_000), True, False, None)]
+    parts = [spark.createDataFrame(p, MARKS) for p in (first, onward, late, close)]
+    got = {r.request_id: (r.error_code, r.fired_at) for r in in_steps(spark, parts, lambda s: T.timeouts_stream(*timed(s))).collect()}
+    assert got == {1: ("STREAM_TIMEOUT", at(46)), 2: ("RESPONSE_HEADER_TIMEOUT", at(60)), 8: (None, None)}
+
+
+def test_stream_supersede_equals_batch(spark):
+    rnd = random.Random(6)
+    rows = [(u, at(t), u * 1000 + i, at(t + rnd.choice([0, 1, 5, 30]))) for u in range(8) for i, t in enumerate(sorted(rnd.sample(range(200), 15)))]
+    rows.append((3, rows[50][1], 9_000, None))
+    schema = "user_id int, ts timestamp, event_id bigint, end_ts timestamp"
+    close = [(u, at(9_000), 10_000 + u, at(9_001)) for u in range(8)]
+    names = ["user_id", "ts", "event_id", "end_ts", "is_superseded"]
+    want = Q.supersede(spark.createDataFrame(rows + close, schema)).select(*names).filter("event_id < 10000")
+    rows.sort(key=lambda r: r[1])
+    parts = [spark.createDataFrame(rnd.sample(rows[i : i + 40], len(rows[i : i + 40])), schema) for i in range(0, 120, 40)]
+    parts.append(spark.createDataFrame(rows[120:] + close, schema))
+    got = in_steps(spark, parts, T.supersede_stream).select(*names).filter("event_id < 10000")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_space_set_is_fixed():
