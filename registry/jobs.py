@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glossa.operators import batching as B
 from glossa.operators import execution as X
 from glossa.operators import progress as E
+from glossa.operators.queueing import admit_queue
 from glossa.plans import bindings
 from registry.common import table
 
@@ -117,6 +118,24 @@ SELECT o.job_id, batch_id, ts, seq, chars, bytes, nullif(f.code, '') AS error_co
 FROM f JOIN o USING (job_id, i)"""
 
 PRESSURE_MAP = dict(bindings.EVENT_MAP, view="BATCH_QUEUED")
+QUEUE_LIMIT = 3
+ARRIVALS = ("BATCH_STARTED", "BATCH_PROGRESS")
+
+QUERIES["admit_queue"] = lambda spark, d: admit_queue(
+    _log(spark, d).select(
+        "job_id", "batch_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").isin(*ARRIVALS).alias("arrives")
+    ),
+    QUEUE_LIMIT,
+)
+ORACLES["admit_queue"] = f"""WITH RECURSIVE {EV},
+o AS (SELECT job_id, batch_id, ts, event_id, event_type IN {ARRIVALS} AS arrives,
+  row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM ev),
+q AS (SELECT job_id, 1::BIGINT AS rn, 0::BIGINT AS queued FROM o WHERE rn = 1
+  UNION ALL SELECT q.job_id, q.rn + 1, CASE WHEN arrives THEN least(queued + 1, {QUEUE_LIMIT}) ELSE greatest(queued - 1, 0) END
+  FROM q JOIN o USING (job_id, rn))
+SELECT job_id, batch_id, ts, event_id AS seq, queued, CASE WHEN queued >= {QUEUE_LIMIT} THEN 'JOB_QUEUE_FULL' END AS error_code,
+  queued < {QUEUE_LIMIT} AS admitted FROM o JOIN q USING (job_id, rn) WHERE arrives"""
+
 QUERIES["queue_pressure"] = lambda spark, d: B.queue_pressure(
     bindings.job_events(table(spark, d, "events"), PRESSURE_MAP), 3, 4, 60
 )
