@@ -174,6 +174,25 @@ def _finished(spark, df, closing, ddl):
 
 
 FAR = datetime(2100, 1, 1)
+CHUNKS = "request_id bigint, seq bigint, ts timestamp, chunk string"
+
+
+def _chunk_stream(spark, d):
+    """Chunks written as JSON, every fifth one sent twice, read as a stream and counted per request."""
+    path = f"{_work_dir(spark)}/in"
+    chunks = _chunks(spark, d).withColumn("ts", F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("seq") % 100_000))
+    chunks.unionByName(chunks.filter("seq % 5 = 0")).write.json(path)
+    spark.createDataFrame([S.closing_chunk(FAR)], CHUNKS).write.mode("append").json(path)
+    got = _drained(spark, S.read_chunk_stream(spark, path, delay="10 minutes", schema=CHUNKS)).filter("request_id >= 0")
+    return got.groupBy("request_id").agg(
+        F.count("*").alias("n_chunks"), F.sum(F.char_length("chunk")).cast("bigint").alias("n_chars"), F.max("seq").alias("last_seq")
+    )
+
+
+QUERIES["chunk_stream"] = _chunk_stream
+ORACLES["chunk_stream"] = f"""WITH {SQL_CHUNKS}
+SELECT request_id, count(*) AS n_chunks, CAST(sum(length(chunk)) AS BIGINT) AS n_chars, max(seq) AS last_seq FROM ch GROUP BY request_id"""
+
 MARKS = "request_id bigint, ts timestamp, is_content boolean, is_end boolean, sent_at timestamp"
 
 

@@ -200,5 +200,21 @@ def test_stream_supersede_equals_batch(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_chunk_source_drops_replays_and_late_rows(spark):
+    schema = "request_id string, seq int, ts timestamp, chunk string"
+    first = [("a", i, at(i), f"c{i}") for i in range(5)] + [("a", 2, at(3), "again"), (None, 1, at(1), "x"), ("a", None, at(1), "x")]
+    second = [("a", 4, at(5), "again"), ("b", 0, at(100), "b0")]
+    third = [("a", 9, at(6), "too late"), ("b", 0, at(101), "again"), ("b", 1, at(200), "b1")]
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    dropped = []
+    for part in (first, second, third):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{base}/in")
+        query = S.drain(S.read_chunk_stream(spark, f"{base}/in", delay="10 seconds"), f"{base}/out", f"{base}/cp")
+        dropped.append(S.dropped_rows(query))
+    got = spark.read.parquet(f"{base}/out")
+    assert sorted((r.request_id, r.seq, r.chunk) for r in got.collect()) == [*(("a", i, f"c{i}") for i in range(5)), ("b", 0, "b0"), ("b", 1, "b1")]
+    assert dropped == [{"late": 0, "repeats": 1}, {"late": 0, "repeats": 1}, {"late": 1, "repeats": 1}]
+
+
 def test_space_set_is_fixed():
     assert len(SPACE_CHARS) == 25
