@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import held, quoted, released
+from glossa.llm.common import held, quoted, released, sliced
 from glossa.session import cut_lineage
 
 SAMPLE = 12_000
@@ -32,6 +32,8 @@ PENALTY = 2e-4
 STEPS = 150
 THRESHOLD = 0.7
 TASKS = 16
+#: Features of the fitting sample that are expanded at a time.
+BLOCK = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HIGH = np.uint64(0xD6E8FEB86659FD93)
 _WORD = np.zeros(129, bool)
@@ -121,16 +123,39 @@ def log_ratios(rows: DataFrame, features: int, smoothing: float) -> DataFrame:
     )
 
 
-def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features times ``scale``, by full-batch Adam steps."""
-    value, n = scale[column], len(y)
+def _blocks(columns: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Runs of rows with about ``BLOCK`` features: rows, feature columns, and which row of the run each belongs to."""
+    at = 0
+    while at < len(columns):
+        upto, size = at + 1, len(columns[at])
+        while upto < len(columns) and size + len(columns[upto]) <= BLOCK:
+            size += len(columns[upto])
+            upto += 1
+        run = columns[at:upto]
+        owner = np.repeat(np.arange(len(run), dtype=np.int32), [len(c) for c in run])
+        yield slice(at, upto), np.concatenate(run), owner
+        at = upto
+
+
+def _logistic(columns: list[np.ndarray], scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features times ``scale``, by full-batch Adam steps.
+
+    Margins and slopes are added up block by block, so beside the features themselves only
+    one block is expanded at a time.
+    """
+    n = len(y)
     weight, bias = np.zeros(len(scale)), 0.0
     first, second = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+    blocks = list(_blocks(columns))
+    columns.clear()
     for step in range(1, STEPS + 1):
-        margin = np.bincount(owner, weight[column] * value, minlength=n) + bias
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        slope = np.bincount(column, error[owner] * value, minlength=len(scale)) / n + PENALTY * weight
-        slope = np.append(slope, error.mean())
+        scaled, slope, constant = weight * scale, np.zeros(len(scale)), 0.0
+        for rows, column, owner in blocks:
+            margin = np.bincount(owner, scaled[column], minlength=rows.stop - rows.start) + bias
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[rows]
+            slope += np.bincount(column, error[owner], minlength=len(scale))
+            constant += error.sum()
+        slope = np.append(slope * scale / n + PENALTY * weight, constant / n)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -155,7 +180,7 @@ def train(
     spark = docs.sparkSession
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in sliced(b)):
             seen = [np.unique(buckets(t)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("place"), batch.column("toxic"), pa.array(seen, pa.binary())], ["place", "toxic", "seen"]
@@ -187,8 +212,8 @@ def train(
         y = np.array([float(t > 0) for _, _, t in labelled])
         if len(y):
             columns = [np.frombuffer(seen, np.int32) for _, seen, _ in labelled]
-            owner = np.repeat(np.arange(len(y)), [len(c) for c in columns])
-            weight, bias = _logistic(owner, np.concatenate(columns), ratios, y)
+            labelled.clear()
+            weight, bias = _logistic(columns, ratios, y)
         else:
             weight, bias = np.zeros(len(ratios)), 0.0
         at = np.array([-1, *[r["bucket"] for r in chosen]], np.int32)
