@@ -42,6 +42,8 @@ GRAM = 32
 GROUP = 24
 CROWD = 1_000
 BATCH_BYTES = 1_500_000
+#: Text that is hashed at a time; a byte of it takes about 90 bytes of memory.
+SLICE_BYTES = 128_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -232,7 +234,7 @@ _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 def _anchored(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in sliced(b, limit=1_000_000)):
+        for batch in (part for b in batches for part in sliced(b, limit=SLICE_BYTES)):
             raw, borders = raw_texts(batch.column("text"))
             found = stretches(raw, borders, length, gram)
             take = pa.array(found["row"])
@@ -268,7 +270,7 @@ def _texts(keyed: DataFrame, wanted: DataFrame, length: int, group: int) -> Data
     core_list = pa.list_(pa.struct([("group", pa.int32()), ("core", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in sliced(b, limit=1_000_000)):
+        for batch in (part for b in batches for part in sliced(b, limit=SLICE_BYTES)):
             found, texts, shared = [], [], []
             for text, stretch_list in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 whole = text.encode("utf-8", "surrogatepass")
@@ -451,7 +453,7 @@ def removal_digests(
     gone = covered(keyed, length, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in sliced(b)):
+        for batch in (part for b in batches for part in sliced(b, limit=SLICE_BYTES)):
             n, removed, spans, prints = [], [], [], []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("covered").to_pylist(), strict=True):
                 raw, merged = text.encode("utf-8", "surrogatepass"), _merged(ranges)
