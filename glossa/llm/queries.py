@@ -104,7 +104,9 @@ rejected AS (
   SELECT conv_id AS pair_id, turn, role, text, 'rejected' AS side FROM conversations LEFT JOIN answers USING (conv_id)
   WHERE last IS NULL OR NOT (role = 'assistant' AND turn = last)
   UNION ALL SELECT conv_id, last, role, text, 'rejected' FROM final JOIN answers USING (conv_id)),
-turns AS (SELECT * FROM chosen UNION ALL SELECT * FROM rejected),
+turns AS (
+  SELECT pair_id, coalesce(turn, {chat.LAST}) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, side
+  FROM (SELECT * FROM chosen UNION ALL SELECT * FROM rejected)),
 split AS (
   SELECT pair_id, min(turn) AS split FROM (
     SELECT pair_id, turn, role, text FROM turns GROUP BY ALL

@@ -33,7 +33,7 @@ def test_limited_movement(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text")
     before, after = check(docs, 16), check(docs, 17)
     moved = sum(before[i] != after[i] for i in before)
-    assert moved < 0.45 * len(before)  # dealing anew would move 94 %
+    assert moved < 0.12 * len(before)  # 5.9 % is the least possible, dealing anew would move 94 %
 
 
 def test_surplus_goes_on_clockwise():
