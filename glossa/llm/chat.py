@@ -111,7 +111,8 @@ def pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) of ``contrast``, with the rows without a conv_id.
 
     Those have no answers of their own and no partner, so they are the same on both sides:
-    one pair without an id, all prompt.
+    one pair without an id, all prompt. Other columns are ignored; an empty table
+    gives no pairs.
     """
     chosen, rejected = contrast(conversations)
     stray = conversations.filter(F.col("conv_id").isNull()).select(

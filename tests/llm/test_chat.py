@@ -62,3 +62,14 @@ def test_query_keeps_rows_without_an_id(spark, tmp_path):
     found = [tuple(r) for r in got.select(columns).collect()]
     assert sorted(found, key=str) == sorted(want.fetchall(), key=str)
     assert [(r[columns.index("part")], r[columns.index("copies")]) for r in sorted(found, key=str) if r[columns.index("pair_id")] is None] == [("prompt", 2), ("prompt", 1)]
+
+
+def test_clashing_columns_and_empty_table(spark):
+    """Other columns are ignored, those that bear names of the operator too; no rows give no rows."""
+    columns = "conv_id long, turn long, role string, text string"
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (1, 0, "user", "r"), (1, 1, "assistant", "a1"), (None, 0, None, None)]
+    plain = spark.createDataFrame(rows, columns)
+    clashing = plain.selectExpr("*", "'p' AS pair_id", "'mine' AS part", "'s' AS side", "7 AS copies", "8 AS last", "'r' AS rendered")
+    result = lambda df: sorted((tuple(r) for r in chat.preference_rows(*chat.pairs(df)).collect()), key=str)
+    assert result(clashing) == result(plain) != []
+    assert result(spark.createDataFrame([], columns)) == []

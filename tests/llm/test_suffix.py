@@ -87,6 +87,25 @@ def test_documents(documents):
     assert check(documents) > 0
 
 
+def test_planted_lengths(spark):
+    """Passages of 400 bytes and more go with all their bytes, shorter ones stay, whatever their words."""
+    rnd = random.Random(11)
+    letters = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    short = " ".join("".join(rnd.choice("xyz") for _ in range(5)) for _ in range(51))
+    long = " ".join("".join(rnd.choice("xyz") for _ in range(9)) for _ in range(51))
+    planted = [letters(300), letters(399), letters(400), letters(801), short, long]
+    assert len(short) < 400 < len(long)
+    rows = []
+    for passage in planted:
+        # The bytes around a passage differ from copy to copy, so that it repeats by itself only.
+        rows += [f"{letters(150)}{before}{passage}{after}{letters(90)}" for before, after in (("1", "2"), ("3", "4"), ("5", "6"))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    check(df)
+    removed = {r.doc_id: r.n_removed for r in suffix.removal_digests(df).collect()}
+    for k, passage in enumerate(planted):
+        assert {removed[3 * k + copy] for copy in range(3)} == {len(passage) if len(passage) >= 400 else 0}
+
+
 def test_nothing(nothing):
     assert suffix.removal_digests(nothing).count() == 0
     assert suffix.cut_repeats(nothing).count() == 0
