@@ -42,7 +42,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without strings of 400 bytes and more that stand at several places; n_chars follows the text.
 
-    A null text stays null, with a null n_chars; a text that repeats as a whole becomes empty.
+    A null text stays null, with a null n_chars; a text of 400 bytes and more that repeats as a whole becomes empty.
     """
     cut = suffix.cut_repeats(docs)
     return cut.selectExpr(
