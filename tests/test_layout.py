@@ -153,3 +153,16 @@ def test_every_run_ends_in_one_block(spark, small):
     lines = N.assemble_lines(P.segmented_items(P.prepared_items(items, I.views_from_items(items), I.styles_from_documents(docs))))
     cleaned = items.filter("trim(str) <> ''").count()
     assert lines.agg(F.sum("n_items")).first()[0] == cleaned
+
+
+def test_missing_matrix_maps_the_view_box_onto_the_page(spark):
+    """The corner of the box that a clockwise turn brings to the page's top left is its origin, the opposite one its end."""
+    box, w, h = [30.0, -20.0, 630.0, 380.0], 500.0, 700.0
+    left, bottom, right, top = box
+    first = {0: (left, top), 90: (left, bottom), 180: (right, bottom), 270: (right, top)}
+    last = {0: (right, bottom), 90: (right, top), 180: (left, top), 270: (left, bottom)}
+    views = spark.createDataFrame([(1, rot, w, h, rot, None, box) for rot in first], PAGE_VIEWS)
+    for r in G.page_frames(views).collect():
+        a, b, c, d, e, f = r.page.matrix
+        at = lambda x, y: (round(a * x + c * y + e, 6), round(b * x + d * y + f, 6))  # noqa: E731, B023
+        assert at(*first[r.page_no]) == (0, 0) and at(*last[r.page_no]) == (w, h)
