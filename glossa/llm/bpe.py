@@ -4,7 +4,8 @@ A sequence of tokens is the result of merging by rank exactly if each token merg
 itself and no merge ever crosses the border of two neighbours, which depends on the two
 tokens alone.  Words are therefore cut greedily, all distinct pairs of neighbours of a
 batch are checked at once in numpy, and only words with a pair that fails are merged step
-by step.  Words seen before come from a bounded cache of the worker.
+by step.  Words seen before, and runs of them between white space, come from caches of the
+worker that are bounded by their bytes.
 
 The vocabulary (a file of fixed size) is read on the driver and broadcast.
 """
@@ -31,7 +32,9 @@ from glossa.llm.common import quoted
 
 NEVER = np.int64(2**62)
 WORD_END = "Ā"
-CACHE_WORDS = 400_000
+#: Bound of each of the two caches of a worker (words, runs), and about what an entry takes beside its characters and tokens.
+CACHE_BYTES = 130_000_000
+ENTRY_BYTES = 160
 CHUNK_CHARS = 1_000_000
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Words up to these sizes are merged as tables, longer ones by a heap.
@@ -109,12 +112,11 @@ class Lexicon:
             pairs.append((a * size + b, n, ab))
             self.rank[ab], self.left[ab], self.right[ab] = n, a, b
         self.merges = {key: n for key, n, _ in pairs}
-        self.made = [ab for _, _, ab in pairs]
+        self.made = made = np.array([p[2] for p in pairs], np.int64)
         ordered = sorted(pairs) or [(-1, 0, 0)]
         self.pair_keys = np.array([p[0] for p in ordered], np.int64)
         self.pair_ranks = np.array([p[1] for p in ordered], np.int64)
         self.base = {piece(t): i for t, i in vocab.items() if self.rank[i] < 0}
-        made = np.array([p[2] for p in pairs], np.int64)
         # Only tokens that merge to themselves may be proposed.
         whole = self.compatible(self.left[made], self.right[made], self.rank[made]) if len(made) else np.array([], bool)
         sound = np.zeros(size, bool)
@@ -129,6 +131,7 @@ class Lexicon:
             self.cache[" " + text] = np.array([i], self.dtype).tobytes()
         self.fixed = dict(self.cache)
         self.seen: dict[str, bytes] = {}
+        self.word_bytes = self.run_bytes = 0
 
     def _grow_trie(self) -> None:
         """Edges of the trie of pieces, level by level: edge k leads to node k + 1 and has the key node * 512 + symbol."""
@@ -248,7 +251,7 @@ class Lexicon:
         """One merge a row and round; rows are filled up with -1."""
         done = np.full(ids.shape, -1, np.int64)
         ranks = self.ranks_of(ids[:, :-1], ids[:, 1:])
-        made, row = np.array(self.made, np.int64), np.arange(len(ids))
+        row = np.arange(len(ids))
         while ranks.shape[1]:
             best = ranks.argmin(axis=1)
             rank = ranks[np.arange(len(row)), best]
@@ -256,7 +259,7 @@ class Lexicon:
             done[row[~go], : ids.shape[1]] = ids[~go]
             row, ids, ranks, best, rank = row[go], ids[go], ranks[go], best[go], rank[go]
             each, width = np.arange(len(row)), ids.shape[1]
-            ids[each, best] = made[rank]
+            ids[each, best] = self.made[rank]
             ids = np.take_along_axis(ids, np.arange(width - 1) + (np.arange(width - 1) > best[:, None]), axis=1)
             ranks = np.take_along_axis(ranks, np.arange(width - 2) + (np.arange(width - 2) >= best[:, None]), axis=1)
             for near, i in ((best > 0, best - 1), (best < width - 2, best)):
@@ -282,7 +285,7 @@ class Lexicon:
             j = after[i] if alive[i] else n
             if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = self.made[rank], False, after[j]
+            ids[i], alive[j], after[i] = int(self.made[rank]), False, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
@@ -317,6 +320,7 @@ class Lexicon:
         for r, stop in zip(rows.tolist(), stops, strict=True):
             self.cache[words[r]] = raw[start:stop]
             start = stop
+        self.word_bytes += ENTRY_BYTES * len(rows) + len(raw) + sum(map(len, map(words.__getitem__, rows.tolist())))
 
     def words(self, text: str) -> list[str]:
         """Words of a text in normal form; a special token is itself behind a space, which no word contains."""
@@ -344,12 +348,13 @@ class Lexicon:
         get = self.cache.__getitem__
         for run, words in new.items():
             self.seen[run] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+            self.run_bytes += ENTRY_BYTES + len(run) + len(self.seen[run])
         get = self.seen.__getitem__
         out = [b"".join(map(get, runs)) for runs in parts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = dict(self.fixed)
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {r: self.seen[r] for r in distinct}
+        if self.word_bytes > CACHE_BYTES:
+            self.cache, self.word_bytes = dict(self.fixed), 0
+        if self.run_bytes > CACHE_BYTES:
+            self.seen, self.run_bytes = {}, 0
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
