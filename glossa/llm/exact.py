@@ -6,7 +6,7 @@
    id and the number of copies of each.
 3. The winners (at most ``candidates`` rows, so the bound of the broadcast is proven)
    go to all tasks; copies of a frequent text are settled on the map side and never
-   shuffled.
+   shuffled, also where rows repeat the id that stays.
 4. All other digests, none of them frequent, go through an ordinary shuffle.
 """
 
@@ -56,25 +56,27 @@ def winners(prints: DataFrame, candidates: int = CANDIDATES, tracked: int = TRAC
     )
 
 
-def _settle(rows: DataFrame, heavy: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows settled without a shuffle as copies, the other rows with their place in their group)."""
-    marked = rows.join(
-        F.broadcast(heavy.withColumnsRenamed({"keep_id": "heavy_id", "group_size": "heavy_size"})), "digest", "left"
-    )
-    copy = F.col("heavy_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("heavy_id"))
-    gone = marked.filter(copy).select(
-        "doc_id", F.col("heavy_id").alias("keep_id"), F.col("heavy_size").alias("group_size"), "digest", *carried
-    )
+def _marked(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` with heavy_id and the other columns of the frequent digests, null for all other digests."""
+    named = {"keep_id": "heavy_id", "group_size": "heavy_size"}
+    return rows.join(F.broadcast(heavy.withColumnsRenamed(named)), "digest", "left")
+
+
+def _has_kept_id() -> Column:
+    """Whether a row of a frequent digest has the id that stays; rows that repeat it have it too."""
+    return F.col("heavy_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("heavy_id"))
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows of the other digests with keep_id, group_size and their place in their group."""
     group = Window.partitionBy("digest")
-    rest = marked.filter(~copy).select(
-        "doc_id",
-        F.min("doc_id").over(group).alias("keep_id"),
-        F.coalesce("heavy_size", F.count(F.lit(1)).over(group)).alias("group_size"),
-        "digest",
-        F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())).alias("place"),
-        *carried,
+    return rows.withColumns(
+        {
+            "keep_id": F.min("doc_id").over(group),
+            "group_size": F.count(F.lit(1)).over(group),
+            "place": F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())),
+        }
     )
-    return gone, rest
 
 
 def mark_copies(
@@ -87,10 +89,21 @@ def mark_copies(
     null only where a whole group has none.  Null texts are empty texts.  Other columns are
     ignored; an empty table gives no rows.
     """
-    prints = cut_lineage(docs.select(quoted(id_col).alias("doc_id"), digest(quoted(text_col)).alias("digest")))
-    gone, rest = _settle(prints, winners(prints, candidates, tracked), [])
-    both = gone.withColumn("kept", F.lit(False)).unionByName(rest.withColumn("kept", F.col("place") == 1).drop("place"))
-    return both.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    named = docs.select(quoted(id_col).alias("doc_id"), digest(quoted(text_col)).alias("digest"))
+    prints = cut_lineage(named.withColumn("no", F.monotonically_increasing_id()))
+    heavy = cut_lineage(winners(prints, candidates, tracked))
+    # Rows may repeat the id that stays; the one with the smallest number is kept.
+    first = _marked(prints, heavy).filter(_has_kept_id()).groupBy("digest").agg(F.min("no").alias("heavy_no"))
+    marked = _marked(prints, heavy.join(first, "digest"))
+    settled = marked.filter("heavy_size IS NOT NULL").select(
+        "doc_id",
+        F.col("heavy_id").alias("keep_id"),
+        F.col("heavy_size").alias("group_size"),
+        (F.col("no") == F.col("heavy_no")).alias("kept"),
+        "digest",
+    )
+    rest = _shuffled(marked.filter("heavy_size IS NULL").select("doc_id", "digest")).withColumn("kept", F.col("place") == 1)
+    return settled.unionByName(rest.drop("place")).withColumnRenamed("digest", "text_sha256")
 
 
 def drop_copies(
@@ -98,9 +111,13 @@ def drop_copies(
 ) -> DataFrame:
     """The kept rows of ``mark_copies``, whole and with the columns as they came.
 
-    Whole rows are shuffled once, and copies of frequent texts not at all.
+    Whole rows are shuffled once, and copies of frequent texts not at all, but for one row
+    per task and text.  Of rows that repeat an id and a text any one is kept.
     """
     named = {"doc_id": quoted(id_col), "digest": digest(quoted(text_col))}
     prints = cut_lineage(docs.select(*[expr.alias(name) for name, expr in named.items()]))
-    _, rest = _settle(held(docs, **named), winners(prints, candidates, tracked), ["_row"])
-    return released(rest.filter("place = 1"))
+    marked = _marked(held(docs, **named), winners(prints, candidates, tracked))
+    # Rows that repeat the id that stays are reduced to one per task before the shuffle.
+    settled = marked.filter(_has_kept_id()).groupBy("digest").agg(F.first("_row").alias("_row")).select("_row")
+    rest = _shuffled(marked.filter("heavy_size IS NULL").select("doc_id", "digest", "_row")).filter("place = 1").select("_row")
+    return released(settled.unionByName(rest))

@@ -42,6 +42,17 @@ def test_heavy_group(spark):
     check(rows)
 
 
+def test_repeated_rows(spark):
+    """A third of the rows repeat one id and one text, another group repeats a null id."""
+    kind = "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 30 = 1 THEN 1 ELSE id END"
+    rows = spark.range(3000).selectExpr(f"nullif({kind}, 1) AS doc_id", f"concat('text ', {kind}) AS text").repartition(7)
+    check(rows, candidates=16, tracked=64)
+    kept = exact.drop_copies(rows, candidates=16, tracked=64)
+    assert kept.count() == kept.select("text").distinct().count() == rows.select("text").distinct().count()
+    heavy = exact.winners(rows.select("doc_id", exact.digest(rows["text"]).alias("digest")), 16, 64)
+    assert {(r.keep_id, r.group_size) for r in heavy.collect()} == {(0, 1000), (None, 100)}
+
+
 def test_stage_keeps_rows_whole(edges):
     kept = exact.drop_copies(edges)
     assert kept.columns == edges.columns
