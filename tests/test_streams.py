@@ -218,3 +218,18 @@ def test_chunk_source_drops_replays_and_late_rows(spark):
 
 def test_space_set_is_fixed():
     assert len(SPACE_CHARS) == 25
+
+
+def test_stream_queries_read_tables_of_one_or_several_files(spark, small, tmp_path):
+    """A table may be a folder of files or without rows; streams read it as they read a single file."""
+    import __spark_entry__ as entry
+
+    for name in ("conversations", "events"):
+        table = spark.read.parquet(f"{small}/{name}.parquet")
+        table.repartition(3).write.parquet(f"{tmp_path}/parts/{name}.parquet")
+        table.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    for name in ("assemble_stream", "event_stream_counts"):
+        query = entry.queries()[name]
+        one = sorted(query(spark, small).collect())
+        assert one and sorted(query(spark, f"{tmp_path}/parts").collect()) == one
+    assert entry.queries()["assemble_stream"](spark, f"{tmp_path}/none").collect() == []
