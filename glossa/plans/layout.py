@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from glossa import limits
@@ -12,9 +14,25 @@ from glossa.operators.layout import lines as N
 from glossa.operators.layout import rows as R
 
 
+#: Runs of one task at most.  The windows of the plan sort wide rows dozens of times and compressed sizes say little
+#: about them (19 KB of sort and window memory a run, all operators together), so runs are counted instead.
+RUNS_PER_TASK = 100_000
+#: Up to the cores there are, tasks take this many runs.
+LEAST_RUNS = 10_000
+
+
+def tasks_for(runs: int, cores: int) -> int:
+    """Tasks that share the pages; beyond the cores their number grows with the runs."""
+    return max(1, math.ceil(runs / RUNS_PER_TASK), min(cores, math.ceil(runs / LEAST_RUNS)))
+
+
 def prepared_items(items: DataFrame, page_views: DataFrame, font_styles: DataFrame) -> DataFrame:
-    """Runs with boxes in their reading frame; marginal artefacts removed."""
-    return G.logical_geometry(G.with_orientation(G.item_geometry(items, page_views, font_styles)))
+    """Runs with boxes in their reading frame; marginal artefacts removed.
+
+    The runs are counted first, so that their number decides how many tasks share the pages.
+    """
+    tasks = tasks_for(items.count(), items.sparkSession.sparkContext.defaultParallelism)
+    return G.logical_geometry(G.with_orientation(G.item_geometry(items, page_views, font_styles, tasks)))
 
 
 def segmented_items(prepared: DataFrame) -> DataFrame:

@@ -166,3 +166,18 @@ def test_missing_matrix_maps_the_view_box_onto_the_page(spark):
         a, b, c, d, e, f = r.page.matrix
         at = lambda x, y: (round(a * x + c * y + e, 6), round(b * x + d * y + f, 6))  # noqa: E731, B023
         assert at(*first[r.page_no]) == (0, 0) and at(*last[r.page_no]) == (w, h)
+
+
+def test_pages_are_shared_by_tasks_according_to_the_number_of_runs(spark, small, monkeypatch):
+    """A task of the layout plan holds a bounded number of runs (pages are not split), however small they compress."""
+    from glossa.sources import items as I
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    items = I.items_from_documents(docs)
+    inputs = items, I.views_from_items(items), I.styles_from_documents(docs)
+    runs = items.count()
+    monkeypatch.setattr(P, "RUNS_PER_TASK", 500)
+    found = P.prepared_items(*inputs).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in found) == items.filter("trim(str) <> ''").count()
+    assert max(r["count"] for r in found) <= 4 * 500 and len(found) >= runs / 1000
+    assert [P.tasks_for(n, 8) for n in (0, 9_000, 25_000, 10**6, 500 * 50)] == [1, 18, 50, 2_000, 50]
