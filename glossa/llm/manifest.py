@@ -4,7 +4,8 @@ Every level is a self-join of its nodes by their run of ``arity`` neighbours: th
 slot s finds its sibling with slot s + k (mod ``arity``; the XOR with 1 for two) for each
 offset k, and the slot-zero rows, which then hold the digests of their whole run, emit the
 parents.  Nodes are keyed by group and place, so a large group is spread like any other;
-each level is written to the shared folder and has an ``arity``-th of the rows.
+each level is written to the shared folder (as Parquet, so that the optimizer knows its size)
+and has an ``arity``-th of the rows.
 
 Levels of at most ``SMALL`` nodes (counted, not guessed) are joined in one task without a
 shuffle, all others are shuffled by group and run.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import quoted, ranked
-from glossa.session import cut_lineage
+from glossa.session import written
 
 ARITY = 3
 #: Most nodes of a level that one task joins; with the steps above them about 40 MB.
@@ -102,7 +103,7 @@ def _climb(nodes: DataFrame, arity: int, small: int) -> tuple[list[Level], DataF
     most, bound, groups = nodes.agg(F.max("of"), F.count(F.lit(1)), F.count_if(F.col("at") == 0)).first()
     while (most or 0) > 1:
         tops.append(nodes.filter("of = 1").select("grp", F.col("digest").alias("top"), F.lit(len(levels)).alias("level")))
-        level = cut_lineage(_with_siblings(nodes.filter("of > 1"), arity, bound <= small))
+        level = written(_with_siblings(nodes.filter("of > 1"), arity, bound <= small))
         levels.append(Level(level, bound))
         nodes = level.filter("slot = 0").select(
             "grp",
@@ -131,7 +132,7 @@ def _descend(levels: list[Level], ends: DataFrame, small: int) -> DataFrame:
             above = below(n + 1).select(F.col("grp").alias("_grp"), F.col("at").alias("_at"), "steps", *own)
             above = above.unionByName(at_level(n + 1))
             if levels[n + 1].bound > small:
-                above = cut_lineage(above)
+                above = written(above)
         else:
             above = at_level(n + 1)
         to_parent = (F.col("grp") == F.col("_grp")) & (F.col("run") == F.col("_at"))
@@ -173,17 +174,17 @@ def manifest(
         "digest": leaf,
         **{f"carried_{name}": value for name, value in carry.items()},
     }
-    leaves = cut_lineage(rows.select(*[value.alias(name) for name, value in named.items()]))
-    nodes = cut_lineage(ranked(leaves, "grp", [F.col("ordered_by").asc_nulls_first(), F.col("digest")]).drop("ordered_by"))
+    leaves = written(rows.select(*[value.alias(name) for name, value in named.items()]))
+    nodes = written(ranked(leaves, "grp", [F.col("ordered_by").asc_nulls_first(), F.col("digest")]).drop("ordered_by"))
     levels, tops, n_groups = _climb(nodes, arity, small)
-    groups = cut_lineage(tops.select(F.lit("").alias("all"), "grp", "level", F.col("top").alias("digest")))
+    groups = written(tops.select(F.lit("").alias("all"), "grp", "level", F.col("top").alias("digest")))
     if n_groups <= small:
         whole = Window.partitionBy("all")
         place = F.row_number().over(whole.orderBy("grp")).cast("long") - 1
         placed = groups.coalesce(1).withColumns({"at": place, "of": F.count(F.lit(1)).over(whole)})
     else:
         placed = ranked(groups, "all", [F.col("grp")])
-    crown = cut_lineage(
+    crown = written(
         placed.select(F.col("all").alias("grp"), "at", "of", "digest", F.col("grp").alias("group"), F.col("level").alias("group_level"))
     )
     upper, last, _ = _climb(crown, arity, small)
@@ -191,7 +192,7 @@ def manifest(
     ends = _paths(crown, upper, ends, ["group", "group_level", "digest"], small).select(
         F.col("group").alias("grp"), F.col("group_level").alias("level"), "steps", F.col("digest").alias("subroot"), "root"
     )
-    ends = cut_lineage(ends)
+    ends = written(ends)
     carried = [f"carried_{name}" for name in carry]
     found = _paths(nodes, levels, ends, ["digest", *carried], small)
     return found.select(

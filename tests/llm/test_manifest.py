@@ -99,3 +99,11 @@ def test_manifest_of_other_columns(spark):
 
 def test_nothing(nothing):
     assert manifest.audit(nothing).count() == 0
+
+
+def test_estimated_sizes_do_not_multiply(spark):
+    """Each level is two joins of the one below; with checkpoints the estimate of level n was of 3 ** n times the digits."""
+    nodes = spark.range(500).selectExpr("'g' AS grp", "id AS at", "500L AS of", "sha2(CAST(id AS STRING), 256) AS digest")
+    levels, _, _ = manifest._climb(manifest.written(nodes), 3, manifest.SMALL)
+    assert len(levels) == 6
+    assert max(x.nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for x in levels) < 40
