@@ -83,6 +83,26 @@ def test_expansion():
         assert [x.tolist() for x in suffix.repeated_windows(texts, length)] == want
 
 
+def test_expansion_of_many_pairs():
+    """Hundreds of pairs with shared strings of all lengths around the bound; the number of tasks follows the bytes."""
+    rnd = random.Random(6)
+    texts = []
+    for i in range(300):
+        own = bytes(rnd.choice(b"abcd") for _ in range(140))
+        at = rnd.randrange(20, 120)
+        texts += [own, own[:at] + b"#" + own[at + 1 :]]
+    often = Counter(w for t in texts for w in {t[i : i + 60] for i in range(81)})
+    got = suffix.repeated_windows(texts, 60)
+    assert [x.tolist() for x in got] == [[i for i in range(81) if often[t[i : i + 60]] > 1] for t in texts]
+    assert sum(map(len, got)) > 5_000
+
+
+def test_tasks_of_the_expansion_follow_their_text(spark):
+    contexts = spark.createDataFrame([(i, 1, 0, b"x" * 500) for i in range(40)], "anchor long, print long, start long, bytes binary")
+    tasks = suffix._expanded(contexts, 400, 9).selectExpr("spark_partition_id() AS task").distinct().collect()
+    assert 1 < len(tasks) <= 9
+
+
 def test_documents(documents):
     assert check(documents) > 0
 
