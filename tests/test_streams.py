@@ -277,3 +277,73 @@ def test_admission_calls_its_state_once_per_trigger():
     assert sent([f"b{i}" for i in range(200)] + ["b0"]) == [None] * 200 + ["BATCH_ALREADY_EXISTS"] and len(calls) <= 4
     assert sent(["b199", *(f"c{i}" for i in range(101))]) == ["BATCH_ALREADY_EXISTS", *[None] * 100, "JOB_BATCH_LIMIT"]
     assert len(calls) <= 4
+
+
+def test_timers_call_the_state_per_slot_not_per_key():
+    """A slot of 500 requests: their number of state calls is that of one request."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattribute__(self, name):
+            if name in ("exists", "get", "put", "appendList", "clear"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows = self.rows + list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("registerTimer")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 100_000
+
+    def run(n):
+        calls.clear()
+        job = T.TimeoutProcessor(60, 120, 45, 180)
+        job.init(Handle())
+        rows = [(f"={i}", 0, T.SENT) for i in range(n)] + [(f"={i}", T.SECOND * (1 + i % 2 * 70), T.END) for i in range(n)]
+        list(job.handleInputRows((3,), iter([pd.DataFrame(rows, columns=["key", "at", "mark"])]), Now()))
+        # Two timers of the slot are up at one watermark.
+        out = [part for _ in range(2) for part in job.handleExpiredTimer((3,), Now(), None)]
+        return len(calls), {r.key: r.error_code for part in out for r in part.itertuples()}
+
+    few, _ = run(1)
+    many, got = run(500)
+    assert got == {f"={i}": "RESPONSE_HEADER_TIMEOUT" if i % 2 else None for i in range(500)}
+    assert many == few <= 10
+
+
+def test_timers_of_null_and_text_keys(spark):
+    names = "user_id string, ts timestamp, event_id bigint, end_ts timestamp"
+    big = (1 << 53) + 1  # does not survive as a fraction
+    rows = [(None, at(0), big, None), (None, at(5), 2, at(6)), ("-", at(1), 3, at(2)), ("", at(1), 4, at(3)), ("z", at(9_000), 5, at(9_000))]
+    got = in_steps(spark, [spark.createDataFrame(rows, names)], T.supersede_stream).filter("event_id <> 5")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(None, at(0), big, None, False), (None, at(5), 2, at(6), False), ("-", at(1), 3, at(2), False), ("", at(1), 4, at(3), False)], key=str
+    )
