@@ -15,13 +15,16 @@ their sets reaches a threshold.  Equal sets are one class and one point from the
    folded as often as their sizes allow).
 3. R-tree.  The points of a bucket are packed into a tree by size and coordinates; nodes
    hold the coordinate maxima and the range of sizes, and a point descends only where the
-   bound can reach the overlap that its size asks for.  Large buckets are cut into cells by
-   size and hash, and pairs of cells of possible sizes are joined, so no bucket need fit
-   into a task.
+   bound can reach the overlap that its size asks for.
 4. Verification on the sets themselves, in two passes: first the best neighbour of each
    point, which joins most of each family; then all surviving pairs whose classes are not
    joined yet.  No family is expanded into all its pairs.
-5. Connected components of the verified links, by alternating star contractions.
+5. Crowds.  Buckets of more than ``cell`` classes that are mostly of the same classes are put
+   together, since a large family shares many frequent shingles and would be compared once for
+   each.  They are cut into cells by size and hash, and pairs of cells of possible sizes are
+   joined, so no bucket need fit into a task.  The sets travel with the points: what the tree
+   leaves is verified in the task, and only links that join something come out.
+6. Connected components of the verified links, by alternating star contractions.
 
 Shingles and sets are compared by 64-bit hashes.
 """
@@ -47,6 +50,9 @@ PER_GROUP = 4
 FREQUENT = 64
 HOT_LIMIT = 1_000_000
 CELL = 256
+#: Shingles of a cell of a crowd, and those that are compared at a time.
+CELL_SHINGLES = 1_000_000
+COLUMNS = 8_192
 LEAF = 8
 FANOUT = 8
 RANGE_ROWS = 1_000_000
@@ -273,28 +279,61 @@ def _hot_buckets(points: DataFrame) -> DataFrame:
     return rows.join(chosen, "shingle", "left_semi").select(F.col("shingle").alias("bucket"), "cls")
 
 
-def _cells(buckets: DataFrame, spots: DataFrame, cell: int, percent: int) -> DataFrame:
-    """(key, low, high, n, cls, label, vector): the points of each pair of cells that is to be joined.
+def _parted(buckets: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, cls) of the buckets of at most ``cell`` classes, and of the larger ones."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > cell)
+    large = cut_lineage(buckets.join(sizes, "bucket"))
+    if large.isEmpty():
+        return buckets, large.drop("m")
+    return buckets.join(sizes, "bucket", "left_anti"), cut_lineage(_merged(large))
 
-    A bucket of at most ``cell`` classes is one cell.  In a larger one, a cell is a range of
-    sizes and a hash; only cells of the same or neighbouring ranges can hold links.
+
+def _merged(large: DataFrame) -> DataFrame:
+    """(bucket, cls): the buckets of ``large`` (bucket, cls, m: its classes), like ones put together.
+
+    A bucket goes to that which is the largest one of half its classes or more, unless the latter
+    would grow to more than twice its size.  Buckets that are put together hold all pairs of
+    each, so this decides how much work is made, never what is found.
+    """
+    top = large.groupBy("cls").agg(F.max(F.struct("m", "bucket")).alias("top"))
+    votes = large.join(top, "cls").groupBy("bucket", "m", F.col("top.bucket").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    most = votes.groupBy("bucket", "m").agg(F.max(F.struct("n", "to")).alias("best"))
+    goes = cut_lineage(most.select("bucket", "m", F.when(2 * F.col("best.n") >= F.col("m"), F.col("best.to")).otherwise(F.col("bucket")).alias("to")))
+    for _ in range(2):
+        onward = goes.select(F.col("bucket").alias("to"), F.col("to").alias("next"))
+        goes = goes.join(onward, "to").select("bucket", "m", F.col("next").alias("to"))
+    goes = cut_lineage(goes)
+    moved = large.join(goes.select("bucket", "to"), "bucket")
+    grown = moved.groupBy("to").agg(F.count_distinct("cls").alias("size"))
+    fits = grown.join(goes.select(F.col("bucket").alias("to"), "m"), "to").select("to", (F.col("size") <= 2 * F.col("m")).alias("fits"))
+    name = F.when(F.col("fits"), F.col("to")).otherwise(F.col("bucket"))
+    return moved.join(fits, "to").select(name.alias("bucket"), "cls").distinct()
+
+
+def _cells(large: DataFrame, active: DataFrame, cell: int, percent: int) -> DataFrame:
+    """(key, left, same, cls): the classes of each pair of cells of a large bucket that is to be joined.
+
+    A cell is a range of sizes and a hash, with some ``2 * cell`` classes and at most about
+    ``CELL_SHINGLES`` shingles; only cells of the same or neighbouring ranges can hold links.
     """
     # Sizes of linked sets differ by no more than a range is wide.
     factor = max(1.25, 100 / percent)
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    rows = buckets.join(sizes, "bucket").join(spots, "cls")
-    many = F.ceil(F.col("m") / cell).cast("int")
-    step = F.when(F.col("m") <= cell, 0).otherwise(F.floor(F.log(F.col("n")) / F.log(F.lit(factor + 1e-9)))).cast("int")
-    own = rows.withColumn("many", many).withColumn("step", step).withColumn("slot", F.pmod(F.xxhash64("cls"), F.col("many")).cast("int"))
-    near = F.when(F.col("m") <= cell, F.array(F.lit(0))).otherwise(
-        F.sequence(F.greatest(F.col("step") - 1, F.lit(0)), F.col("step") + 1)
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(factor + 1e-9))).cast("int")
+    rows = large.join(active.select("cls", "n"), "cls").select("bucket", "cls", "n", step.alias("step"))
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / (2 * cell)), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
+    # A range is a quarter wider than the one before, so a bucket has a few dozen.
+    ranges = rows.groupBy("bucket", "step").agg(many.alias("many")).groupBy("bucket").agg(
+        F.collect_list(F.struct("step", "many")).alias("ranges")
     )
-    spread = own.withColumn("step2", F.explode(near)).withColumn("slot2", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    here, there = F.struct("step", "slot"), F.struct(F.col("step2").alias("step"), F.col("slot2").alias("slot"))
-    low, high = F.least(here, there), F.greatest(here, there)
-    return spread.select(
-        F.xxhash64("bucket", low, high).alias("key"), (here == low).alias("left"), (low == high).alias("same"), "n", "cls", "label", "vector"
+    own = F.filter("ranges", lambda r: r["step"] == F.col("step"))[0]["many"]
+    near = F.filter("ranges", lambda r: F.abs(r["step"] - F.col("step")) <= 1)
+    placed = rows.join(ranges, "bucket").select(
+        "bucket", "cls", "step", F.pmod(F.xxhash64("cls"), own).cast("int").alias("slot"), F.explode(near).alias("other")
     )
+    spread = placed.withColumn("slot2", F.explode(F.sequence(F.lit(0), F.col("other.many") - 1)))
+    here, there = F.struct("step", "slot"), F.struct(F.col("other.step").alias("step"), F.col("slot2").alias("slot"))
+    low, high = F.least(here, there), F.greatest(here, there)
+    return spread.select(F.xxhash64("bucket", low, high).alias("key"), (here == low).alias("left"), (low == high).alias("same"), "cls")
 
 
 def tree_levels(sizes: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fanout: int = FANOUT):
@@ -362,61 +401,153 @@ def _by_groups(n: np.ndarray, v: list[np.ndarray], tree: np.ndarray, asks: np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _candidates(cells: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """(a, b) with a < b: pairs of classes of different labels that may link; only each point's best one if wanted."""
+def _keyed_runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each key, in batches that are sorted by it."""
+    key, rows = None, []
+    for batch in batches:
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if rows and at != key:
+                yield rows
+                rows = []
+            key = at
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _pair_batches(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes as batches of (a, b) with a < b."""
+    pairs, size = [], 0
+
+    def batch_of() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for some in found:
+        pairs.append(some)
+        size += len(some[0])
+        if size > 100_000:
+            yield batch_of()
+            pairs, size = [], 0
+    if pairs:
+        yield batch_of()
+
+
+def _candidates(buckets: DataFrame, spots: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """(a, b) with a < b: pairs of classes of different labels that may link; only each point's best one if wanted.
+
+    ``buckets`` are those that fit into a task; ``spots`` has cls, n, label and vector.
+    """
+
+    def joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        n, cls, label = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        if len(cls) < 2 or (label == label[0]).all():
+            return cls[:0], cls[:0]
+        every = np.arange(len(cls))
+        q, p, bound = _by_groups(n, [_vector(r[3]) for r in rows], every, every, percent)
+        use = (label[q] != label[p]) & ((q < p) | best_only)
+        q, p, bound = q[use], p[use], bound[use]
+        if best_only and len(q):
+            # The neighbour that may be most similar; ties go to the smaller class.
+            share = bound / (n[q] + n[p] - bound)
+            order = np.lexsort((cls[p], -share, q))
+            first = order[np.concatenate([[True], q[order][1:] != q[order][:-1]])]
+            q, p = q[first], p[first]
+        return cls[q], cls[p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def joined() -> tuple[np.ndarray, np.ndarray]:
-            cls = np.array([r[3] for r in rows], np.int64)
-            label = np.array([r[4] for r in rows], np.int64)
-            n = np.array([r[2] for r in rows], np.int64)
-            same = rows[0][1]
-            left = np.array([r[0] for r in rows], bool)
-            if len(cls) < 2 or (not same and (left.all() or not left.any())):
-                return cls[:0], cls[:0]
-            v = [_vector(r[5]) for r in rows]
-            tree, asks = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-            q, p, bound = _by_groups(n, v, tree, asks, percent)
-            use = (label[q] != label[p]) & ((q < p) | (not same) | best_only)
-            q, p, bound = q[use], p[use], bound[use]
-            if best_only and len(q):
-                # The neighbour that may be most similar; ties go to the smaller class.
-                share = bound / (n[q] + n[p] - bound)
-                keep = np.zeros(len(q), bool)
-                for own, other in ((q, p), (p, q)):
-                    order = np.lexsort((cls[other], -share, own))
-                    keep[order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]] = True
-                q, p = q[keep], p[keep]
-            return cls[q], cls[p]
-
-        def batch_of(pairs) -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        pairs, size = [], 0
-        names = ("key", "left", "same", "n", "cls", "label", "vector")
-        for batch in batches:
-            for at, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if rows and at != key:
-                    pairs.append(joined())
-                    size += len(pairs[-1][0])
-                    rows = []
-                    if size > 100_000:
-                        yield batch_of(pairs)
-                        pairs, size = [], 0
-                key = at
-                rows.append(row)
-        if rows:
-            pairs.append(joined())
-        if pairs:
-            yield batch_of(pairs)
-
-    dealt = cells.repartition("key").sortWithinPartitions("key")
+        yield from _pair_batches(joined(rows) for rows in _keyed_runs(batches, ("bucket", "n", "cls", "label", "vector")))
+
+    dealt = buckets.join(spots, "cls").select("bucket", "n", "cls", "label", "vector").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray], q: np.ndarray, p: np.ndarray, columns: int = COLUMNS, block: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, by bit rows over the shingles that several of them hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, shingle, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = holders > 1
+    number, use = np.cumsum(shared) - 1, shared[shingle]
+    owner, column = owner[use], number[shingle[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros(len(q), np.int64)
+    for low in range(0, int(shared.sum()), columns):
+        part = slice(*np.searchsorted(column, [low, low + columns]))
+        width = min(columns, int(shared.sum()) - low)
+        bits = np.zeros((len(sets), -(-width // 64) * 64), bool)
+        bits[owner[part], column[part] - low] = True
+        bits = np.packbits(bits, axis=1).view(_U)
+        for at in range(0, len(q), block):
+            some = slice(at, at + block)
+            total[some] += np.bitwise_count(bits[q[some]] & bits[p[some]]).sum(axis=1, dtype=np.int64)
+    return total
+
+
+def spanning(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """Numbers of edges that connect whatever all edges (a, b) connect, fewer than ``nodes``."""
+    root, left, chosen = np.arange(nodes), np.arange(len(a)), [np.array([], np.int64)]
+    while True:
+        x, y = root[a[left]], root[b[left]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        left, low, high = left[low < high], low[low < high], high[low < high]
+        if not len(left):
+            return np.concatenate(chosen)
+        # Each root goes to one smaller root, so no circle arises.
+        high, at = np.unique(high, return_index=True)
+        chosen.append(left[at])
+        root[high] = low[at]
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, n, shingles, vector) of each class: its set, packed, and its point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in sliced(b)):
+            sets = shingle_sets(batch.column("text"), size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("cls"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([_packed_vector(count_vector(s)) for s in sets], pa.binary()),
+                ],
+                ["cls", "n", "shingles", "vector"],
+            )
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, shingles binary, vector binary").dropDuplicates(["cls"])
+
+
+def _crowd_links(cells: DataFrame, sets: DataFrame, percent: int, all_links: bool) -> DataFrame:
+    """(a, b) with a < b: pairs of classes of the cells that link; only those that span what they connect, if not all."""
+
+    def joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        left, same = np.array([r[0] for r in rows], bool), rows[0][1]
+        n, cls = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+        if len(cls) < 2 or (not same and (left.all() or not left.any())):
+            return cls[:0], cls[:0]
+        tree, asks = (np.arange(len(cls)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        q, p, _ = _by_groups(n, [_vector(r[5]) for r in rows], tree, asks, percent)
+        if same:
+            q, p = q[q < p], p[q < p]
+        both = overlaps([np.frombuffer(r[4], _U) for r in rows], q, p)
+        linked = 100 * both >= percent * (n[q] + n[p] - both)
+        q, p = q[linked], p[linked]
+        if not all_links:
+            some = spanning(q, p, len(cls))
+            q, p = q[some], p[some]
+        return cls[q], cls[p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "left", "same", "n", "cls", "shingles", "vector")
+        yield from _pair_batches(joined(rows) for rows in _keyed_runs(batches, names))
+
+    dealt = cells.join(sets, "cls").select("key", "left", "same", "n", "cls", "shingles", "vector")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that link, by their sets."""
     a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
@@ -475,15 +606,17 @@ def _routed(keyed: DataFrame, size: int, percent: int, frequent: int) -> tuple[D
     return points, buckets, cut_lineage(of_class.join(buckets.select("cls").distinct(), "cls", "left_semi"))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(cls): the classes of ``pairs``."""
-    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _wanted(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """(cls, crowded): the classes of ``pairs`` and of large buckets, and whether they are in one of the latter."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    both = ends.withColumn("crowded", F.lit(False)).unionByName(large.select("cls", F.lit(True).alias("crowded")))
+    return both.groupBy("cls").agg(F.max("crowded").alias("crowded"))
 
 
 def _texts_of(keyed: DataFrame, active: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the wanted classes; as many rows as ``keyed`` has repeated ones."""
-    ones = active.join(wanted, "cls", "left_semi").select("cls", "one.*")
-    return keyed.join(ones, _same_row(keyed, ones)).select("cls", keyed["text"])
+    """(cls, crowded, text) of the wanted classes; as many rows as ``keyed`` has repeated ones."""
+    ones = active.join(wanted, "cls").select("cls", "crowded", "one.*")
+    return keyed.join(ones, _same_row(keyed, ones)).select("cls", "crowded", keyed["text"])
 
 
 def link_classes(
@@ -492,14 +625,18 @@ def link_classes(
     """(members, labels): doc_id, tag, n, cls of every row of ``keyed``, and (cls, label) of classes with links."""
     points, buckets, active = _routed(keyed, size, percent, frequent)
     spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
+    small, large = _parted(buckets, cell)
 
-    best = cut_lineage(_candidates(_cells(buckets, spots, cell, percent), percent, best_only=True))
-    # Every class that has a surviving pair at all has a best one: these are all the texts that are needed.
-    wanted = _ends(best)
+    best = cut_lineage(_candidates(small, spots, percent, best_only=True))
+    # Every class that has a surviving pair at all has a best one: these and the crowds are all the texts that are needed.
+    wanted = cut_lineage(_wanted(best, large))
     texts = cut_lineage(_texts_of(keyed, active, wanted))
-    links = cut_lineage(_verified(best, texts, size, percent))
+    links = _verified(best, texts, size, percent)
+    if not large.isEmpty():
+        links = links.unionByName(_crowd_links(_cells(large, active, cell, percent), _sets(texts.filter("crowded"), size), percent, all_links=False))
+    links = cut_lineage(links)
     labels = components(links)
-    rest = _candidates(_cells(buckets, _labelled(spots.join(wanted, "cls", "left_semi"), labels), cell, percent), percent, best_only=False)
+    rest = _candidates(small, _labelled(spots.join(wanted, "cls", "left_semi"), labels), percent, best_only=False)
     more = _verified(rest, texts, size, percent)
     return points.select("doc_id", "tag", "n", "cls"), components(links.unionByName(more))
 
@@ -526,10 +663,13 @@ def all_links(
     keyed = _keyed(docs, id_col, text_col)
     points, buckets, active = _routed(keyed, size, percent, frequent)
     spots = active.select("cls", "n", "vector", F.col("cls").alias("label"))
-    pairs = cut_lineage(_candidates(_cells(buckets, spots, cell, percent), percent, best_only=False))
-    texts = cut_lineage(_texts_of(keyed, active, _ends(pairs)).dropDuplicates(["cls"]))
+    small, large = _parted(buckets, cell)
+    pairs = cut_lineage(_candidates(small, spots, percent, best_only=False))
+    texts = cut_lineage(_texts_of(keyed, active, _wanted(pairs, large)).dropDuplicates(["cls"]))
+    crowds = _crowd_links(_cells(large, active, cell, percent), _sets(texts.filter("crowded"), size), percent, all_links=True)
+    links = cut_lineage(_verified(pairs, texts, size, percent).unionByName(crowds).distinct())
     members = points.select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    return members, cut_lineage(_verified(pairs, texts, size, percent))
+    return members, links
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

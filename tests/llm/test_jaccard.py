@@ -108,6 +108,70 @@ def test_all_links(spark, edges):
     assert sorted((str(r.doc_id), r.n_links) for r in jaccard.link_counts(edges).collect()) == sorted((str(r.doc_id), counts[i]) for i, r in enumerate(rows))
 
 
+def crowd(family, words=120, changed=18):
+    """Near copies of one text, at a similarity around the threshold, that share most of their frequent shingles."""
+    rnd = np.random.default_rng(family)
+    base = [f"w{k}" for k in range(words)]
+    texts = []
+    for i in range(family):
+        own, at = list(base), rnd.integers(0, words - 8)
+        for k in range(at, at + rnd.integers(1, changed)):
+            own[k % words] = f"x{i}y{k}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_buckets_of_a_crowd_are_one(spark):
+    """A large family is compared once, not once for each shingle that it shares, and its pairs don't come out."""
+    rows = {}
+    for family in (60, 120):
+        texts = crowd(family)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        keyed = jaccard._keyed(df, "doc_id", "text")
+        _, buckets, active = jaccard._routed(keyed, 5, 80, 3)
+        small, large = jaccard._parted(buckets, 16)
+        before = buckets.groupBy("bucket").count().filter("count > 16").count()
+        assert before >= 10 and large.select("bucket").distinct().count() <= before // 5
+        assert small.groupBy("bucket").count().filter("count > 16").count() == 0
+        # Every pair of classes that met still meets.
+        pairs = lambda b: {tuple(r) for r in b.alias("x").join(b.alias("y"), "bucket").selectExpr("x.cls", "y.cls").collect()}
+        assert pairs(buckets) <= pairs(small) | pairs(large)
+        texts_of = jaccard._texts_of(keyed, active, jaccard._wanted(spark.createDataFrame([], "a long, b long"), large))
+        cells, sets = jaccard._cells(large, active, 16, 80), jaccard._sets(texts_of, 5)
+        rows[family] = cells.count()
+        links = jaccard._crowd_links(cells, sets, 80, all_links=False).count()
+        every = jaccard._crowd_links(cells, sets, 80, all_links=True).count()
+        assert links <= rows[family] and links < every
+        assert check(df, cell=16, frequent=3) < family
+    assert rows[120] <= 120 * 5 and rows[60] <= 60 * 3
+
+
+def test_overlaps_and_spanning():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 90))).astype(np.uint64) for _ in range(50)]
+    q, p = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(q, p, strict=True)]
+    # A set's overlap with itself isn't asked for: shingles that one set holds alone are left out.
+    other = q != p
+    for columns in (64, 100, 8192):
+        got = jaccard.overlaps(sets, q, p, columns=columns, block=37)
+        assert (got[other] == np.array(want)[other]).all()
+    for _ in range(50):
+        n = rng.integers(1, 40)
+        a, b = rng.integers(0, n, (2, rng.integers(0, 80)))
+        some = jaccard.spanning(a, b, n)
+        assert len(some) < n
+        assert groups(a, b, n) == groups(a[some], b[some], n)
+
+
+def groups(a, b, n):
+    root = list(range(n))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        low, high = sorted((root[x], root[y]))
+        root = [low if r == high else r for r in root]
+    return root
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(1)
     for _ in range(30):
