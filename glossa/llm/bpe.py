@@ -18,7 +18,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import quoted
+from glossa.llm.common import quoted, worker_cache
 
 NEVER = np.int64(2**62)
 WORD_END = "Ā"
@@ -362,7 +361,7 @@ class Lexicon:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def lexicon(source: str) -> Lexicon:
     return Lexicon(source)
 

@@ -20,7 +20,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.bpe import vocabulary_path
-from glossa.llm.common import quoted, sliced
+from glossa.llm.common import quoted, sliced, worker_cache
 
 BLANK = "▁"
 LIMIT = 4096
@@ -178,7 +178,7 @@ class Counter:
         return len(text)
 
 
-@lru_cache(maxsize=2)
+@worker_cache
 def _counter(source: str) -> Counter:
     return Counter(json.loads(source))
 

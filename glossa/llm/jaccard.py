@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import held, quoted, released, sliced
+from glossa.llm.common import held, lightened, quoted, released, sliced
 from glossa.llm.suffix import Hashes, raw_texts
 from glossa.session import cut_lineage
 
@@ -141,6 +141,7 @@ def frequent_shingles(keyed: DataFrame, size: int, frequent: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lightened()
         sets, total = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -169,6 +170,7 @@ def _points(keyed: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataF
     shared = keyed.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lightened()
         last = shared.value
         for batch in (part for b in batches for part in sliced(b)):
             n, cls, cold, warm, vector = [], [], [], [], []

@@ -58,6 +58,8 @@ def encoded(
                 )
                 local = int(ends[-1])
                 at += len(texts)
+        # The caches stay for the next task, what the texts took needn't.
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     named = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import held, quoted, released, sliced
+from glossa.llm.common import held, lightened, quoted, released, sliced
 from glossa.session import cut_lineage
 
 SAMPLE = 12_000
@@ -180,6 +180,7 @@ def train(
     spark = docs.sparkSession
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lightened()
         for batch in (part for b in batches for part in sliced(b)):
             seen = [np.unique(buckets(t)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -236,6 +237,7 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", name: str =
 
     @F.pandas_udf("double")
     def scored(texts):
+        lightened()
         table, constant = shared.value
         out = np.empty(len(texts))
         for i, text in enumerate(texts):

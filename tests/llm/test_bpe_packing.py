@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from glossa.llm import bpe, packing
+from glossa.llm import bpe, jaccard, packing, suffix
 
 PARTS = ["a", "b", "'", "s", "t", "er", "é", "É", "Σ", "ς", " ", "\n", "1", "²", "½", "中", "😀", "#", "$", "<|endoftext|>", "<|start", "İ", "ẞ", "the", "ing", "\x1c", "\x85", "é", "\x00", "_", "aaaa", "'ll", "​", "ﬁ"]
 
@@ -98,3 +98,29 @@ def test_packing(edges, library):
 def test_nothing(nothing):
     assert packing.pack(nothing).count() == 0
     assert bpe.round_trip_digests(nothing).count() == 0
+
+
+class Captured:
+    """Stands for a table; keeps the function that its tasks would run."""
+
+    schema = {"doc_id": type("Field", (), {"dataType": type("Long", (), {"simpleString": lambda self: "bigint"})()})}
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        raise InterruptedError
+
+
+@pytest.mark.parametrize("start", [lambda t: jaccard.frequent_shingles(t, 5, 64), lambda t: suffix._anchored(t, 400, 32)])
+def test_caches_end_where_another_operator_begins(start):
+    source = open(bpe.vocabulary_path(), encoding="utf-8").read()
+    assert bpe.lexicon(source) is bpe.lexicon(source)
+    table = Captured()
+    try:
+        start(table)
+    except InterruptedError:
+        pass
+    list(table.run(iter([])))
+    assert bpe.lexicon.cache_info().currsize == 0
