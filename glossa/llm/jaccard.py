@@ -640,7 +640,9 @@ def link_classes(
     labels = components(links)
     rest = _candidates(small, _labelled(spots.join(wanted, "cls", "left_semi"), labels), percent, best_only=False)
     more = _verified(rest, texts, size, percent)
-    return points.select("doc_id", "tag", "n", "cls"), components(links.unionByName(more))
+    # What the first links have joined is a star for each component by now, which takes fewer rounds than the links.
+    joined = labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))
+    return points.select("doc_id", "tag", "n", "cls"), components(joined.unionByName(more))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
