@@ -1,4 +1,4 @@
-"""Captions, paragraphs, blocks, page verdicts and document summaries."""
+"""Blocks, page verdicts and document summaries."""
 
 from __future__ import annotations
 
@@ -6,261 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa import limits
-from glossa.functions.packing import narrowed
 from glossa.functions.text import array_median, code_points, round3
 from glossa.operators.layout.columns import PAGE, column_of, with_reading_order
 from glossa.operators.layout.geometry import turned, turned_size
-from glossa.operators.layout.lines import DIRECTIONS, HEADING_START, majority_direction, named, union_box
+from glossa.operators.layout.lines import DIRECTIONS, majority_direction, named
 from glossa.operators.layout.rows import UNIT
+from glossa.operators.layout.units import block_box, block_lines
 from glossa.operators.text import chunks_of, joined_lines
 
-# Patterns of paragraph ends and of numbered references.
-SENTENCE_END = r"[.!?\x{3002}\x{FF01}\x{FF1F}][\"'\x{201D}\x{2019}\])]?\z"
-REFERENCE_START = r"\A\s*\[\s*[0-9]+(?:\s*[-,]\s*[0-9]+)*\s*\]"
-CITATION_END = r"\[\s*[0-9]+(?:\s*[-,]\s*[0-9]+)*\s*\][.)]?\z"
-
-
-def bottom(c: Column | None = None) -> Column:
-    return F.col("ly") + F.col("lh") if c is None else c["ly"] + c["lh"]
-
-
-def font_ratio(a: Column, b: Column) -> Column:
-    return F.greatest(a, b) / F.greatest(F.lit(1.0), F.least(a, b))
-
-
-def extend_captions(lines: DataFrame) -> DataFrame:
-    """Up to eight matching paragraph lines below a caption become caption.
-
-    A line compares with the caption above it (the anchor) and with its direct
-    predecessor.  The chain holds while no line since the anchor failed, which a
-    running count per anchor tells.
-    """
-    return narrowed(
-        lines,
-        [*UNIT, "col_ix", "row_ix", "order_ix", "type", "lx", "ly", "lh", "font_size", "font_name", "is_bold", "is_italic"],
-        lambda d: _extend_captions(d),
-    )
-
-
-def _extend_captions(lines: DataFrame) -> DataFrame:
-    keys = [*UNIT, "_group"]
-    df = lines.withColumn(
-        "_group",
-        F.when(F.col("col_ix").isNotNull(), F.concat(F.lit("c"), F.col("col_ix").cast("string"))).otherwise(
-            F.concat(F.lit("s"), F.col("row_ix").cast("string"))
-        ),
-    )
-    w = Window.partitionBy(*keys).orderBy("ly", "order_ix")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_caption = F.col("type") == "caption"
-    style = F.struct("lx", "font_size", "font_name", "is_bold", "is_italic")
-    df = df.withColumns(
-        {
-            "_a": F.last(F.when(is_caption, style), ignorenulls=True).over(upto),
-            "_chain": F.count_if(is_caption).over(upto),
-            "_prev_bottom": F.lag(bottom()).over(w),
-        }
-    )
-    a = F.col("_a")
-    font = (a.font_size + F.col("font_size")) / 2
-    gap = F.col("ly") - F.col("_prev_bottom")
-    same_font = (a.font_name == "") | (F.col("font_name") == "") | (a.font_name == F.col("font_name"))
-    follows = (
-        (F.col("type") == "paragraph")
-        & (gap >= -font * 0.25)
-        & (gap <= F.greatest(F.lit(2.0), a.font_size * 0.55))
-        & (F.abs(F.col("lx") - a.lx) <= F.greatest(F.lit(12.0), font * 2))
-        & (font_ratio(a.font_size, F.col("font_size")) <= 1.08)
-        & same_font
-        & (F.col("is_bold") == a.is_bold)
-        & (F.col("is_italic") == a.is_italic)
-    )
-    df = df.withColumn("_bad", F.when(~is_caption & ~F.coalesce(follows, F.lit(False)), 1).otherwise(0))
-    chain = Window.partitionBy(*keys, "_chain").orderBy("ly", "order_ix")
-    df = df.withColumns(
-        {
-            "_broken": F.sum("_bad").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_pos": F.row_number().over(chain) - 1,
-        }
-    )
-    becomes = (F.col("_chain") > 0) & (F.col("_broken") == 0) & F.col("_pos").between(1, 8)
-    return df.withColumn("type", F.when(becomes, "caption").otherwise(F.col("type"))).drop(
-        "_group", "_a", "_chain", "_prev_bottom", "_bad", "_broken", "_pos"
-    )
-
-
-def paragraph_signals(lines: DataFrame) -> DataFrame:
-    """Adds ``paragraph_start`` and ``short_line`` to paragraph lines in a column."""
-    return narrowed(
-        lines,
-        [*UNIT, "type", "col_ix", "order_ix", "lx", "lw", "ly", "lh", "font_size", "text"],
-        lambda d: _paragraph_signals(d),
-    )
-
-
-def _paragraph_signals(lines: DataFrame) -> DataFrame:
-    df = lines.withColumn("_in", (F.col("type") == "paragraph") & F.col("col_ix").isNotNull())
-    keys = [*UNIT, "_in", "col_ix"]
-    w = Window.partitionBy(*keys).orderBy("order_ix")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def nearest(values: str, ratio: float) -> Column:
-        i = F.floor((F.size(values) - 1) * F.lit(ratio) + F.lit(0.5)).cast("int")
-        return F.get(F.array_sort(values), i)
-
-    df = df.withColumns(
-        {
-            "_nth": F.row_number().over(w),
-            "_xs": F.collect_list("lx").over(whole),
-            "_ws": F.collect_list("lw").over(whole),
-        }
-    )
-    df = df.withColumn(
-        "_edge",
-        F.when(
-            F.col("_in") & (F.col("_nth") == 1),
-            F.struct(nearest("_xs", 0.15).alias("left"), nearest("_ws", 0.72).alias("width")),
-        ),
-    )
-    df = df.withColumn("_edge", F.first("_edge", ignorenulls=True).over(whole))
-    df = df.withColumns(
-        {
-            "_indent": F.col("lx") - F.col("_edge.left") >= F.greatest(F.lit(6.0), F.col("font_size") * 0.8),
-            "_ref": F.rlike("text", F.lit(REFERENCE_START)),
-            "_short": F.col("lw") <= F.col("_edge.width") * 0.76,
-        }
-    )
-    # A hanging entry starts at a reference line and runs over indented lines; a
-    # chain begins at every reference or unindented line.
-    df = df.withColumn(
-        "_chain",
-        F.count_if(F.col("_ref") | ~F.col("_indent")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    )
-    chain = Window.partitionBy(*keys, "_chain").orderBy("order_ix")
-    df = df.withColumns(
-        {
-            "_pos": F.row_number().over(chain),
-            "_entry": F.first("_ref").over(chain),
-            "_hang": F.nth_value("lx", 2).over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        }
-    )
-    off = F.abs(F.col("lx") - F.col("_hang")) > F.greatest(F.lit(2.0), F.col("font_size") * 0.25)
-    df = df.withColumn("_off", F.when((F.col("_pos") > 1) & off, 1).otherwise(0))
-    hanging = (
-        F.col("_entry")
-        & (F.col("_pos") > 1)
-        & F.col("_indent")
-        & (F.sum("_off").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0)
-    )
-    df = df.withColumn("_hanging", hanging)
-    previous = F.lag(F.struct("ly", "lh", "text", F.col("_short").alias("short"), F.col("_indent").alias("indent"))).over(w)
-    df = df.withColumns({"_prev": previous, "_next_indent": F.lead("_indent").over(w)})
-    p = F.col("_prev")
-    closed = (
-        p.isNull()
-        | p.short
-        | F.rlike(p.text, F.lit(SENTENCE_END))
-        | F.rlike(p.text, F.lit(CITATION_END))
-        | (F.col("ly") - bottom(p) > F.greatest(F.lit(3.0), F.col("font_size") * 0.45))
-    )
-    alone = (
-        F.col("_indent")
-        & ~F.coalesce(p.indent, F.lit(False))
-        & ~F.coalesce("_next_indent", F.lit(False))
-        & closed
-    )
-    start = F.col("_in") & (F.col("_ref") | alone) & ~F.col("_hanging")
-    return df.withColumns(
-        {"paragraph_start": F.coalesce(start, F.lit(False)), "short_line": F.col("_in") & F.coalesce("_short", F.lit(False))}
-    ).drop(
-        "_in", "_nth", "_xs", "_ws", "_edge", "_indent", "_ref", "_short", "_chain", "_pos", "_entry", "_hang",
-        "_off", "_hanging", "_prev", "_next_indent",
-    )
-
-
-def _merges(p: Column) -> Column:
-    """Whether a line continues the block of the line before it (struct ``p``)."""
-    kind = F.col("type")
-    font = (p.font_size + F.col("font_size")) / 2
-    gap = F.col("ly") - bottom(p)
-    ratio = font_ratio(p.font_size, F.col("font_size"))
-    indent = F.abs(F.col("lx") - p.lx)
-    limit = F.when(kind == "paragraph", font * 1.3).when(kind == "quote", font * 1.1).otherwise(font * 0.85)
-    same_column = p.col_ix.eqNullSafe(F.col("col_ix"))
-    centred = F.abs((p.lx + p.lw / 2) - (F.col("lx") + F.col("lw") / 2)) <= F.greatest(F.lit(18.0), font * 1.8)
-    expected = (
-        (kind == "paragraph")
-        & (p.paragraph_start | F.rlike(p.text, F.lit(REFERENCE_START)))
-        & (indent <= font * 4)
-    )
-    strict = (
-        same_column
-        & (p.type == kind)
-        & (gap >= -font * 0.35)
-        & (gap <= limit)
-        & (ratio <= 1.35)
-        & F.when(kind == "list", False)
-        .when(kind == "table", gap <= font * 0.55)
-        .when(kind.isin("header", "footer"), gap <= font * 0.4)
-        .when(kind == "footnote", gap <= font * 0.65)
-        .when((kind == "paragraph") & F.col("paragraph_start"), False)
-        .otherwise((indent <= F.greatest(F.lit(18.0), font * 1.5)) | centred | expected)
-    )
-    heading_text = F.when(p.type == "heading", p.text).otherwise(F.col("text"))
-    body_pair = (p.type == "paragraph") & (kind == "paragraph")
-    soft_heading = (
-        ((p.type == "paragraph") & (kind == "heading")) | ((p.type == "heading") & (kind == "paragraph"))
-    ) & ~F.rlike(heading_text, F.lit(HEADING_START))
-    loose = (
-        same_column
-        & (body_pair | soft_heading)
-        & (gap >= -font * 0.4)
-        & (gap <= font * 1.8)
-        & (indent <= font * 5)
-        & (ratio <= 1.45)
-    )
-    return F.coalesce(strict | loose, F.lit(False))
-
-
-def segment_blocks(lines: DataFrame) -> DataFrame:
-    """Merge consecutive lines into blocks (gaps and islands over reading order)."""
-    lines = with_page_type(lines)
-    w = Window.partitionBy(*UNIT).orderBy("order_ix")
-    carried = F.struct("col_ix", "type", "font_size", "lx", "ly", "lw", "lh", "text", "paragraph_start")
-    df = lines.withColumn("_p", F.lag(carried).over(w))
-    df = df.withColumn("_new", F.when(F.col("_p").isNull() | ~_merges(F.col("_p")), 1).otherwise(0))
-    df = df.withColumn("block_ix", F.sum("_new").over(w))
-    # The layout of the main text also places turned blocks.
-    df = df.withColumn("columns", F.max("columns").over(Window.partitionBy(*PAGE)))
-    order = F.col("order_ix")
-    blocks = df.groupBy(*UNIT, "block_ix").agg(
-        F.first("is_main").alias("is_main"),
-        F.first("orientation").alias("orientation"),
-        F.first("page").alias("page"),
-        F.first("columns").alias("columns"),
-        F.first("page_type").alias("page_type"),
-        F.first("column_count").alias("column_count"),
-        F.min_by(F.struct("type", "col_ix", "dir"), order).alias("_f"),
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), "text", F.col("font_size").alias("f")))).alias("_ls"),
-        F.count("*").alias("n_lines"),
-        *[F.sum(f"w_{d}").alias(f"w_{d}") for d in DIRECTIONS],
-        *named(union_box("b")),
-        *named(union_box("l")),
-    )
-    texts = F.transform("_ls", lambda x: x.text)
-    blocks = blocks.withColumns(
-        {
-            "type": F.col("_f.type"),
-            "col_ix": F.col("_f.col_ix"),
-            "dir": majority_direction(
-                {d: F.col(f"w_{d}") for d in DIRECTIONS},
-                {d: F.when(F.col("_f.dir") == d, 0).otherwise(1).cast("bigint") for d in DIRECTIONS},
-            ),
-            "text": F.when(F.col("_f.type") == "table", F.array_join(texts, "\n")).otherwise(joined_lines(texts)),
-            "font_size": round3(array_median(F.transform("_ls", lambda x: x.f))),
-        }
+def segment_blocks(units: DataFrame) -> DataFrame:
+    """Merge consecutive lines of every unit into blocks (gaps and islands over reading order)."""
+    blocks = block_lines(with_page_type(units))
+    first = F.get("lines", F.lit(0))
+
+    def total(name: str) -> Column:
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate("lines", zero, lambda acc, x: acc + F.coalesce(x[name], zero))
+
+    texts = F.transform("lines", lambda x: x.text)
+    return blocks.select(
+        *UNIT,
+        "block_ix",
+        "is_main",
+        "orientation",
+        "page",
+        "columns",
+        "page_type",
+        "column_count",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        *block_box("b"),
+        *block_box("l"),
+        first.type.alias("type"),
+        first.col_ix.alias("col_ix"),
+        majority_direction(
+            {d: total(f"w_{d}") for d in DIRECTIONS},
+            {d: F.when(first.dir == d, 0).otherwise(1).cast("bigint") for d in DIRECTIONS},
+        ).alias("dir"),
+        F.when(first.type == "table", F.array_join(texts, "\n")).otherwise(joined_lines(texts)).alias("text"),
+        round3(array_median(F.transform("lines", lambda x: x.font_size))).alias("font_size"),
     )
-    return blocks.drop("_f", "_ls", *[f"w_{d}" for d in DIRECTIONS])
 
 
 def place_rotated_blocks(blocks: DataFrame) -> DataFrame:
@@ -314,22 +98,35 @@ def _is_scanned(n_lines: Column, valid: Column, coverage: Column) -> Column:
     )
 
 
-def with_page_type(lines: DataFrame) -> DataFrame:
-    """Adds ``page_type`` and ``column_count`` to the lines, by windows over the page.
+def with_page_type(units: DataFrame) -> DataFrame:
+    """Adds ``page_type`` and ``column_count`` to the units; ``columns`` becomes the layout of the page's main text.
 
-    The lines are partitioned by page already, so no join with a table derived
-    from them (and no second run of the whole plan) is needed.
+    The units are partitioned by page already, so windows over its few units need no shuffle.
     """
     w = Window.partitionBy(*PAGE)
-    facts = _facts()
-    df = lines.withColumns({f"_{n}": facts[n].over(w) for n in ("valid_chars", "text_area", "n_lines", "column_count")})
+    zero = F.lit(0).cast("bigint")
+    area = F.aggregate(
+        "lines",
+        F.lit(0.0),
+        lambda acc, x: acc + F.when(F.col("is_main"), x.bw * x.bh).otherwise(x.item_area),
+    )
+    df = units.withColumns(
+        {
+            "_valid_chars": F.sum(F.aggregate("lines", zero, lambda acc, x: acc + x.item_valid)).over(w),
+            "_text_area": F.sum(area).over(w),
+            "_n_lines": F.sum(F.size("lines")).over(w),
+            # The layout of the main text also places turned blocks.
+            "columns": F.max("columns").over(w),
+        }
+    )
     coverage = F.col("_text_area") / (F.col("page.width") * F.col("page.height"))
     scanned = _is_scanned(F.col("_n_lines"), F.col("_valid_chars"), coverage)
-    return (
-        df.withColumn("page_type", F.when(scanned, "scanned").otherwise("text"))
-        .withColumn("column_count", F.col("_column_count"))
-        .drop("_valid_chars", "_text_area", "_n_lines", "_column_count")
-    )
+    return df.withColumns(
+        {
+            "page_type": F.when(scanned, "scanned").otherwise("text"),
+            "column_count": F.when(F.col("columns").isNotNull(), 2).otherwise(1),
+        }
+    ).drop("_valid_chars", "_text_area", "_n_lines")
 
 
 def page_verdict(lines: DataFrame, page_views: DataFrame) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 
 from glossa import limits
 from glossa.operators.layout import blocks as B
-from glossa.operators.layout import columns as C
 from glossa.operators.layout import geometry as G
-from glossa.operators.layout import lines as N
 from glossa.operators.layout import rows as R
+from glossa.operators.layout import units as U
 
 
 #: Runs of one task at most.  The windows of the plan sort wide rows dozens of times and compressed sizes say little
@@ -42,22 +41,24 @@ def segmented_items(prepared: DataFrame) -> DataFrame:
     )
 
 
-def first_lines(segmented: DataFrame) -> DataFrame:
-    """Typed lines of the first pass, with the column layout of their page."""
-    lines = N.mark_table_rows(N.assemble_lines(segmented))
-    return C.detect_columns(N.classify_lines(lines))
+def first_units(prepared: DataFrame) -> DataFrame:
+    """Units with the typed lines of the first pass and the column layout of their page."""
+    return U.with_columns_found(U.with_lines(U.with_gutter(U.with_rows(U.gather_units(prepared)))))
 
 
-def ordered_lines(lines: DataFrame) -> DataFrame:
-    """Final lines in reading order with paragraph signals."""
-    refined = C.refine_columns(lines).drop("items")
-    return B.paragraph_signals(B.extend_captions(C.reading_order(refined)))
+def ordered_units(units: DataFrame) -> DataFrame:
+    """Units with their final lines in reading order, captions extended and paragraph signals."""
+    return U.with_paragraphs(U.with_captions(U.ordered(U.refined(units))))
+
+
+def analyze_units(items: DataFrame, page_views: DataFrame, font_styles: DataFrame) -> DataFrame:
+    """All units of all pages, ready for ``segment_blocks``."""
+    return ordered_units(first_units(prepared_items(items, page_views, font_styles)))
 
 
 def analyze_pages(items: DataFrame, page_views: DataFrame, font_styles: DataFrame) -> DataFrame:
-    """All lines of all pages, ready for ``segment_blocks`` and ``page_verdict``."""
-    prepared = prepared_items(items, page_views, font_styles)
-    return ordered_lines(first_lines(segmented_items(prepared)))
+    """All lines of all pages, ready for ``page_verdict``."""
+    return U.line_rows(analyze_units(items, page_views, font_styles))
 
 
 def page_blocks(
@@ -68,6 +69,6 @@ def page_blocks(
     drop_invalid: bool = True,
 ) -> DataFrame:
     """Final blocks of all text pages."""
-    lines = analyze_pages(items, page_views, font_styles)
-    placed = B.place_rotated_blocks(B.segment_blocks(lines))
+    units = analyze_units(items, page_views, font_styles)
+    placed = B.place_rotated_blocks(B.segment_blocks(units))
     return B.finalize_blocks(placed, max_chars, drop_invalid)

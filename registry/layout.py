@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from glossa.operators import text as T
 from glossa.operators.layout import blocks as B
-from glossa.operators.layout import columns as C
 from glossa.operators.layout import geometry as G
 from glossa.operators.layout import lines as N
 from glossa.operators.layout import rows as R
+from glossa.operators.layout import units as U
 from glossa.plans import layout as P
 from glossa.sources import items as I
 from registry.common import SP_LITERAL, sql_count, table
@@ -37,15 +37,15 @@ def _segments(spark, d):
 
 
 def _first(spark, d):
-    return P.first_lines(_segments(spark, d))
+    return P.first_units(_prepared(spark, d))
 
 
 def _ordered(spark, d):
-    return C.reading_order(C.refine_columns(_first(spark, d)).drop("items"))
+    return U.ordered(U.refined(_first(spark, d)))
 
 
 def _final(spark, d):
-    return B.paragraph_signals(B.extend_captions(_ordered(spark, d)))
+    return U.with_paragraphs(U.with_captions(_ordered(spark, d)))
 
 
 # --- SQL restatement, valid for the derived runs (one font size, no rotation) ------
@@ -306,15 +306,15 @@ ORACLES["assemble_lines"] = _with(IT, RB, GU, P1) + (
     "SELECT doc_id, page_no, row_ix, seg_ix, text, 'ltr' AS dir, is_bold, is_italic, n_items, x AS lx, y AS ly, w AS lw, "
     "h AS lh, 10.0::DOUBLE AS font_size, row_segments FROM aln"
 )
-QUERIES["mark_table_rows"] = lambda spark, d: N.mark_table_rows(N.assemble_lines(_segments(spark, d))).select(
+QUERIES["mark_table_rows"] = lambda spark, d: U.line_rows(_first(spark, d)).select(
     "doc_id", "page_no", "row_ix", "seg_ix", "line_ix", "is_table", "text"
 )
 ORACLES["mark_table_rows"] = _with(IT, RB, GU, P1) + (
     "SELECT doc_id, page_no, row_ix, seg_ix, line_ix, false AS is_table, text FROM aty"
 )
-QUERIES["classify_lines"] = lambda spark, d: N.classify_lines(
-    N.mark_table_rows(N.assemble_lines(_segments(spark, d)))
-).select("doc_id", "page_no", "line_ix", "type")
+QUERIES["classify_lines"] = lambda spark, d: U.line_rows(_first(spark, d)).select(
+    "doc_id", "page_no", "line_ix", "type"
+)
 ORACLES["classify_lines"] = _with(IT, RB, GU, P1) + "SELECT doc_id, page_no, line_ix, type FROM aty"
 QUERIES["detect_columns"] = lambda spark, d: (
     _first(spark, d)
@@ -326,23 +326,23 @@ QUERIES["detect_columns"] = lambda spark, d: (
 ORACLES["detect_columns"] = _with(IT, RB, GU, P1) + (
     "SELECT doc_id, page_no, left_end, right_start, gutter_width, top, bot AS bottom FROM aco"
 )
-QUERIES["refine_columns"] = lambda spark, d: C.refine_columns(_first(spark, d)).select(
+QUERIES["refine_columns"] = lambda spark, d: U.line_rows(U.refined(_first(spark, d))).select(
     "doc_id", "page_no", "line_ix", "row_ix", "seg_ix", "text", "type", F.col("columns.right_start").alias("right_start")
 )
 ORACLES["refine_columns"] = _with(IT, RB, GU, P1, P2, FL) + (
     "SELECT doc_id, page_no, line_ix, row_ix, seg_ix, text, type, right_start FROM fl"
 )
-QUERIES["reading_order"] = lambda spark, d: _ordered(spark, d).select(
+QUERIES["reading_order"] = lambda spark, d: U.line_rows(_ordered(spark, d)).select(
     "doc_id", "page_no", "line_ix", "order_ix", "col_ix"
 )
 ORACLES["reading_order"] = _with(IT, RB, GU, P1, P2, FL) + (
     "SELECT doc_id, page_no, line_ix, order_ix, CAST(col_ix AS INTEGER) AS col_ix FROM ro"
 )
-QUERIES["extend_captions"] = lambda spark, d: B.extend_captions(_ordered(spark, d)).select(
+QUERIES["extend_captions"] = lambda spark, d: U.line_rows(U.with_captions(_ordered(spark, d))).select(
     "doc_id", "page_no", "order_ix", "type"
 )
 ORACLES["extend_captions"] = _with(IT, RB, GU, P1, P2, FL, CP) + "SELECT doc_id, page_no, order_ix, type FROM cp"
-QUERIES["paragraph_signals"] = lambda spark, d: _final(spark, d).select(
+QUERIES["paragraph_signals"] = lambda spark, d: U.line_rows(_final(spark, d)).select(
     "doc_id", "page_no", "order_ix", "type", "paragraph_start", "short_line"
 )
 ORACLES["paragraph_signals"] = _with(IT, RB, GU, P1, P2, FL, CP, SG) + (
@@ -358,7 +358,7 @@ ORACLES["segment_blocks"] = _with(IT, RB, GU, P1, P2, FL, CP, SG, BL) + (
     "SELECT doc_id, page_no, block_ix, type, text, n_lines, x AS lx, y AS ly, w AS lw, h AS lh FROM bl"
 )
 QUERIES["rotated_blocks"] = lambda spark, d: B.place_rotated_blocks(
-    B.segment_blocks(P.analyze_pages(I.turned_margin_notes(_inputs(spark, d)[0]), *_inputs(spark, d)[1:]))
+    B.segment_blocks(P.analyze_units(I.turned_margin_notes(_inputs(spark, d)[0]), *_inputs(spark, d)[1:]))
 ).filter("not is_main").select(
     "doc_id", "page_no", "block_no", "type", "text", "reading_orientation", "col_ix", "lx", "ly", "lw", "lh"
 )

@@ -181,3 +181,43 @@ def test_pages_are_shared_by_tasks_according_to_the_number_of_runs(spark, small,
     assert sum(r["count"] for r in found) == items.filter("trim(str) <> ''").count()
     assert max(r["count"] for r in found) <= 4 * 500 and len(found) >= runs / 1000
     assert [P.tasks_for(n, 8) for n in (0, 9_000, 25_000, 10**6, 500 * 50)] == [1, 18, 50, 2_000, 50]
+
+
+def test_the_plan_sorts_pages_not_lines(spark, small):
+    """Steps after the boxes are array expressions: only page orientation takes windows, however many steps follow."""
+    from glossa.sources import items as I
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    items = I.items_from_documents(docs)
+    lines = P.analyze_pages(items, I.views_from_items(items), I.styles_from_documents(docs))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3
+
+
+def random_runs(rng, pages):
+    """Cells of several rows, sizes, gaps and directions, some of them tables."""
+    runs = []
+    for page in range(pages):
+        y = 60
+        for row in range(rng.randint(1, 14)):
+            x = 50
+            for cell in range(rng.choice([1, 2, 3, 3, 4])):
+                text = rng.choice(["words", "cell", "(3)", "Figure 1: x", "[2] Ref", "1.2 Heading", "a", "end."])
+                wide = rng.choice([10, 40, 200])
+                runs.append(run(page, 10 * row + cell, text, x, y + rng.choice([0, 0, 0.3]), size=rng.choice([8.0, 10.0, 14.0]), width=wide, eol=rng.random() < 0.1))
+                x += wide + rng.choice([1, 3, 60, 70])
+            y += rng.choice([6, 14, 14, 30])
+    return runs
+
+
+def test_units_give_the_lines_of_the_row_operators(spark):
+    from glossa.operators.layout import columns as C
+    from glossa.operators.layout import units as U
+
+    prepared = P.prepared_items(*tables(spark, random_runs(random.Random(5), 40))).cache()
+    rows = C.detect_columns(N.classify_lines(N.mark_table_rows(N.assemble_lines(P.segmented_items(prepared)))))
+    kept = ["page_no", "quarter", "line_ix", "row_ix", "seg_ix", "row_segments", "text", "type", "is_table", "lx", "ly", "lw", "lh",
+            "bx", "by", "bw", "bh", "font_size", "is_bold", "n_items", "item_valid", "gutter_lane", "gutter_rows", "columns"]
+    want = sorted(map(str, rows.select(*kept).collect()))
+    assert sorted(map(str, U.line_rows(P.first_units(prepared)).select(*kept).collect())) == want
+    assert any("is_table=True" in r for r in want)
