@@ -108,11 +108,11 @@ def with_page_type(units: DataFrame) -> DataFrame:
     area = F.aggregate(
         "lines",
         F.lit(0.0),
-        lambda acc, x: acc + F.when(F.col("is_main"), x.bw * x.bh).otherwise(x.item_area),
+        lambda acc, x: acc + F.when(F.col("is_main"), x.f.bw * x.f.bh).otherwise(x.f.item_area),
     )
     df = units.withColumns(
         {
-            "_valid_chars": F.sum(F.aggregate("lines", zero, lambda acc, x: acc + x.item_valid)).over(w),
+            "_valid_chars": F.sum(F.aggregate("lines", zero, lambda acc, x: acc + x.f.item_valid)).over(w),
             "_text_area": F.sum(area).over(w),
             "_n_lines": F.sum(F.size("lines")).over(w),
             # The layout of the main text also places turned blocks.

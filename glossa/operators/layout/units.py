@@ -29,16 +29,13 @@ SENTENCE_END = r"[.!?\x{3002}\x{FF01}\x{FF1F}][\"'\x{201D}\x{2019}\])]?\z"
 REFERENCE_START = r"\A\s*\[\s*[0-9]+(?:\s*[-,]\s*[0-9]+)*\s*\]"
 CITATION_END = r"\[\s*[0-9]+(?:\s*[-,]\s*[0-9]+)*\s*\][.)]?\z"
 
-#: Fields of a run; sorting runs as structs orders them by x, then by position.
-RUN_FIELDS = [
-    "lx", "item_ix", "text", "dir", "has_eol", "font_name", "is_bold", "is_italic", "font_size",
-    "bx", "by", "bw", "bh", "ly", "lw", "lh", "n_chars", "n_valid",
-]
-#: Fields of a line; the first ones order the lines of a band.
+#: What a line is made of; every run has them too (``f``), as a line of its own.
 LINE_FIELDS = [
-    "lx", "row_ix", "seg_ix", "text", "dir", *[f"w_{d}" for d in DIRECTIONS], "bx", "bw", "by", "bh", "lw", "ly", "lh",
-    "font_size", "font_name", "is_bold", "is_italic", "n_items", "item_valid", "item_area", "row_segments", "is_table",
+    "text", "dir", *[f"w_{d}" for d in DIRECTIONS], "bx", "by", "bw", "bh", "lx", "ly", "lw", "lh",
+    "font_size", "font_name", "is_bold", "is_italic", "n_items", "item_valid", "item_area",
 ]
+#: Where a line stands among the rows and segments.
+PLACE_FIELDS = ["row_ix", "seg_ix", "row_segments", "is_table"]
 #: What holds for all runs of a unit.
 FACTS = ["is_main", "orientation", "n_ignored", "logical_width", "logical_height", "page"]
 
@@ -66,13 +63,19 @@ def _r3(value: str) -> str:
     return f"cast(floor(({value}) * 1000.0D + 0.5D) as double) / 1000.0D"
 
 
+def _starts(array: str, flag: str) -> str:
+    """Positions ``k`` of ``array`` where ``flag`` holds, and 0."""
+    return f"filter(transform({array}, (x_, k) -> k), k -> k = 0 or {flag})"
+
+
+def _slices(array: str, starts: str) -> str:
+    """``array`` cut at the positions ``starts``."""
+    return f"transform({starts}, (s_, j_) -> slice({array}, s_ + 1, coalesce(get({starts}, j_ + 1), size({array})) - s_))"
+
+
 def _cut(array: str, flag: str) -> str:
     """Slices of ``array``; one starts where ``flag`` of the position ``k`` holds, the first at 0."""
-    return _let(
-        "cuts_",
-        f"filter(transform({array}, (x_, k) -> k), k -> k = 0 or {flag})",
-        f"transform(cuts_, (s_, j_) -> slice({array}, s_ + 1, coalesce(get(cuts_, j_ + 1), size({array})) - s_))",
-    )
+    return _let("cuts_", _starts(array, flag), _slices(array, "cuts_"))
 
 
 def _median(array: str) -> str:
@@ -126,26 +129,44 @@ def _trimmed(text: str) -> str:
 
 
 def gather_units(items: DataFrame) -> DataFrame:
-    """One row per unit: its facts and its runs (``items``)."""
-    counted = items.withColumns({"n_chars": code_points(F.col("text")), "n_valid": valid_chars(F.col("text"))})
+    """One row per unit: its facts and its runs (``items``).
+
+    Runs come from ``item_geometry``, with clean text and rounded boxes, so most facts of a line of one run are the run's.
+    """
+    counted = items.withColumns({"_n": code_points(F.col("text")), "item_valid": valid_chars(F.col("text"))})
+    counted = counted.withColumns(
+        {
+            **{f"w_{d}": F.when(F.col("dir") == d, F.greatest(F.lit(1).cast("bigint"), "_n")) for d in DIRECTIONS},
+            "n_items": F.lit(1),
+            "item_area": F.col("bw") * F.col("bh"),
+        }
+    )
+    run = F.struct("item_ix", "has_eol", F.struct(*LINE_FIELDS).alias("f"))
     return counted.groupBy(*UNIT).agg(
-        F.first(F.struct(*FACTS)).alias("_facts"), F.collect_list(F.struct(*RUN_FIELDS)).alias("items")
+        F.first(F.struct(*FACTS)).alias("_facts"), F.collect_list(run).alias("items")
     ).select(*UNIT, "_facts.*", "items")
 
 
+def _across(array: str, y: str, order: str) -> str:
+    """A band of boxes sorted by y, then by ``order`` (of ``e``), put in that order throughout."""
+    by_x = f"transform(sort_array(transform(g, e -> named_struct({order}, 'e', e))), z -> z.e)"
+    return f"transform({array}, g -> if(g[0].{y} = get(g, size(g) - 1).{y}, g, {by_x}))"
+
+
 def with_rows(units: DataFrame) -> DataFrame:
-    """Adds ``rows`` (y, h, runs by x): the text rows of ``row_bands``, from top to bottom."""
+    """Adds ``rows`` (y, h, runs by x): the text rows of ``row_bands``, from top to bottom.
+
+    ``runs`` are short: where the run is in ``items`` (``at``) and what rows and gaps are made of.
+    """
     df = _with(
         units,
-        # Bands of near-equal y; a new one starts where y grows by more than 0.5.
-        _bands="transform("
-        + _let(
-            "by_y",
-            "sort_array(transform(items, i -> named_struct('y', i.ly, 'i', i)))",
-            _cut("by_y", "get(by_y, k).y - get(by_y, k - 1).y > 0.5D"),
-        )
-        + ", b -> sort_array(transform(b, e -> e.i)))",
-    ).drop("items")
+        _runs="""sort_array(transform(items, (i, k) -> named_struct('ly', i.f.ly, 'lx', i.f.lx, 'item_ix', i.item_ix,
+            'at', k, 'lh', i.f.lh, 'lw', i.f.lw, 'font_size', i.f.font_size, 'has_eol', i.has_eol)))""",
+    )
+    # Bands of near-equal y; a new one starts where y grows by more than 0.5.
+    df = _with(df, _at=_starts("_runs", "get(_runs, k).ly - get(_runs, k - 1).ly > 0.5D"))
+    across = _across(_slices("_runs", "_at"), "ly", "'x', e.lx, 'n', e.item_ix, 'k', e.at")
+    df = _with(df, _bands=across).drop("_runs")
     df = _with(
         df,
         _stats="""transform(_bands, b -> named_struct(
@@ -162,26 +183,22 @@ def with_rows(units: DataFrame) -> DataFrame:
     ).drop("_stats")
     # A strip starts where no later run can join an earlier row.
     opens = "(get(_below, k).top >= get(_above, k - 1).low and get(_below, k).near > get(_above, k - 1).far)"
-    df = _with(df, _strips=f"transform({_cut('_bands', opens)}, g -> flatten(g))").drop("_bands", "_above", "_below")
+    df = _with(df, _at=_starts("_bands", opens)).drop("_above", "_below")
+    df = _with(df, _strips=f"transform({_slices('_bands', '_at')}, g -> flatten(g))").drop("_bands", "_at")
     plain = "not exists(_members, m -> m.ly <> _members[0].ly or m.lh <> _members[0].lh)"
     folded = _let(
         "numbers",
         _FOLD,
         _let(
             "numbered",
-            "sort_array(transform(_members, (m, k) -> named_struct('n', numbers[k], 'i', m)))",
-            f"transform({_cut('numbered', 'get(numbered, k).n <> get(numbered, k - 1).n')}, g -> transform(g, e -> e.i))",
+            """sort_array(transform(_members, (m, k) -> named_struct('n', numbers[k], 'x', m.lx, 'i', m.item_ix, 'at', m.at,
+                'm', m)))""",
+            f"transform({_cut('numbered', 'get(numbered, k).n <> get(numbered, k - 1).n')}, g -> transform(g, e -> e.m))",
         ),
     )
     top = "array_min(transform(g, i -> i.ly))"
     row = _struct(
-        {
-            "y": _r3(top),
-            "strip": "t",
-            "sub": "u",
-            "h": _r3(f"array_max(transform(g, i -> i.ly + i.lh)) - {top}"),
-            "items": "sort_array(g)",
-        }
+        {"y": _r3(top), "strip": "t", "sub": "u", "h": _r3(f"array_max(transform(g, i -> i.ly + i.lh)) - {top}"), "runs": "g"}
     )
     return _with(
         df,
@@ -192,7 +209,7 @@ def with_rows(units: DataFrame) -> DataFrame:
 
 # --- gutter and lines ----------------------------------------------------------------------
 
-_EQNO = f"(x.text rlike {_regex(EQUATION_NUMBER)} and x.lw <= logical_width * 0.08D)"
+_EQNO = f"(x.lw <= logical_width * 0.08D and get(items, x.at).f.text rlike {_regex(EQUATION_NUMBER)})"
 _GAP = "(x.lx - (p.lx + p.lw))"
 _PAIR_FONT = "((p.font_size + x.font_size) / 2)"
 
@@ -210,41 +227,20 @@ def with_gutter(units: DataFrame) -> DataFrame:
     )
     df = _with(
         units,
-        _gaps=f"""flatten(transform(rows, r -> filter(transform(r.items, (x, k) -> if(k = 0, null, {_let(
-            "p", "get(r.items, k - 1)", f"if({counts}, named_struct('s', p.lx + p.lw, 'e', x.lx), null)")})), g -> g is not null)))""",
+        _gaps=f"""flatten(transform(rows, r -> filter(transform(r.runs, (x, k) -> if(k = 0, null, {_let(
+            "p", "get(r.runs, k - 1)", f"if({counts}, named_struct('s', p.lx + p.lw, 'e', x.lx), null)")})), g -> g is not null)))""",
         _min_rows="if(size(rows) >= 6, greatest(3L, ceil(size(rows) * 0.06D)), 2L)",
     )
     df = _with(df, _best=f"if(size(_gaps) >= 2, {_SWEEP.replace('array_sort(', 'sort_array(')}, null)")
     return _with(df, gutter_lane=_r3("_best.x"), gutter_rows="_best.score").drop("_gaps", "_min_rows", "_best")
 
 
-def _line(segments: str) -> str:
-    """SQL of a line from the runs ``g`` of the segment ``seg_ix`` of the row ``row_ix``."""
+def _line() -> str:
+    """SQL of a line from the runs ``refs`` of the segment ``seg_ix`` of the row ``row_ix`` (``s``: its segments)."""
     dirs = ", ".join(f"'{d}'" for d in DIRECTIONS)
-    weight = "greatest(1L, i.n_valid)"
-    first = "g[0]"
-    place = {"row_ix": "row_ix", "seg_ix": "seg_ix", "row_segments": segments, "is_table": "false"}
-    one_box = {}
-    for p in "bl":
-        for c, s in (("x", "w"), ("y", "h")):
-            at, side = f"{first}.{p}{c}", f"{first}.{p}{s}"
-            one_box |= {f"{p}{c}": _r3(at), f"{p}{s}": _r3(f"({at} + {side}) - {at}")}
-    single = {
-        "text": _trimmed(f"{first}.text"),
-        "dir": f"{first}.dir",
-        **{f"w_{d}": f"if({first}.dir = '{d}', greatest(1L, {first}.n_chars), null)" for d in DIRECTIONS},
-        **one_box,
-        "font_size": f"{first}.font_size",
-        "font_name": f"{first}.font_name",
-        "is_bold": f"{first}.is_bold",
-        "is_italic": f"{first}.is_italic",
-        "n_items": "1",
-        "item_valid": f"{first}.n_valid",
-        "item_area": f"{first}.bw * {first}.bh",
-    }
+    weight = "greatest(1L, i.item_valid)"
     weights = {
-        d: f"if(exists(g, i -> i.dir = '{d}'), {_total('g', f"if(i.dir = '{d}', greatest(1L, i.n_chars), 0L)")}, null)"
-        for d in DIRECTIONS
+        d: f"if(exists(g, i -> i.dir = '{d}'), {_total('g', f'coalesce(i.w_{d}, 0L)')}, null)" for d in DIRECTIONS
     }
     seen = {d: f"nullif(array_position(transform(g, i -> i.dir), '{d}'), 0L)" for d in DIRECTIONS}
     gap = "if(dir_ = 'rtl', p.lx - (x.lx + x.lw), x.lx - (p.lx + p.lw))"
@@ -252,12 +248,8 @@ def _line(segments: str) -> str:
     blank = f"(not {_unspaced('p.text', 'x.text')} and not {letters} and gap_ > -{_PAIR_FONT} * 0.08D)"
     piece = _let("p", "get(ordered, k - 1)", _let("gap_", gap, f"if({blank}, concat(' ', x.text), x.text)"))
     # Right-to-left lines read from the largest x.
-    mirrored = "transform(sort_array(transform(g, i -> named_struct('x', -i.lx, 'n', i.item_ix, 'i', i))), e -> e.i)"
-    joined = _let(
-        "ordered",
-        f"if(dir_ = 'rtl', {mirrored}, g)",
-        f"array_join(transform(ordered, (x, k) -> if(k = 0, x.text, {piece})), '')",
-    )
+    mirrored = "transform(sort_array(transform(g, (i, k) -> named_struct('x', -i.lx, 'n', k, 'i', i))), e -> e.i)"
+    joined = f"array_join(transform(ordered, (x, k) -> if(k = 0, x.text, {piece})), '')"
     many = {
         "text": _trimmed(joined),
         "dir": "dir_",
@@ -265,53 +257,55 @@ def _line(segments: str) -> str:
         **_box("g", "b"),
         **_box("g", "l"),
         "font_size": _r3(_median("transform(g, i -> i.font_size)")),
-        "font_name": "coalesce(get(filter(transform(if(dir_ = 'rtl', "
-        + mirrored
-        + ", g), i -> i.font_name), n -> n <> ''), 0), '')",
+        "font_name": "coalesce(get(filter(transform(ordered, i -> i.font_name), n -> n <> ''), 0), '')",
         "is_bold": f"{_total('g', f'if(i.is_bold, {weight}, 0L)')} >= {_total('g', weight)} * 0.5D",
         "is_italic": f"{_total('g', f'if(i.is_italic, {weight}, 0L)')} >= {_total('g', weight)} * 0.5D",
         "n_items": "size(g)",
-        "item_valid": _total("g", "i.n_valid"),
-        "item_area": _total("g", "i.bw * i.bh", "0.0D"),
+        "item_valid": _total("g", "i.item_valid"),
+        "item_area": _total("g", "i.item_area", "0.0D"),
     }
-    one, all_ = (_struct({f: {**d, **place}[f] for f in LINE_FIELDS}) for d in (single, many))
-    return f"if(size(g) = 1 and g[0].dir in ({dirs}), {one}, {_let('dir_', _majority(weights, seen), all_)})"
+    whole = _let("ordered", f"if(dir_ = 'rtl', {mirrored}, g)", _struct({f: many[f] for f in LINE_FIELDS}))
+    whole = _let("g", "transform(refs, e -> get(items, e.at).f)", _let("dir_", _majority(weights, seen), whole))
+    facts = f"if(size(refs) = 1 and get(items, refs[0].at).f.dir in ({dirs}), get(items, refs[0].at).f, {whole})"
+    place = {"row_ix": "row_ix", "seg_ix": "seg_ix", "row_segments": "size(s)", "is_table": "false"}
+    return _struct({**place, "f": facts})
 
 
 def _table_line() -> str:
     """SQL of the line that a table row of cells ``c`` collapses into."""
+    cells = "transform(c, z -> z.f)"
     merged = {
-        "text": "array_join(transform(c, i -> i.text), '\t')",
-        "font_size": _r3(_median("transform(c, i -> i.font_size)")),
-        "row_segments": "size(c)",
-        "is_table": "true",
-        "n_items": _total("c", "i.n_items", "0"),
-        "item_valid": _total("c", "i.item_valid"),
-        "item_area": _total("c", "i.item_area", "0.0D"),
-        **{f"w_{d}": _total("c", f"coalesce(i.w_{d}, 0L)") for d in DIRECTIONS},
-        **_box("c", "b"),
-        **_box("c", "l"),
+        "text": f"array_join(transform({cells}, i -> i.text), '\t')",
+        "font_size": _r3(_median(f"transform({cells}, i -> i.font_size)")),
+        "n_items": _total(cells, "i.n_items", "0"),
+        "item_valid": _total(cells, "i.item_valid"),
+        "item_area": _total(cells, "i.item_area", "0.0D"),
+        **{f"w_{d}": _total(cells, f"coalesce(i.w_{d}, 0L)") for d in DIRECTIONS},
+        **_box(cells, "b"),
+        **_box(cells, "l"),
     }
-    return _struct({f: merged.get(f, f"c[0].{f}") for f in LINE_FIELDS})
+    place = {"row_ix": "c[0].row_ix", "seg_ix": "c[0].seg_ix", "row_segments": "size(c)", "is_table": "true"}
+    return _struct({**place, "f": _struct({f: merged.get(f, f"c[0].f.{f}") for f in LINE_FIELDS})})
 
 
 def with_lines(units: DataFrame, extra_cut: str = "false", missing: str = "false") -> DataFrame:
-    """Adds ``segments`` (runs per row and segment) and ``lines``, typed and from top to bottom.
+    """Adds ``segments`` (runs per row and segment), ``lines`` and ``marks``.
 
     Rows are cut as in ``split_segments`` (``extra_cut``: further cuts, on the row ``r``); lines follow the rules of
-    ``assemble_lines``, ``mark_table_rows`` and ``classify_lines``.  Null where ``missing`` holds.
+    ``assemble_lines``, ``mark_table_rows`` and ``classify_lines``.  ``marks`` has, from top to bottom, where a line is in
+    ``lines`` (``k``) and its type.  Null where ``missing`` holds.
     """
     cut = f"""((p.has_eol and not {_EQNO}) or {_GAP} > greatest(logical_width * 0.08D, {_PAIR_FONT} * 5)
         or coalesce(p.lx + p.lw < gutter_lane and x.lx > gutter_lane
             and {_GAP} > greatest(logical_width * 0.008D, {_PAIR_FONT} * 1.05D), false) or {extra_cut})"""
-    slices = _let("runs", "r.items", _cut("runs", _pair("runs", cut)))
+    slices = _let("runs_", "r.runs", _cut("runs_", _pair("runs_", cut)))
     df = _with(
         units,
-        segments=f"if({missing}, null, transform(rows, (r, row_ix) -> if(size(r.items) = 1, array(r.items), {slices})))",
+        segments=f"if({missing}, null, transform(rows, (r, row_ix) -> if(size(r.runs) = 1, array(r.runs), {slices})))",
     )
     df = _with(
         df,
-        _cells=f"transform(segments, (s, row_ix) -> transform(s, (g, seg_ix) -> {_line('size(s)')}))",
+        _cells=f"transform(segments, (s, row_ix) -> transform(s, (refs, seg_ix) -> {_line()}))",
     )
     # Rows of three and more cells next to a row with the same cell starts are table rows.
     aligned = (
@@ -324,10 +318,10 @@ def with_lines(units: DataFrame, extra_cut: str = "false", missing: str = "false
         + ")"
     )
     beside = " or ".join(f"coalesce({_let('o', f'get(by_y, j {step} 1)', aligned)}, false)" for step in "+-")
-    wide = "transform(c, l -> l.{})"
+    wide = "transform(c, l -> l.f.{})"
     tables = _let(
         "by_y",
-        f"""sort_array(transform(_cells, (c, i) -> named_struct('y', c[0].ly, 'i', i,
+        f"""sort_array(transform(_cells, (c, i) -> named_struct('y', c[0].f.ly, 'i', i,
             'xs', if(size(c) >= 3, {wide.format('lx')}, null), 'fonts', if(size(c) >= 3, {wide.format('font_size')}, null))))""",
         f"transform(filter(transform(by_y, (e, j) -> named_struct('i', e.i, 't', {beside})), z -> z.t), z -> z.i)",
     )
@@ -337,31 +331,34 @@ def with_lines(units: DataFrame, extra_cut: str = "false", missing: str = "false
     )
     df = _with(
         df,
-        _lines=f"flatten(transform(_cells, (c, i) -> if(array_contains(_tables, i), array({_table_line()}), c)))",
+        lines=f"flatten(transform(_cells, (c, i) -> if(array_contains(_tables, i), array({_table_line()}), c)))",
     ).drop("_cells", "_tables")
     df = _with(
         df,
-        _lines="flatten(transform("
-        + _let(
-            "by_y",
-            "sort_array(transform(_lines, l -> named_struct('y', l.ly, 'l', l)))",
-            _cut("by_y", "get(by_y, k).y - get(by_y, k - 1).y > 0.5D"),
-        )
-        + ", b -> sort_array(transform(b, e -> e.l))))",
-        _body=f"coalesce({_median('transform(filter(_lines, l -> not l.is_table), l -> l.font_size)')}, 12.0D)",
+        _sorted="""sort_array(transform(lines, (l, k) -> named_struct('y', l.f.ly, 'x', l.f.lx, 'row_ix', l.row_ix,
+            'seg_ix', l.seg_ix, 'k', k)))""",
+        _body=f"coalesce({_median('transform(filter(lines, l -> not l.is_table), l -> l.f.font_size)')}, 12.0D)",
     )
+    df = _with(df, _at=_starts("_sorted", "get(_sorted, k).y - get(_sorted, k - 1).y > 0.5D"))
+    bands = _across(_slices("_sorted", "_at"), "y", "'x', e.x, 'row_ix', e.row_ix, 'seg_ix', e.seg_ix, 'k', e.k")
     edge = "greatest(24.0D, logical_height * 0.065D)"
-    kind = f"""case when not is_main then 'rotated_text' when l.is_table then 'table'
-        when l.ly + l.lh >= logical_height - {edge} then 'footer'
-        when l.ly >= logical_height * 0.68D and l.font_size <= _body * 0.8D then 'footnote'
-        when l.text rlike {_regex(CAPTION_START)} then 'caption'
-        when length(l.text) <= 240 and (l.font_size >= _body * 1.22D or l.text rlike {_regex(HEADING_START)}) then 'heading'
-        when l.ly <= {edge} and length(l.text) <= 240 then 'header'
-        when length(l.text) <= 240 and l.text rlike {_regex(METADATA_LINE)} then 'metadata'
-        when l.text rlike {_regex(LIST_START)} then 'list'
-        when l.is_italic and length(l.text) >= 20 then 'quote' else 'paragraph' end"""
-    line = _struct({"line_ix": "k + 1", "type": kind, **{f: f"l.{f}" for f in LINE_FIELDS}})
-    return _with(df, lines=f"transform(_lines, (l, k) -> {line})").drop("_lines", "_body")
+    rules = [
+        ("not is_main", "rotated_text"),
+        ("get(lines, m.k).is_table", "table"),
+        (f"l.ly + l.lh >= logical_height - {edge}", "footer"),
+        ("l.ly >= logical_height * 0.68D and l.font_size <= _body * 0.8D", "footnote"),
+        (f"l.text rlike {_regex(CAPTION_START)}", "caption"),
+        (f"(l.font_size >= _body * 1.22D or l.text rlike {_regex(HEADING_START)}) and length(l.text) <= 240", "heading"),
+        (f"l.ly <= {edge} and length(l.text) <= 240", "header"),
+        (f"l.text rlike {_regex(METADATA_LINE)} and length(l.text) <= 240", "metadata"),
+        (f"l.text rlike {_regex(LIST_START)}", "list"),
+        ("l.is_italic and length(l.text) >= 20", "quote"),
+    ]
+    kind = "'paragraph'"
+    for holds, name in reversed(rules):
+        kind = f"if({holds}, '{name}', {kind})"
+    mark = _let("l", "get(lines, m.k).f", f"named_struct('k', m.k, 'type', {kind})")
+    return _with(df, marks=f"transform(flatten({bands}), m -> {mark})").drop("_sorted", "_at", "_body")
 
 
 # --- columns ---------------------------------------------------------------------------------
@@ -371,10 +368,11 @@ def with_columns_found(units: DataFrame) -> DataFrame:
     """Adds the struct ``columns``, the layout of ``detect_columns``."""
     df = _with(
         units,
-        _cands="""sort_array(transform(filter(lines, l -> is_main and l.lw <= logical_width * 0.62D
-              and l.type not in ('table', 'header', 'footer', 'heading', 'metadata')),
-            l -> named_struct('lx', l.lx, 'line_ix', l.line_ix, 'lw', l.lw, 'ly', l.ly, 'lh', l.lh, 'font_size', l.font_size,
-                              'n_valid', l.item_valid)))""",
+        _cands="""sort_array(filter(transform(marks, (m, j) -> if(is_main and get(lines, m.k).f.lw <= logical_width * 0.62D
+              and m.type not in ('table', 'header', 'footer', 'heading', 'metadata'),
+            named_struct('lx', get(lines, m.k).f.lx, 'line_ix', j + 1, 'lw', get(lines, m.k).f.lw, 'ly', get(lines, m.k).f.ly,
+                'lh', get(lines, m.k).f.lh, 'font_size', get(lines, m.k).f.font_size, 'n_valid', get(lines, m.k).f.item_valid),
+            null)), z -> z is not null))""",
     )
     df = _with(df, _font=f"coalesce({_median('transform(_cands, i -> i.font_size)')}, 12.0D)")
     df = _with(
@@ -423,9 +421,16 @@ def with_columns_found(units: DataFrame) -> DataFrame:
 def _with_region(units: DataFrame) -> DataFrame:
     """Adds ``_region`` (x, top, bottom of the forced gutter) and ``_kept``, the rows it must not cut."""
     df = _with(units, _gx="columns.left_end + columns.gutter_width / 2")
-    df = _with(df, _spans="if(_gx is null, null, filter(lines, l -> l.lx < _gx and l.lx + l.lw > _gx))")
+    df = _with(
+        df,
+        _spans="""if(_gx is null, null, transform(
+            filter(marks, m -> get(lines, m.k).f.lx < _gx and get(lines, m.k).f.lx + get(lines, m.k).f.lw > _gx),
+            m -> named_struct('type', m.type, 'row_ix', get(lines, m.k).row_ix, 'seg_ix', get(lines, m.k).seg_ix,
+                'is_table', get(lines, m.k).is_table, 'ly', get(lines, m.k).f.ly, 'lh', get(lines, m.k).f.lh,
+                'font_size', get(lines, m.k).f.font_size)))""",
+    )
     # First pair of neighbouring runs whose centres lie on both sides of the gutter.
-    runs = "if(l.is_table, get(rows, l.row_ix).items, get(get(segments, l.row_ix), l.seg_ix))"
+    runs = "if(l.is_table, get(rows, l.row_ix).runs, get(get(segments, l.row_ix), l.seg_ix))"
     cross = _let(
         "runs",
         runs,
@@ -462,29 +467,37 @@ def refined(units: DataFrame) -> DataFrame:
     Units with two columns get their lines of a second pass; lines and column layout always come from the same pass.
     """
     df = _with_region(units)
-    df = df.withColumnsRenamed({"lines": "_lines1", "columns": "_columns1"}).drop("segments")
-    df = with_columns_found(with_lines(df, _FORCED, "_region is null")).drop("_region", "_kept", "segments", "rows")
+    df = df.withColumnsRenamed({"lines": "_lines1", "marks": "_marks1", "columns": "_columns1"}).drop("segments")
+    df = with_columns_found(with_lines(df, _FORCED, "_region is null")).drop("_region", "_kept", "segments", "rows", "items")
     return _with(
-        df, lines="if(columns is null, _lines1, lines)", columns="if(columns is null, _columns1, columns)"
-    ).drop("_lines1", "_columns1")
+        df,
+        lines="if(columns is null, _lines1, lines)",
+        marks="if(columns is null, _marks1, marks)",
+        columns="if(columns is null, _columns1, columns)",
+    ).drop("_lines1", "_marks1", "_columns1")
 
 
 # --- reading order, captions, paragraphs ---------------------------------------------------
 
 
 def ordered(units: DataFrame) -> DataFrame:
-    """Puts ``lines`` in reading order and adds their ``col_ix`` and ``order_ix``; the order of ``with_reading_order``.
+    """Adds ``order``: place in ``lines`` (``k``), ``line_ix``, ``col_ix`` and ``type`` of each line, by ``with_reading_order``.
 
     Lines of turned text belong to no column and keep their own top-down order.
     """
     edge = "(columns.right_start - greatest(2.0D, columns.gutter_width * 0.15D))"
     column = f"case when not is_main or columns is null then 0 when l.lx + l.lw <= {edge} then 0 when l.lx >= {edge} then 1 end"
-    df = _with(units, _placed=f"transform(lines, l -> named_struct('c', {column}, 'l', l))").drop("lines")
+    place = _let(
+        "l",
+        "get(lines, m.k).f",
+        f"""named_struct('c', {column}, 'y', l.ly, 'x', l.lx, 'n', j + 1, 'k', m.k, 'type', m.type,
+            'limit', l.ly + least(2.0D, l.font_size * 0.15D))""",
+    )
+    df = _with(units, _placed=f"transform(marks, (m, j) -> {place})").drop("marks")
     # Boxes that span the gutter are barriers; their limits are made monotonic.
     df = _with(
         df,
-        _spans="""sort_array(transform(filter(_placed, z -> z.c is null), z -> named_struct('y', z.l.ly, 'n', z.l.line_ix,
-            'limit', z.l.ly + least(2.0D, z.l.font_size * 0.15D))))""",
+        _spans="""sort_array(transform(filter(_placed, z -> z.c is null), z -> named_struct('y', z.y, 'n', z.n, 'limit', z.limit)))""",
     )
     df = _with(
         df,
@@ -495,20 +508,18 @@ def ordered(units: DataFrame) -> DataFrame:
     df = _with(
         df,
         _placed="""sort_array(transform(_placed, z -> named_struct(
-            'b', if(z.c is null, cast(array_position(_numbers, z.l.line_ix) as int) - 1, size(filter(_limits, m -> m <= z.l.ly))),
-            's', z.c is null, 'c', z.c, 'y', z.l.ly, 'x', z.l.lx, 'n', z.l.line_ix, 'l', z.l)))""",
+            'b', if(z.c is null, cast(array_position(_numbers, z.n) as int) - 1, size(filter(_limits, m -> m <= z.y))),
+            's', z.c is null, 'c', z.c, 'y', z.y, 'x', z.x, 'n', z.n, 'k', z.k, 'type', z.type)))""",
     ).drop("_limits", "_numbers")
     new_band = _let(
         "a",
         "get(_placed, k - 1)",
         _let("z", "get(_placed, k)", "a.b <> z.b or a.s <> z.s or not a.c <=> z.c or z.y - a.y > 0.5D"),
     )
-    in_band = "sort_array(transform(g, e -> named_struct('x', e.x, 'n', e.n, 'c', e.c, 'l', e.l)))"
-    df = _with(df, _placed=f"flatten(transform({_cut('_placed', new_band)}, g -> {in_band}))")
-    line = _struct(
-        {"order_ix": "k + 1", "col_ix": "if(is_main, z.c, null)", **{f: f"z.l.{f}" for f in ("line_ix", "type", *LINE_FIELDS)}}
-    )
-    return _with(df, lines=f"transform(_placed, (z, k) -> {line})").drop("_placed")
+    df = _with(df, _at=_starts("_placed", new_band))
+    bands = _across(_slices("_placed", "_at"), "y", "'x', e.x, 'n', e.n")
+    number = "named_struct('k', z.k, 'line_ix', z.n, 'col_ix', if(is_main, z.c, null), 'type', z.type)"
+    return _with(df, order=f"transform(flatten({bands}), z -> {number})").drop("_placed", "_at")
 
 
 def with_captions(units: DataFrame) -> DataFrame:
@@ -518,53 +529,65 @@ def with_captions(units: DataFrame) -> DataFrame:
     """
     font = "((a.font_size + x.font_size) / 2)"
     gap = "(x.ly - (p.ly + p.lh))"
-    follows = f"""(x.type = 'paragraph' and {gap} >= -{font} * 0.25D and {gap} <= greatest(2.0D, a.font_size * 0.55D)
+    follows = f"""(get(g, k).type = 'paragraph' and {gap} >= -{font} * 0.25D and {gap} <= greatest(2.0D, a.font_size * 0.55D)
         and abs(x.lx - a.lx) <= greatest(12.0D, {font} * 2)
         and greatest(a.font_size, x.font_size) / greatest(1.0D, least(a.font_size, x.font_size)) <= 1.08D
         and (a.font_name = '' or x.font_name = '' or a.font_name = x.font_name)
         and x.is_bold = a.is_bold and x.is_italic = a.is_italic)"""
-    fails = _let("p", "get(g, k - 1).l", _let("x", "get(g, k).l", f"not coalesce({follows}, false)"))
+    fails = _let(
+        "p", "get(lines, get(g, k - 1).k).f", _let("x", "get(lines, get(g, k).k).f", f"not coalesce({follows}, false)")
+    )
     last = f"coalesce(get(filter(transform(g, (e, k) -> k), k -> k > 0 and {fails}), 0), size(g))"
     # Chains start at captions; each group (a column, or a row that spans both) is on its own.
     chains = _let(
         "grouped",
-        """sort_array(transform(lines, l -> named_struct('g', coalesce(concat('c', l.col_ix), concat('s', l.row_ix)),
-            'y', l.ly, 'o', l.order_ix, 'l', l)))""",
-        _cut("grouped", "(get(grouped, k).g <> get(grouped, k - 1).g or get(grouped, k).l.type = 'caption')"),
+        """sort_array(transform(order, (z, i) -> named_struct(
+            'g', coalesce(concat('c', z.col_ix), concat('s', get(lines, z.k).row_ix)), 'y', get(lines, z.k).f.ly, 'o', i + 1,
+            'k', z.k, 'type', z.type)))""",
+        _cut("grouped", "(get(grouped, k).g <> get(grouped, k - 1).g or get(grouped, k).type = 'caption')"),
     )
-    becomes = f"""flatten(transform(filter({chains}, g -> g[0].l.type = 'caption'), g ->
-        {_let("a", "g[0].l", f"transform(slice(g, 2, least(8, {last} - 1)), e -> e.o)")}))"""
-    df = _with(
-        units, _become=f"if(exists(lines, l -> l.type = 'caption'), {becomes}, cast(array() as array<int>))"
-    )
-    fields = ("order_ix", "col_ix", "line_ix", "type", *LINE_FIELDS)
-    kind = {"type": "if(array_contains(_become, l.order_ix), 'caption', l.type)"}
-    line = _struct({f: kind.get(f, f"l.{f}") for f in fields})
-    return _with(df, lines=f"if(size(_become) = 0, lines, transform(lines, l -> {line}))").drop("_become")
+    becomes = f"""flatten(transform(filter({chains}, g -> g[0].type = 'caption'), g ->
+        {_let("a", "get(lines, g[0].k).f", f"transform(slice(g, 2, least(8, {last} - 1)), e -> e.o)")}))"""
+    df = _with(units, _become=f"if(exists(order, z -> z.type = 'caption'), {becomes}, cast(array() as array<int>))")
+    kind = "if(array_contains(_become, i + 1), 'caption', z.type)"
+    return _with(
+        df,
+        order=f"""if(size(_become) = 0, order, transform(order, (z, i) ->
+            named_struct('k', z.k, 'line_ix', z.line_ix, 'col_ix', z.col_ix, 'type', {kind})))""",
+    ).drop("_become")
 
 
 def with_paragraphs(units: DataFrame) -> DataFrame:
-    """Adds ``paragraph_start`` and ``short_line`` of paragraph lines in a column."""
-    inside = "(l.type = 'paragraph' and l.col_ix is not null)"
+    """Adds ``paragraph_start`` and ``short_line`` of paragraph lines in a column to ``order``."""
 
     def nearest(values: str, ratio: str) -> str:
         return f"get(sort_array(transform(g, l -> l.{values})), cast(floor((size(g) - 1) * {ratio} + 0.5D) as int))"
 
+    place = _let(
+        "l",
+        "get(lines, z.k).f",
+        """named_struct('c', z.col_ix, 'o', i + 1, 'k', z.k, 'lx', l.lx, 'lw', l.lw, 'y', l.ly, 'low', l.ly + l.lh,
+            'font_size', l.font_size)""",
+    )
+    df = _with(
+        units,
+        _inside=f"""filter(transform(order, (z, i) -> if(z.type = 'paragraph' and z.col_ix is not null, {place}, null)),
+            z -> z is not null)""",
+    )
     marked = _let(
         "left_",
         nearest("lx", "0.15D"),
         _let(
             "width_",
             nearest("lw", "0.72D"),
-            f"""transform(g, l -> named_struct('o', l.order_ix, 'lx', l.lx, 'y', l.ly, 'low', l.ly + l.lh, 'font_size', l.font_size,
-                'text', l.text, 'indent', l.lx - left_ >= greatest(6.0D, l.font_size * 0.8D),
-                'ref', l.text rlike {_regex(REFERENCE_START)}, 'short', l.lw <= width_ * 0.76D))""",
+            f"""transform(g, l -> named_struct('o', l.o, 'k', l.k, 'lx', l.lx, 'y', l.y, 'low', l.low, 'font_size', l.font_size,
+                'indent', l.lx - left_ >= greatest(6.0D, l.font_size * 0.8D),
+                'ref', get(lines, l.k).f.text rlike {_regex(REFERENCE_START)}, 'short', l.lw <= width_ * 0.76D))""",
         ),
     )
     df = _with(
-        units,
-        _columns=f"transform(array(0, 1), c -> {_let('g', f'filter(lines, l -> {inside} and l.col_ix = c)', marked)})",
-    )
+        df, _columns=f"transform(array(0, 1), c -> {_let('g', 'filter(_inside, z -> z.c = c)', marked)})"
+    ).drop("_inside")
     # A hanging entry starts at a reference line and runs over indented lines; a chain begins at every reference or
     # unindented line.
     off = "abs(get(e, k).lx - get(e, 1).lx) > greatest(2.0D, get(e, k).font_size * 0.25D)"
@@ -572,32 +595,42 @@ def with_paragraphs(units: DataFrame) -> DataFrame:
     hanging = f"""if(exists(g, x -> x.ref), flatten(transform(filter({_cut("g", "(get(g, k).ref or not get(g, k).indent)")},
         e -> e[0].ref), e -> transform({entry}, x -> x.o))), cast(array() as array<int>))"""
     df = _with(df, _hanging=f"flatten(transform(_columns, g -> {hanging}))")
-    closed = f"""(p is null or p.short or p.text rlike {_regex(SENTENCE_END)} or p.text rlike {_regex(CITATION_END)}
+    text = "get(lines, p.k).f.text"
+    closed = f"""(p is null or p.short or {text} rlike {_regex(SENTENCE_END)} or {text} rlike {_regex(CITATION_END)}
         or x.y - p.low > greatest(3.0D, x.font_size * 0.45D))"""
-    alone = f"(x.indent and not coalesce(p.indent, false) and not coalesce(get(g, k + 1).indent, false) and {closed})"
-    start = f"(x.ref or {_let('p', 'get(g, k - 1)', alone)}) and not array_contains(_hanging, x.o)"
-    signal = "named_struct('o', {}, 'start', {}, 'short', {})"
+    alone = f"(not coalesce(p.indent, false) and not coalesce(get(g, k + 1).indent, false) and {closed})"
+    start = f"(x.ref or x.indent and {_let('p', 'get(g, k - 1)', alone)}) and not array_contains(_hanging, x.o)"
     df = _with(
         df,
-        _signals=f"""sort_array(concat(
-            flatten(transform(_columns, g -> transform(g, (x, k) -> {signal.format('x.o', start, 'x.short')}))),
-            transform(filter(lines, l -> not {inside}), l -> {signal.format('l.order_ix', 'false', 'false')})))""",
+        _starting=f"flatten(transform(_columns, g -> transform(filter(transform(g, (x, k) -> if({start}, x, null)), x -> x is not null), x -> x.o)))",
+        _short="sort_array(flatten(transform(_columns, g -> transform(filter(g, x -> x.short), x -> x.o))))",
     ).drop("_columns", "_hanging")
-    fields = ("order_ix", "col_ix", "line_ix", "type", *LINE_FIELDS)
-    line = _struct(
-        {
-            **{f: f"l.{f}" for f in fields},
-            "paragraph_start": "get(_signals, k).start",
-            "short_line": "get(_signals, k).short",
-        }
-    )
-    return _with(df, lines=f"transform(lines, (l, k) -> {line})").drop("_signals")
+    line = """named_struct('k', z.k, 'line_ix', z.line_ix, 'col_ix', z.col_ix, 'type', z.type,
+        'paragraph_start', array_contains(_starting, i + 1), 'short_line', array_contains(_short, i + 1))"""
+    return _with(df, order=f"transform(order, (z, i) -> {line})").drop("_starting", "_short")
+
+
+ORDER_FIELDS = ["line_ix", "col_ix", "type", "paragraph_start", "short_line"]
+
+
+def _full_lines(units: DataFrame, fields: list[str] | None = None) -> str:
+    """SQL of the lines as structs: in reading order, or from top to bottom before there is one."""
+    array = "order" if "order" in units.columns else "marks"
+    known = units.schema[array].dataType.elementType.names
+    number = {"order_ix": "i + 1"} if array == "order" else {"line_ix": "i + 1"}
+    line = {
+        **number,
+        **{f: f"z.{f}" for f in ORDER_FIELDS if f in known},
+        **{f: f"get(lines, z.k).{f}" for f in PLACE_FIELDS},
+        **{f: f"get(lines, z.k).f.{f}" for f in LINE_FIELDS},
+    }
+    return f"transform({array}, (z, i) -> {_struct({f: v for f, v in line.items() if fields is None or f in fields})})"
 
 
-def line_rows(units: DataFrame) -> DataFrame:
-    """One row per line, with the facts of its unit."""
-    rest = [c for c in units.columns if c not in ("lines", "rows", "segments")]
-    return units.select(*rest, F.inline("lines"))
+def line_rows(units: DataFrame, *fields: str) -> DataFrame:
+    """One row per line (all columns of lines, or ``fields``), with the facts of its unit."""
+    rest = [c for c in units.columns if c not in ("items", "rows", "segments", "lines", "marks", "order")]
+    return units.select(*rest, F.inline(F.expr(_full_lines(units, list(fields) or None))))
 
 
 # --- blocks --------------------------------------------------------------------------------
@@ -627,8 +660,10 @@ def _merges() -> str:
 
 def block_lines(units: DataFrame) -> DataFrame:
     """One row per block: ``block_ix`` (from 1) and its lines (``lines``), cut where a line does not continue the block."""
-    df = _with(units, _blocks=_cut("lines", _pair("lines", f"not {_merges()}")))
-    rest = [c for c in units.columns if c != "lines"]
+    rest = [c for c in units.columns if c not in ("lines", "order")]
+    df = _with(units, lines=_full_lines(units)).drop("order")
+    df = _with(df, _at=_starts("lines", _pair("lines", f"not {_merges()}")))
+    df = _with(df, _blocks=_slices("lines", "_at"))
     return df.select(*rest, F.posexplode("_blocks").alias("_at", "lines")).select(
         *rest, (F.col("_at") + 1).cast("bigint").alias("block_ix"), "lines"
     )

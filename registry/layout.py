@@ -306,13 +306,13 @@ ORACLES["assemble_lines"] = _with(IT, RB, GU, P1) + (
     "SELECT doc_id, page_no, row_ix, seg_ix, text, 'ltr' AS dir, is_bold, is_italic, n_items, x AS lx, y AS ly, w AS lw, "
     "h AS lh, 10.0::DOUBLE AS font_size, row_segments FROM aln"
 )
-QUERIES["mark_table_rows"] = lambda spark, d: U.line_rows(_first(spark, d)).select(
+QUERIES["mark_table_rows"] = lambda spark, d: U.line_rows(_first(spark, d), "row_ix", "seg_ix", "line_ix", "is_table", "text").select(
     "doc_id", "page_no", "row_ix", "seg_ix", "line_ix", "is_table", "text"
 )
 ORACLES["mark_table_rows"] = _with(IT, RB, GU, P1) + (
     "SELECT doc_id, page_no, row_ix, seg_ix, line_ix, false AS is_table, text FROM aty"
 )
-QUERIES["classify_lines"] = lambda spark, d: U.line_rows(_first(spark, d)).select(
+QUERIES["classify_lines"] = lambda spark, d: U.line_rows(_first(spark, d), "line_ix", "type").select(
     "doc_id", "page_no", "line_ix", "type"
 )
 ORACLES["classify_lines"] = _with(IT, RB, GU, P1) + "SELECT doc_id, page_no, line_ix, type FROM aty"
@@ -332,17 +332,17 @@ QUERIES["refine_columns"] = lambda spark, d: U.line_rows(U.refined(_first(spark,
 ORACLES["refine_columns"] = _with(IT, RB, GU, P1, P2, FL) + (
     "SELECT doc_id, page_no, line_ix, row_ix, seg_ix, text, type, right_start FROM fl"
 )
-QUERIES["reading_order"] = lambda spark, d: U.line_rows(_ordered(spark, d)).select(
+QUERIES["reading_order"] = lambda spark, d: U.line_rows(_ordered(spark, d), "line_ix", "order_ix", "col_ix").select(
     "doc_id", "page_no", "line_ix", "order_ix", "col_ix"
 )
 ORACLES["reading_order"] = _with(IT, RB, GU, P1, P2, FL) + (
     "SELECT doc_id, page_no, line_ix, order_ix, CAST(col_ix AS INTEGER) AS col_ix FROM ro"
 )
-QUERIES["extend_captions"] = lambda spark, d: U.line_rows(U.with_captions(_ordered(spark, d))).select(
+QUERIES["extend_captions"] = lambda spark, d: U.line_rows(U.with_captions(_ordered(spark, d)), "order_ix", "type").select(
     "doc_id", "page_no", "order_ix", "type"
 )
 ORACLES["extend_captions"] = _with(IT, RB, GU, P1, P2, FL, CP) + "SELECT doc_id, page_no, order_ix, type FROM cp"
-QUERIES["paragraph_signals"] = lambda spark, d: U.line_rows(_final(spark, d)).select(
+QUERIES["paragraph_signals"] = lambda spark, d: U.line_rows(_final(spark, d), "order_ix", "type", "paragraph_start", "short_line").select(
     "doc_id", "page_no", "order_ix", "type", "paragraph_start", "short_line"
 )
 ORACLES["paragraph_signals"] = _with(IT, RB, GU, P1, P2, FL, CP, SG) + (
