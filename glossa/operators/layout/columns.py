@@ -1,4 +1,4 @@
-"""Column detection, refinement and reading order."""
+"""Column detection and the order of boxes."""
 
 from __future__ import annotations
 
@@ -7,16 +7,8 @@ from pyspark.sql import functions as F
 
 from glossa.functions.packing import narrowed
 from glossa.functions.text import round3, valid_chars
-from glossa.operators.layout.lines import (
-    ITEM_FIELDS,
-    UNIT_FACTS,
-    assemble_lines,
-    classify_lines,
-    mark_table_rows,
-)
-from glossa.operators.layout.rows import UNIT, split_segments, with_neighbour, with_y_bands
-
-PASS = [*UNIT, "pass_no"]
+from glossa.operators.layout.rows import UNIT, with_y_bands
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -110,81 +102,6 @@ def _detect_columns(lines: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     )
 
 
-# First pair of neighbouring runs whose centres lie on both sides of the gutter.
-_CROSSING = """
-get(filter(transform(_by_x, (i, k) -> named_struct(
-      'hit', k > 0 and _by_x[greatest(k - 1, 0)].lx + _by_x[greatest(k - 1, 0)].lw / 2 < _gx and i.lx + i.lw / 2 > _gx,
-      'gap', i.lx - (_by_x[greatest(k - 1, 0)].lx + _by_x[greatest(k - 1, 0)].lw),
-      'font', (i.font_size + _by_x[greatest(k - 1, 0)].font_size) / 2)), c -> c.hit), 0)"""
-
-
-def column_region(lines: DataFrame, keys: list[str] = UNIT) -> DataFrame:
-    """Adds ``region`` (x, top, bottom of the forced gutter) and ``row_preserved``."""
-    unit = Window.partitionBy(*keys)
-    c = F.col("columns")
-    bottom_edge = F.col("ly") + F.col("lh")
-    df = lines.withColumn("_gx", c.left_end + c.gutter_width / 2)
-    df = df.withColumn("_spans", F.coalesce((F.col("lx") < F.col("_gx")) & (F.col("lx") + F.col("lw") > F.col("_gx")), F.lit(False)))
-    df = df.withColumn("_by_x", F.when(F.col("_spans"), F.array_sort("items")))
-    df = df.withColumn("_cross", F.when(F.col("_spans"), F.expr(_CROSSING)))
-    continuous = F.col("_spans") & (
-        F.col("_cross").isNull()
-        | (F.col("_cross.gap") <= F.greatest(F.lit(3.0), F.col("_cross.font") * 0.9))
-    )
-    pad = F.least(F.lit(3.0), F.col("font_size") * 0.25)
-    ceiling = F.col("_spans") & (F.col("ly") < c.top) & F.col("type").isin("heading", "header", "metadata", "table")
-    floor = F.col("_spans") & (bottom_edge > c.bottom) & (F.col("type") == "footer")
-    df = df.withColumns(
-        {
-            "row_preserved": F.max(continuous).over(Window.partitionBy(*keys, "row_ix")),
-            "_top": F.greatest(F.lit(0.0), F.max(F.when(ceiling, bottom_edge + pad)).over(unit)),
-            "_bottom": F.least(F.col("logical_height"), F.min(F.when(floor, F.col("ly") - pad)).over(unit)),
-        }
-    )
-    region = F.struct(
-        F.col("_gx").alias("x"),
-        F.least(F.col("_top"), F.col("logical_height")).alias("top"),
-        F.least(F.greatest("_top", "_bottom"), F.col("logical_height")).alias("bottom"),
-    )
-    return df.withColumn("region", F.when(c.isNotNull(), region)).drop(
-        "_gx", "_spans", "_by_x", "_cross", "_top", "_bottom"
-    )
-
-
-def refine_columns(lines: DataFrame) -> DataFrame:
-    """Cut two-column pages again with a forced gutter; keep it if they stay two columns.
-
-    The runs nested in the lines are unnested for a second pass.  Pages with two
-    columns carry both passes side by side (``pass_no``) and the choice is made
-    per page, so lines and column layout always come from the same pass.
-    """
-    prepared = column_region(lines)
-    passes = F.when(F.col("columns").isNotNull(), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    items = (
-        prepared.withColumn("pass_no", F.explode(passes))
-        .select(
-            *UNIT,
-            "pass_no",
-            *UNIT_FACTS,
-            "row_preserved",
-            F.when(F.col("pass_no") == 2, F.col("region")).alias("region"),
-            F.explode("items").alias("_i"),
-        )
-        .select(*PASS, *UNIT_FACTS, "row_preserved", "region", *[F.col(f"_i.{f}").alias(f) for f in ITEM_FIELDS])
-    )
-    cut = split_segments(with_neighbour(items, PASS), PASS, F.col("region"))
-    again = detect_columns(
-        classify_lines(mark_table_rows(assemble_lines(cut, PASS), PASS), PASS), PASS
-    )
-    page = Window.partitionBy(*PAGE)
-    accepted = F.max(F.when((F.col("pass_no") == 2) & F.col("columns").isNotNull(), 2).otherwise(1)).over(page)
-    return (
-        again.withColumn("_keep", accepted)
-        .filter(~F.col("is_main") | (F.col("pass_no") == F.col("_keep")))
-        .drop("_keep", "pass_no")
-    )
-
-
 def column_of(x: Column, right: Column, columns: Column) -> Column:
     """0 left, 1 right, null for boxes that span the gutter; 0 on one-column pages."""
     tolerance = F.greatest(F.lit(2.0), columns["gutter_width"] * 0.15)
@@ -226,15 +143,3 @@ def _with_reading_order(df: DataFrame, keys: list[str], tie: list[str], out: str
     return df.withColumn(out, F.row_number().over(order)).drop(
         "_span", "_limit", "_nth", "_at", "_barrier", "_band"
     )
-
-
-def reading_order(lines: DataFrame) -> DataFrame:
-    """Adds ``col_ix`` and ``order_ix`` to the lines of every unit.
-
-    Lines of turned text belong to no column and keep their own top-down order.
-    """
-    right = F.col("lx") + F.col("lw")
-    df = lines.withColumn("_col", column_of(F.col("lx"), right, F.col("columns")))
-    df = df.withColumn("col_ix", F.when(F.col("is_main"), F.col("_col")).otherwise(0)).drop("_col")
-    df = with_reading_order(df, UNIT, ["line_ix"], "order_ix")
-    return df.withColumn("col_ix", F.when(F.col("is_main"), F.col("col_ix")))
